@@ -10,12 +10,14 @@ from vicinal.llm.minhash import op5_minhash
 from vicinal.llm.mixing import op6_mixing
 from vicinal.llm.pieces import op7_sentencepiece
 from vicinal.llm.quality import op2_quality
+from vicinal.llm.secrets import op10_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op5_minhash": op5_minhash,
     "op6_mixing": op6_mixing,
     "op7_sentencepiece": op7_sentencepiece,
+    "op10_secrets": op10_secrets,
 }
 
 SQL: dict[str, str] = {}
