@@ -10,17 +10,23 @@ from vicinal.llm.minhash import op5_minhash
 from vicinal.llm.mixing import op6_mixing
 from vicinal.llm.pieces import op7_sentencepiece
 from vicinal.llm.quality import op2_quality
+from vicinal.llm.quotes import op9_quotes
+from vicinal.llm.revisits import OP1_SQL, op1_revisits
 from vicinal.llm.secrets import op10_secrets
+from vicinal.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_revisits": op1_revisits,
     "op2_quality": op2_quality,
     "op5_minhash": op5_minhash,
     "op6_mixing": op6_mixing,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_toxicity": op8_toxicity,
+    "op9_quotes": op9_quotes,
     "op10_secrets": op10_secrets,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_revisits": OP1_SQL}
 
 SQL["op6_mixing"] = r"""
 WITH d AS (
