@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vicinal.llm.flatgraph import op4_vectors
 from vicinal.llm.minhash import op5_minhash
 from vicinal.llm.mixing import op6_mixing
 from vicinal.llm.pieces import op7_sentencepiece
@@ -18,6 +19,7 @@ from vicinal.llm.toxicity import op8_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_revisits": op1_revisits,
     "op2_quality": op2_quality,
+    "op4_vectors": op4_vectors,
     "op5_minhash": op5_minhash,
     "op6_mixing": op6_mixing,
     "op7_sentencepiece": op7_sentencepiece,
