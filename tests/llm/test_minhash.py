@@ -73,6 +73,21 @@ def test_hub_whose_neighbours_are_not_linked(spark):
     assert got == {i: c for i, (_, c) in brute(rows).items()}
 
 
+def test_family_of_near_copies(spark):
+    """Hundreds of copies with few or many changes: some are linked, others are near all of them but linked with none."""
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(700):
+        c = list(base)
+        for p in rng.choice(120, int(rng.integers(1, 8)), replace=False):
+            c[p] = f"y{k}_{p}"
+        rows.append((k, " ".join(c)))
+    got = {r.doc_id: r.component_id for r in linked(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)).collect()}
+    want = {i: c for i, (_, c) in brute(rows).items()}
+    assert got == want and 1 < len(set(want.values())) < 700
+
+
 def test_empty_table(spark):
     assert linked(spark.createDataFrame([], DOCS)).count() == 0
 

@@ -20,8 +20,9 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 #: Low bits kept of each minimum; a pair whose estimate is MARGIN (5 standard errors) below the threshold isn't verified.
 BITS, MARGIN = 4, 0.2
-#: Rounds against a bucket's leader, before the pairs that are left are compared in blocks of BLOCK members.
-STARS, BLOCK = 2, 512
+#: Rounds against a bucket's leader. Pairs that are left in a bucket of up to SMALL members are candidates one by one; larger
+#: buckets form families, whose pairs are compared in blocks of about BLOCK members and SHINGLES shingles.
+STARS, SMALL, BLOCK, SHINGLES = 2, 64, 512, 500_000
 
 _FACTOR, _TERM = numbers(MINIMA, 21) | np.uint64(1), numbers(MINIMA, 22)
 
@@ -90,21 +91,77 @@ def estimate(a: str | Column, b: str | Column) -> Column:
     return (1 - other / MINIMA - chance) / (1 - chance)
 
 
-def _blocks(key: tuple, members: pa.Table) -> pa.Table:
-    """The pairs of two blocks of a bucket that are in different components and whose estimate isn't too low."""
-    of, i, j = (x.as_py() for x in key)
-    side, ids, comp = (members.column(c).to_numpy() for c in ("side", "cid", "comp"))
-    sig = members.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), BITS, MINIMA // 64)
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if i == j else 1))
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _near(sig: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(left, right): is the estimate within MARGIN of the threshold, or above?"""
     most = MINIMA * (1 - ((PERCENT / 100 - MARGIN) * (1 - 0.5**BITS) + 0.5**BITS))
-    a, b = [], []
-    for x in left:
-        differ = np.bitwise_or.reduce(sig[right] ^ sig[x], axis=1)
-        near = (np.bitwise_count(differ).sum(axis=1) <= most) & (comp[right] != comp[x]) & ((ids[right] > ids[x]) if i == j else True)
-        b.append(ids[right[near]])
-        a.append(np.full(len(b[-1]), ids[x]))
-    a, b = np.concatenate(a or [ids[:0]]), np.concatenate(b or [ids[:0]])
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    out = np.empty((len(left), len(right)), bool)
+    for k, x in enumerate(left):
+        out[k] = np.bitwise_count(np.bitwise_or.reduce(sig[right] ^ sig[x], axis=1)).sum(axis=1) <= most
+    return out
+
+
+def _signatures(members: pa.Table) -> np.ndarray:
+    return members.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(members), BITS, MINIMA // 64)
+
+
+def _bucket(members: pa.Table) -> pa.Table:
+    """The pairs of a small bucket that are in different components and whose estimate isn't too low."""
+    ids, comp = members.column("cid").to_numpy(), members.column("comp").to_numpy()
+    every = np.arange(len(ids))
+    i, j = np.nonzero(_near(_signatures(members), every, every) & (comp[:, None] < comp[None, :]))
+    return pa.table({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}, schema=_LINK)
+
+
+def _family(key: tuple, members: pa.Table) -> pa.Table:
+    """Links between two blocks of a family, verified on whole sets: as many as join components, no more.
+
+    Intersections of all pairs at once are products of 0/1 matrices over the shingles that both sides have.
+    """
+    same = key[1].as_py() == key[2].as_py()
+    side, ids, comp = (members.column(c).to_numpy() for c in ("side", "cid", "comp"))
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
+    near = _near(_signatures(members), left, right) & (comp[left][:, None] != comp[right][None, :])
+    lists = members.column("set").combine_chunks()
+    cut, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+    size = np.diff(cut)
+    of = np.repeat(np.arange(len(ids)), size)
+    l, r = near.any(1), near.any(0)
+    left, right, near = left[l], right[r], near[l][:, r]
+    if not near.any():
+        return _LINK.empty_table()
+    row = np.full((2, len(ids)), -1)
+    row[0, left], row[1, right] = np.arange(len(left)), np.arange(len(right))
+    shared = np.intersect1d(flat[row[0, of] >= 0], flat[row[1, of] >= 0])
+    at = np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
+    there = (shared[at] == flat) if len(shared) else np.zeros(len(flat), bool)
+    both = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, len(shared), 4096):
+        here = there & (at >= c) & (at < c + 4096)
+        m = [np.zeros((n, 4096), np.float32) for n in (len(left), len(right))]
+        for k in (0, 1):
+            some = here & (row[k, of] >= 0)
+            m[k][row[k, of[some]], at[some] - c] = 1
+        both += m[0] @ m[1].T
+    link = near & (100 * both >= PERCENT * (size[left][:, None] + size[right][None, :] - both))
+    i, j = np.nonzero(link)
+    _, first = np.unique(np.column_stack([comp[left[i]], comp[right[j]]]), axis=0, return_index=True)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    out = []
+    for k in first.tolist():
+        a, b = root(int(comp[left[i[k]]])), root(int(comp[right[j[k]]]))
+        if a != b:
+            parent[b] = a
+            out.append(sorted((int(ids[left[i[k]]]), int(ids[right[j[k]]]))))
+    return pa.table({"a": [x[0] for x in out], "b": [x[1] for x in out]}, schema=_LINK)
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -112,7 +169,8 @@ def linked(docs: DataFrame) -> DataFrame:
 
     1. Signatures. Documents with equal sets are one class from here on, so thousands of exact copies are one member.
     2. Buckets: classes that share a band. Rounds compare a bucket's members with one leader; buckets whose members are
-       all in one component are done. Pairs in different components that are left are compared in blocks by signature.
+       all in one component are done. Of what is left, small buckets give their pairs in different components whose signatures
+       are near. Large buckets with common members are one family, each of whose pairs is compared once, in blocks.
     3. Every candidate's sets are intersected before it counts as a link; components follow.
 
     Null and empty texts are linked with nothing; repeated rows share a class; null ids never become a component's id unless
@@ -159,12 +217,19 @@ def linked(docs: DataFrame) -> DataFrame:
         left = written(named.join(open_, "bucket").select("bucket", "cid", "size", "comp"), "members")
         member = left.select("cid", "bucket")
 
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = left.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("n")).cast("int"))
-    dealt = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("bucket", "cid", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    rest = dealt.join(classes.select("cid", "sig"), "cid").groupBy("bucket", "i", "j").applyInArrow(_blocks, "a long, b long")
-    found = written(verified(rest), "links")
-    comp = components(links.union(found)).withColumnRenamed("id", "cid")
+    few, lot = left.filter(F.col("size") <= SMALL), left.filter(F.col("size") > SMALL)
+    rest = few.join(classes.select("cid", "sig"), "cid").select("bucket", "cid", "comp", "sig").groupBy("bucket").applyInArrow(_bucket, "a long, b long")
+    found = links.union(verified(rest))
+
+    to = lot.groupBy("bucket").agg(F.min("cid").alias("b"))
+    family = components(lot.select("bucket", F.col("cid").alias("a")).join(to, "bucket").select("a", "b"), "families").select(F.col("id").alias("cid"), F.col("comp").alias("family"))
+    mate = family.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).join(classes.select("cid", "sig", "n"), "cid")
+    size = mate.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+    mate = mate.join(size, "family").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).join(sets, "cid")
+    dealt = mate.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "comp", "sig", "set")
+    found = found.union(dealt.groupBy("family", "i", "j").applyInArrow(_family, "a long, b long"))
+    comp = components(found).withColumnRenamed("id", "cid")
 
     group = classes.select("cid", "d1", "d2", "least").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = group.groupBy("comp").agg(F.min("least").alias("component_id"))
