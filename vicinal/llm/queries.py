@@ -14,11 +14,13 @@ from vicinal.llm.quality import op2_quality
 from vicinal.llm.quotes import op9_quotes
 from vicinal.llm.revisits import OP1_SQL, op1_revisits
 from vicinal.llm.secrets import op10_secrets
+from vicinal.llm.suffixes import op3_suffixes
 from vicinal.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_revisits": op1_revisits,
     "op2_quality": op2_quality,
+    "op3_suffixes": op3_suffixes,
     "op4_vectors": op4_vectors,
     "op5_minhash": op5_minhash,
     "op6_mixing": op6_mixing,
