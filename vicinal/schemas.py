@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType()}
+
+
 def schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """From "name type, ..." with simple types and arrays of them; needs no session, unlike Spark's own parser."""
+
+    def kind(name: str) -> T.DataType:
+        return T.ArrayType(kind(name[6:-1])) if name.startswith("array<") else _TYPES[name]
+
+    return T.StructType([T.StructField(n, kind(t)) for n, t in (x.split() for x in text.split(","))])
 
 
 MANIFEST = schema("donor_id string, site string, disease_status string, perturbation_status string, inclusion_status string, exclusion_rationale string")
