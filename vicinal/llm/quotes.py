@@ -26,7 +26,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     """
     at = messages.select("conv_id", "turn", F.posexplode(F.split("text", "\r?\n", -1)).alias("pos", "raw"), F.split("text", "\r?\n", -1).alias("all"))
     level = F.length(F.regexp_replace(F.regexp_extract("raw", MARKS, 0), "[^>]", ""))
-    says = F.col("raw").rlike(SAYS) & F.coalesce(F.get("all", F.col("pos") + 1).rlike(MARKS), F.lit(False)) & (level == 0)
+    says = F.col("raw").rlike(r":\s*$") & F.col("raw").rlike(SAYS) & F.coalesce(F.get("all", F.col("pos") + 1).rlike(MARKS), F.lit(False)) & (level == 0)
     line = F.regexp_replace("raw", MARKS, "")
     return at.select("conv_id", "turn", "pos", F.when(says, -1).otherwise(level).alias("level"), line.alias("line"), normal(line).alias("norm"))
 
@@ -36,9 +36,11 @@ def linked(messages: DataFrame) -> DataFrame:
 
     A quoted passage is a line. Each goes to the latest earlier message that has it as a line of its own: an as-of join by
     conversation and hash, so a line that a whole conversation repeats makes one link each time. The parent is the message
-    with the most lines of the least linked level, the latest of several.
+    with the most lines of the least linked level, the latest of several. Conversations without a > are not parsed.
     """
-    lines = parsed(messages).filter("level >= 0 and norm <> ''").select(F.coalesce("conv_id", F.lit(-1)).alias("conv_id"), "turn", "level", F.xxhash64("norm").alias("hash")).filter("turn is not null")
+    some = messages.withColumn("conv_id", F.coalesce(F.col("conv_id").cast("long"), F.lit(-1))).select("conv_id", "turn", "text")
+    quoting = some.filter(F.contains("text", F.lit(">"))).select("conv_id").distinct()
+    lines = parsed(some.join(quoting, "conv_id", "left_semi")).filter("level >= 0 and norm <> ''").select(F.coalesce("conv_id", F.lit(-1)).alias("conv_id"), "turn", "level", F.xxhash64("norm").alias("hash")).filter("turn is not null")
     lines = lines.groupBy("conv_id", "turn", "level", "hash").agg(F.count("*").alias("n"))
     quoted = lines.filter("level > 0").select("conv_id", "hash").distinct()
     lines = lines.join(quoted, ["conv_id", "hash"], "left_semi").withColumn("turn", F.col("turn").cast("long"))
@@ -61,7 +63,7 @@ def ordered(messages: DataFrame) -> DataFrame:
         paths = written(paths.join(step, ["conv_id", "up"], "left").select("conv_id", "turn", F.coalesce("further", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved")), "paths")
     marked = F.transform(F.split("text", "\r?\n", -1), lambda x: F.struct(x.alias("raw"), x.rlike(MARKS).alias("quoted")))
     df = messages.select("conv_id", "turn", "role", marked.alias("lines"), F.coalesce("conv_id", F.lit(-1)).alias("_c"), F.col("turn").cast("long").alias("_t"))
-    gone = lambda x, i: x["quoted"] | (x["raw"].rlike(SAYS) & F.coalesce(F.get("lines", i + 1)["quoted"], F.lit(False)))
+    gone = lambda x, i: x["quoted"] | (x["raw"].rlike(r":\s*$") & x["raw"].rlike(SAYS) & F.coalesce(F.get("lines", i + 1)["quoted"], F.lit(False)))
     text = F.trim(F.regexp_replace(F.array_join(F.transform(F.filter("lines", lambda x, i: ~gone(x, i)), lambda x: x["raw"]), "\n"), r"^\s+|\s+$", ""))
     df = df.select("conv_id", "turn", "role", text.alias("text"), F.size(F.filter("lines", lambda x: x["quoted"])).alias("n_quoted"), "_c", "_t")
     said = links.join(paths.select("conv_id", "turn", F.col("up").alias("root_turn"), "depth"), ["conv_id", "turn"]).withColumnsRenamed({"conv_id": "_c", "turn": "_t"})
