@@ -3,26 +3,30 @@ from collections import Counter, defaultdict
 
 import xxhash
 
-from vicinal.llm.quality import clean, judge, op2_quality
+from vicinal.llm.quality import TURNS, clean, judge, op2_quality
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, line string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def signed(h):
+    return h - 2**64 if h >= 2**63 else h
+
+
 def chain(words):
     h = 42
     for w in words:
         h = xxhash.xxh64_intdigest(w.encode(), h)
-    return h - 2**64 if h >= 2**63 else h
+    return signed(h)
 
 
 def norm(line):
     return re.sub(r"[\x20\x09-\x0D]+", " ", re.sub(r"\d", "0", line.lower())).strip(" ")
 
 
-def brute(rows, min_docs=10, min_share=0.005, min_left=0.5):
+def brute(rows, min_docs=10, min_share=0.02, min_left=0.5):
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for each (id, text, source)."""
-    base, lines, of, total = [], [], defaultdict(set), defaultdict(set)
+    base, lines, of, total = [], [], defaultdict(lambda: [set() for _ in TURNS]), defaultdict(lambda: [set() for _ in TURNS])
     for _, text, source in rows:
         text = text or ""
         w = WORD.findall(text)
@@ -32,15 +36,18 @@ def brute(rows, min_docs=10, min_share=0.005, min_left=0.5):
         solid = [x for x in text.split("\n") if WORD.search(x)]
         failed = len(w) < 50 or 100 * len(hit) > 50 * len(w)
         base.append((len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(solid) - len(set(solid)), len(hit), failed))
-        sketch = min(map(chain, grams), default=chain(w))
+        hashes = list(map(chain, grams))
+        sketch = [min((signed((h ^ t) % 2**64) for h in hashes), default=chain(w)) for t in TURNS]
         mine = [(norm(x), len(WORD.findall(x))) for x in solid]
         lines.append((source, mine))
-        total[source].add(sketch)
+        for k, x in enumerate(sketch):
+            total[source][k].add(x)
         for x, _ in mine:
-            of[source, x].add(sketch)
+            for k, y in enumerate(sketch):
+                of[source, x][k].add(y)
     out = []
     for b, (source, mine) in zip(base, lines, strict=True):
-        gone = sum(k for x, k in mine if len(of[source, x]) > max(min_docs, min_share * len(total[source])))
+        gone = sum(k for x, k in mine if max(map(len, of[source, x])) > max(min_docs, min_share * max(map(len, total[source]))))
         out.append((*b, not b[5] and b[0] - gone >= min_left * b[0] and b[0] > gone))
     return out
 
@@ -56,7 +63,8 @@ def test_whole_table(spark):
 
 
 def test_lines_and_odd_rows(spark):
-    say = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i)) if isinstance(i, int) else i
+    say = lambda i, n: " ".join(f"w{name(i)}x{name(k)}" for k in range(n))
     rows = [(i, f"Page {i} of  MANY, share it with all\n{say(i, 60)}", "h") for i in range(40)]
     rows += [(100 + i, f"page {i} of many, share it with all\n" * 8 + say(i, 52), "h") for i in range(3)]
     rows += [(200 + i, f"{say('c', 70)}\nanother line of it", "h") for i in range(30)]  # copies of one document
@@ -69,7 +77,7 @@ def test_lines_and_odd_rows(spark):
     assert want[200][6] and not want[300][6] and not want[307][6] and want[0][6] and not want[100][6]
     kept = {r.doc_id: r for r in clean(df).collect()}
     assert set(kept) == {i for i, w in want.items() if w[6]} and kept[20].text == say(20, 60) and kept[20].n_chars == len(kept[20].text) and kept[20].line == "clash"
-    assert kept[200].text == rows[43][1] and kept[400].text.startswith("w0x0")
+    assert kept[200].text == rows[43][1] and kept[400].text.startswith("waxa")
     assert clean(df.limit(0)).count() == 0 and judge(df.limit(0))[0].count() == 0
     same = spark.createDataFrame([(1, say(1, 60), None, "h", None, None)] * 3, DOCS)
     assert len(clean(same).collect()) == 3
