@@ -279,3 +279,15 @@ def chk_hashes(spark: S, d: str) -> DataFrame:
     return split(spark, d).groupBy("part").agg(F.md5(ids).alias("content"))
 
 
+
+
+@query("snk_split", with_(CELLS, SPLIT) + "SELECT part, count(*) AS donors FROM split GROUP BY 1")
+def snk_split(spark: S, d: str) -> DataFrame:
+    return files.read_split(spark, files.write_split(split(spark, d))).groupBy("part").agg(F.count("*").alias("donors"))
+
+
+@query("snk_audit", with_(CELLS) + "SELECT donor_id, cell_type, count(*) AS n FROM cells GROUP BY 1, 2")
+def snk_audit(spark: S, d: str) -> DataFrame:
+    """The audit's crosstab as a file, read back."""
+    df = X.cells(spark, d).groupBy("donor_id", "cell_type").agg(F.count("*").alias("n"))
+    return spark.read.schema(df.schema).option("header", True).csv(files.write_table(df, "csv"))

@@ -9,7 +9,7 @@ from vicinal.functions.scalars import r6
 from vicinal.operators import diagnostics as D
 from vicinal.operators import graph as G
 from vicinal.plans import fixtures as X
-from vicinal.queries.registry import ENDS, NODES, PURITY, edges, knn, query, with_
+from vicinal.queries.registry import CENTROID, ENDS, NODES, PURITY, edges, knn, query, with_
 from vicinal.session import written
 from vicinal.sources import files
 
@@ -323,3 +323,24 @@ def msg_sage_mean(spark: S, d: str) -> DataFrame:
 @query("msg_gcn", with_(*K20) + ", l AS (SELECT src, dst FROM edges UNION ALL SELECT node, node FROM nodes), dg AS (SELECT dst AS node, count(*) AS n FROM l GROUP BY 1), i AS (SELECT unnest(range(1, 65)) AS i) SELECT dst AS node, round(sum(abs(v)), 4) AS total FROM (SELECT l.dst, i, sum(x[i] / sqrt(a.n::DOUBLE * b.n)) AS v FROM l JOIN nodes ON l.src = node JOIN dg a ON a.node = l.src JOIN dg b ON b.node = l.dst, i GROUP BY 1, 2) GROUP BY 1")
 def msg_gcn(spark: S, d: str) -> DataFrame:
     return D.normalised_features(graph(spark, d), X.nodes(spark, d)).groupBy("node").agg(F.round(F.sum(F.abs("v")), 4).alias("total"))
+
+
+@query("snk_graph", with_(*ALL) + "SELECT src, dst, round(dist, 6) AS dist FROM ends WHERE d_part = 'val'")
+def snk_graph(spark: S, d: str) -> DataFrame:
+    """Edges written by kind; only one kind's folder is read."""
+    path = files.write_graph(G.kinds(graph(spark, d), X.nodes(spark, d)))
+    return rounded(files.read_graph(spark, path).filter("kind = 'train->val'").select("src", "dst", "dist"))
+
+
+@query("snk_bundle", with_(NODES) + "SELECT node, y FROM nodes WHERE part = 'test'")
+def snk_bundle(spark: S, d: str) -> DataFrame:
+    """Features written by part; only one part's folder is read."""
+    path = files.write_bundle(X.nodes(spark, d))
+    return files.read_bundle(spark, path, "node bigint, x array<double>, y int, donor bigint, site string, part string", "test").select("node", "y")
+
+
+@query("snk_model", with_(NODES, CENTROID) + "SELECT node, yhat FROM pred")
+def snk_model(spark: S, d: str) -> DataFrame:
+    """Predictions as a file, read back."""
+    df = X.predictions(spark, d).select("node", "yhat")
+    return spark.read.schema(df.schema).parquet(files.write_table(df, "parquet"))
