@@ -123,7 +123,7 @@ def common_prefixes(words: np.ndarray, end: np.ndarray, order: np.ndarray, start
     return out
 
 
-_MARKS = pa.schema([("hash", pa.int64()), ("d", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("piece", pa.int32())])
+_MARKS = pa.schema([("hash", pa.int64()), ("d", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("piece", pa.int32()), ("pieces", pa.int32())])
 
 
 def _shard(rows: pa.Table) -> pa.Table:
@@ -165,13 +165,13 @@ def _shard(rows: pa.Table) -> pa.Table:
     marked = valid & (long_ | many[of])
     edge = np.diff(np.concatenate([[0], marked.astype(np.int8), [0]]))
     a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    out = [(hash_[take][of[a]], d[take][of[a]], a - start[of[a]], b - 1 + LENGTH - start[of[a]], np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), np.full(len(a), -1))]
+    out = [(hash_[take][of[a]], d[take][of[a]], a - start[of[a]], b - 1 + LENGTH - start[of[a]], np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), np.full(len(a), -1), pieces[take][of[a]])]
     dealt = pieces[take] > 1
     rep = order[~joined]
     rep = rep[valid[rep] & dealt[of[rep]]]
     if len(rep):
         fp = [rolled(flat, LENGTH, k)[rep].view(np.int64) for k in (0, 1)]
-        out.append((hash_[take][of[rep]], d[take][of[rep]], rep - start[of[rep]], np.where(marked[rep], -2, -1), *fp, piece[take][of[rep]]))
+        out.append((hash_[take][of[rep]], d[take][of[rep]], rep - start[of[rep]], np.where(marked[rep], -2, -1), *fp, piece[take][of[rep]], pieces[take][of[rep]]))
     return pa.table([pa.array(np.concatenate(c).astype(t.to_pandas_dtype())) for c, t in zip(zip(*out, strict=True), _MARKS.types, strict=True)], schema=_MARKS)
 
 
@@ -189,7 +189,7 @@ def _merge(rows: pa.Table) -> pa.Table:
         hit[own] = count(every, fp[own]) > count(mine, fp[own])
     start = rows.column("start").to_numpy()[hit]
     zero = np.zeros(hit.sum(), np.int64)
-    return pa.table([rows.column("hash").to_numpy()[hit], rows.column("d").to_numpy()[hit], start, (start + LENGTH).astype(np.int32), zero, zero, np.full(hit.sum(), -1, np.int32)], schema=_MARKS)
+    return pa.table([rows.column("hash").to_numpy()[hit], rows.column("d").to_numpy()[hit], start, (start + LENGTH).astype(np.int32), zero, zero, np.full(hit.sum(), -1, np.int32), rows.column("pieces").to_numpy()[hit]], schema=_MARKS)
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,11 +271,15 @@ def repeated(docs: DataFrame) -> DataFrame:
     per_doc = one.distinct().join(often.select("hash", "pieces"), "hash").groupBy("k1", "k2").agg(F.collect_list(F.struct("hash", "pieces")).alias("x")).select("k1", "k2", F.col("x.hash").alias("hashes"), F.col("x.pieces").alias("pieces"))
     place = written(rows.join(per_doc, ["k1", "k2"]).mapInArrow(_contexts, "k1 long, k2 long, pos long, hash long, d long, piece int, pieces int, again boolean, ctx binary"), "contexts")
     asked = place.filter("ctx is not null or again").withColumn("shard", F.pmod(F.xxhash64("hash", "piece"), F.lit(shards)))
-    kind = "hash long, d long, start int, stop int, fp1 long, fp2 long, piece int"
+    kind = "hash long, d long, start int, stop int, fp1 long, fp2 long, piece int, pieces int"
     marks = written(asked.groupBy("shard").applyInArrow(_shard, kind), "marks")
     across = marks.filter("stop < 0").withColumn("range", F.pmod(F.col("fp1"), F.lit(shards))).groupBy("range").applyInArrow(_merge, kind)
-    runs = marks.filter("stop >= 0").union(across).groupBy("hash", "d").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    return place.select("k1", "k2", "pos", "hash", "d").join(runs, ["hash", "d"]).select("k1", "k2", F.explode(F.transform("runs", lambda x: F.struct((F.col("pos") + x["start"]).alias("start"), (F.col("pos") + x["stop"]).alias("stop")))).alias("span")).groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
+    runs = marks.filter("stop >= 0").union(across).groupBy("hash", "d").agg(F.max("pieces").alias("pieces"), F.collect_list(F.struct("start", "stop")).alias("runs"))
+    # places of a common anchor are dealt out by document, and its runs go to each share
+    runs = runs.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    place = place.select("k1", "k2", "pos", "hash", "d", F.pmod(F.xxhash64("k1", "k2"), F.col("pieces")).cast("int").alias("share"))
+    span = F.explode(F.transform("runs", lambda x: F.struct((F.col("pos") + x["start"]).alias("start"), (F.col("pos") + x["stop"]).alias("stop"))))
+    return place.join(runs, ["hash", "d", "share"]).select("k1", "k2", span.alias("span")).groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
 
 
 def _with_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
