@@ -237,6 +237,11 @@ def test_files_and_registries(spark, tmp_path):
     assert G.builder("pca_knn") is G.pca_knn and files.synthetic(spark).collect() == files.synthetic(spark).collect()
 
 
+def test_missing_columns_are_named(spark):
+    with pytest.raises(ValueError, match="donor_id, cell_type"):
+        C.require_columns(frame(spark, [(1,)], "cell_id long"), ["cell_id", "donor_id", "cell_type"])
+
+
 def test_scalars(spark):
     df = frame(spark, [(" B cell ", 2.5), ("other", 3.5)], "label string, x double")
     got = df.select(canon_label(F.col("label"), {"b cell": "B"}).alias("l"), half_even(F.col("x")).alias("r")).collect()

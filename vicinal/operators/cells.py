@@ -52,6 +52,13 @@ def margins(df: DataFrame, row: str, col: str) -> DataFrame:
     return cube.select(F.when(F.col("g1") == 1, "Total").otherwise(F.col(row).cast("string")).alias(row), F.when(F.col("g2") == 1, "Total").otherwise(F.col(col).cast("string")).alias(col), "n")
 
 
+def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """df itself; missing columns are an error that lists them."""
+    if missing := [n for n in names if n not in df.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df
+
+
 def violations(cells: DataFrame, counts: DataFrame, ident: str = "cell_id", donor: str = "donor_id", label: str = "cell_type", least: int = 1) -> DataFrame:
     """(check, bad): how many rows break each rule; all zero for a sound table."""
     empty = cells.limit(1).agg((1 - F.count("*")).alias("bad")).select(F.lit("nonempty").alias("check"), "bad")
