@@ -81,3 +81,20 @@ def test_lines_and_odd_rows(spark):
     assert clean(df.limit(0)).count() == 0 and judge(df.limit(0))[0].count() == 0
     same = spark.createDataFrame([(1, say(1, 60), None, "h", None, None)] * 3, DOCS)
     assert len(clean(same).collect()) == 3
+
+
+def test_documents_are_counted(spark):
+    """Plain counts of different texts: a long shared passage holds the least windows of most documents, yet each counts."""
+    say = lambda i, n: " ".join(f"v{i}y{k}" for k in range(n))
+    passage = "\n".join(say(f"p{j}q", 30) for j in range(10))
+    rows = [(i, f"{passage}\n{say(i, 20)}", "h") for i in range(14)] + [(20 + i, f"{passage}\n{say(0, 20)}", "h") for i in range(5)]
+    rows += [(50 + i, f"{passage}\n{say(i, 20)}", "g") for i in range(10)] + [(70 + i, say(i, 60), "g") for i in range(5)]
+    of, total = defaultdict(set), defaultdict(set)
+    for _, text, source in rows:
+        total[source].add(text)
+        for x in text.split("\n"):
+            of[source, norm(x)].add(text)
+    want = {i: sum(len(WORD.findall(x)) for x in text.split("\n") if len(of[source, norm(x)]) > max(10, 0.02 * len(total[source]))) for i, text, source in rows}
+    verdicts, _ = judge(spark.createDataFrame([(i, t, None, s, None, None) for i, t, s in rows], DOCS))
+    got = {r.doc_id: (r.n_frequent_words, r.kept) for r in verdicts.collect()}
+    assert got == {i: (n, n == 0) for i, n in want.items()} and want[0] == 300 and want[50] == 0

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from vicinal.llm.base import row_key, table, words, written
 
 #: A line goes when more documents of its host have it than this number and this share of the host's documents.
 MIN_DOCS, MIN_SHARE = 10, 0.02
-#: Each document has a sketch for each of these: the least hash of its 3-word windows, their bits turned over by the number.
+#: Numbers of the sketches by which documents were once told apart; no count uses them, a brute force of the tests still does.
 TURNS = (0, 0x2545F4914F6CDD1D, -0x61C8864680B583EB)
 #: A document that keeps less than this share of its words once its frequent lines are gone is depleted.
 MIN_LEFT = 0.5
@@ -24,16 +22,10 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\d", "0"), r"[\x20\x09-\x0D]+", " ")))
 
 
-def _turn(t: int) -> Callable[[Column], Column]:
-    return lambda g: g.bitwiseXOR(F.lit(t))
-
-
 def measured(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: key, host, base metrics, a sketch that tells documents apart, and its lines as (hash, words).
+    """One row per row of docs: key, host, base metrics, a hash of the whole text, and its lines as (hash, words).
 
-    A sketch is the least hash of a document's 3-word windows (of all its words if it has fewer): copies and most near copies of
-    a document share it, so a passage isn't called boilerplate because its one document was copied often. A passage that many
-    documents share may itself hold the least hash of most of them, but hardly so for every sketch.
+    Rows of equal text count as one document, so a passage isn't called boilerplate because its one document was copied often.
     """
     text = F.coalesce("text", F.lit(""))
     df = docs.select("doc_id", *row_key(), F.coalesce("source", F.lit("\0")).alias("host"), text.alias("text"))
@@ -42,31 +34,25 @@ def measured(docs: DataFrame) -> DataFrame:
     df = df.withColumn("n_symbols", F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long")).withColumn("n_dup_lines", (F.size("raw") - F.size(F.array_distinct("raw"))).cast("long"))
     lines = F.transform("raw", lambda x: F.struct(line_hash(x).alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words")))
     grams = F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n_words") - 3, F.lit(0)).cast("int")), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.expr("array()").cast("array<bigint>"))
-    df = df.withColumn("lines", lines).withColumn("grams", grams)
-    turned = [F.array_min(F.transform("grams", _turn(t)) if t else F.col("grams")) for t in TURNS]
-    df = df.withColumn("sketches", F.array(*(F.coalesce(x, F.xxhash64("w")) for x in turned)))
+    df = df.withColumn("lines", lines).withColumn("grams", grams).withColumn("copy", F.xxhash64("text"))
     # windows in hash order; those with an equal neighbour are found twice or more
     df = df.withColumn("sorted", F.when(F.size(F.array_distinct("grams")) < F.size("grams"), F.array_sort(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     df = df.withColumn("at", F.array_sort(F.transform(F.filter("sorted", lambda x, k: F.coalesce(F.get("sorted", k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("sorted", k + 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"])))
     covered = F.aggregate(F.transform("at", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("at", k + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
     df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    return df.select("doc_id", "k1", "k2", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "sketches", "lines")
+    return df.select("doc_id", "k1", "k2", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "copy", "lines")
 
 
 def frequent_lines(measured_docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, line): lines above the limits. A count of documents is the largest of the counts of different sketches.
+    """(host, line): lines above the limits. Both counts are of documents with different texts.
 
-    The first grouping is by host, line and sketch, so one line that all documents have is dealt out; the next ones get a row
+    The first grouping is by host, line and text, so one line that all documents have is dealt out; the second gets one row
     for each key and task.
     """
-    each = measured_docs.select("host", F.posexplode("sketches").alias("k", "sketch"), F.array_distinct(F.transform("lines", lambda x: x["line"])).alias("all"))
-
-    def counted(df: DataFrame, *by: str) -> DataFrame:
-        one = df.groupBy(*by, "k", "sketch").agg(F.lit(1).alias("one")).groupBy(*by, "k").agg(F.sum("one").alias("n"))
-        return one.groupBy(*by).agg(F.max("n").alias("n"))
-
-    by_line = counted(each.select("host", "k", "sketch", F.explode("all").alias("line")), "host", "line").filter(F.col("n") > min_docs)
-    by_host = counted(each, "host").withColumnRenamed("n", "total")
+    lines = F.array_distinct(F.transform("lines", lambda x: x["line"]))
+    one = measured_docs.select("host", "copy", F.explode(lines).alias("line")).groupBy("host", "line", "copy").agg(F.lit(1).alias("one"))
+    by_line = one.groupBy("host", "line").agg(F.sum("one").alias("n")).filter(F.col("n") > min_docs)
+    by_host = measured_docs.groupBy("host", "copy").agg(F.lit(1).alias("one")).groupBy("host").agg(F.sum("one").alias("total"))
     return by_line.join(by_host, "host").filter(F.col("n") > min_share * F.col("total")).select("host", "line")
 
 
