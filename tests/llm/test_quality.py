@@ -98,3 +98,13 @@ def test_documents_are_counted(spark):
     verdicts, _ = judge(spark.createDataFrame([(i, t, None, s, None, None) for i, t, s in rows], DOCS))
     got = {r.doc_id: (r.n_frequent_words, r.kept) for r in verdicts.collect()}
     assert got == {i: (n, n == 0) for i, n in want.items()} and want[0] == 300 and want[50] == 0
+
+
+def test_footer_of_a_large_host(spark):
+    """A line in 101 documents goes on a host of 6,000, where it is under the share; one in 100 stays."""
+    own = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    say = lambda i: " ".join(f"u{own(i)}z{k}" for k in range(55))
+    foot = lambda i: "\nread by permission" * (i < 101) + "\nsent from a train" * (i < 100)
+    verdicts, often = judge(spark.createDataFrame([(i, say(i) + foot(i), None, "h", None, None) for i in range(6000)], DOCS))
+    assert often.count() == 1
+    assert verdicts.filter("n_frequent_lines = 1 and n_frequent_words = 3 and kept and doc_id < 101").count() == 101

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from vicinal.llm.base import row_key, table, words, written
 
-#: A line goes when more documents of its host have it than this number and this share of the host's documents.
-MIN_DOCS, MIN_SHARE = 10, 0.02
+#: A line goes when more documents of its host have it than the first number and this share of the host's documents, or than
+#: the last number. The share takes over from the first number at 500 documents, the largest hosts of the tables up to sf0.1
+#: (none of check_h), and gives way to the last one at 5,000: ten times the first, whatever the size of the host.
+MIN_DOCS, MIN_SHARE, MAX_DOCS = 10, 0.02, 100
 #: Numbers of the sketches by which documents were once told apart; no count uses them, a brute force of the tests still does.
 TURNS = (0, 0x2545F4914F6CDD1D, -0x61C8864680B583EB)
 #: A document that keeps less than this share of its words once its frequent lines are gone is depleted.
@@ -43,7 +45,7 @@ def measured(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", "k1", "k2", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "copy", "lines")
 
 
-def frequent_lines(measured_docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+def frequent_lines(measured_docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
     """(host, line): lines above the limits. Both counts are of documents with different texts.
 
     The first grouping is by host, line and text, so one line that all documents have is dealt out; the second gets one row
@@ -53,16 +55,16 @@ def frequent_lines(measured_docs: DataFrame, min_docs: int = MIN_DOCS, min_share
     one = measured_docs.select("host", "copy", F.explode(lines).alias("line")).groupBy("host", "line", "copy").agg(F.lit(1).alias("one"))
     by_line = one.groupBy("host", "line").agg(F.sum("one").alias("n")).filter(F.col("n") > min_docs)
     by_host = measured_docs.groupBy("host", "copy").agg(F.lit(1).alias("one")).groupBy("host").agg(F.sum("one").alias("total"))
-    return by_line.join(by_host, "host").filter(F.col("n") > min_share * F.col("total")).select("host", "line")
+    return by_line.join(by_host, "host").filter((F.col("n") > min_share * F.col("total")) | (F.col("n") > max_docs)).select("host", "line")
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_left: float = MIN_LEFT) -> tuple[DataFrame, DataFrame]:
+def judge(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_left: float = MIN_LEFT, max_docs: int = MAX_DOCS) -> tuple[DataFrame, DataFrame]:
     """The verdicts, one row for each row of docs, and the frequent lines (host, line).
 
     Null text counts as empty (fails the base rules); null source is a host of its own; repeated rows get a row each.
     """
     base = written(measured(docs), "quality")
-    often = written(frequent_lines(base, min_docs, min_share), "quality-lines")
+    often = written(frequent_lines(base, min_docs, min_share, max_docs), "quality-lines")
     hit = base.select("k1", "k2", "host", F.posexplode("lines").alias("pos", "x")).select("k1", "k2", "host", "pos", F.col("x.line").alias("line"), F.col("x.words").alias("words")).distinct()
     lost = hit.join(often, ["host", "line"]).groupBy("k1", "k2").agg(F.sum("words").alias("gone"), F.count("pos").alias("n_frequent_lines"), F.collect_set("line").alias("frequent"))
     out = base.join(lost, ["k1", "k2"], "left").withColumns({"gone": F.coalesce("gone", F.lit(0)).cast("long"), "n_frequent_lines": F.coalesce("n_frequent_lines", F.lit(0)).cast("long"), "frequent": F.coalesce("frequent", F.expr("array()").cast("array<bigint>"))})
