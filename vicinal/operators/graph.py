@@ -171,13 +171,20 @@ def rewired(edges: DataFrame, nodes: DataFrame, factor: int = 10, seed: int = 42
     """(src, dst, kind): a control with the same degrees, each kind of edge mixed by itself.
 
     A round pairs edges of a kind in a random order, (a, b) and (c, d), and makes them (a, d) and (c, b), unless that gives a
-    loop, an edge that is there already or that two swaps make. Swaps of a round share no edge, so all can go at once; `factor`
-    times as many swaps as edges are tried in 2 * factor rounds. Pairs are made within hash buckets, so no task sorts a kind.
+    loop, an edge that is there already or that two swaps make. Swaps of a round share no edge, so all can go at once. Pairs are
+    made within hash buckets, so no task sorts a kind. A kind is done when `factor` times as many swaps as it has edges have
+    succeeded, or ten times as many were tried: 20 * factor rounds, as a round tries half as many as edges. With `rounds` given,
+    each kind goes just as many.
     """
-    now = written(kinds(edges, nodes).select("src", "dst", "kind"), "rewired")
-    n = now.count()
-    buckets = max(1, n // 10_000)
-    for r in range(rounds if rounds is not None else 2 * factor):
+    now = written(kinds(edges, nodes).select("src", "dst", "kind", F.lit(False).alias("moved")), "rewired")
+    size = {r.kind: r.n for r in now.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    swaps = dict.fromkeys(size, 0)
+    buckets = max(1, sum(size.values()) // 10_000)
+    for r in range(rounds if rounds is not None else 20 * factor):
+        going = [k for k, n in size.items() if n > 1 and (rounds is not None or swaps[k] < factor * n)]
+        if not going:
+            break
+        rest, now = now.filter(~F.col("kind").isin(going)), now.filter(F.col("kind").isin(going))
         h = F.xxhash64(F.lit(seed), F.lit(r), "src", "dst")
         w = W.partitionBy("kind", "b").orderBy("h", "src", "dst")
         df = now.withColumns({"h": h, "b": F.pmod(F.xxhash64(F.lit(r), "dst", "src"), F.lit(buckets))})
@@ -190,8 +197,11 @@ def rewired(edges: DataFrame, nodes: DataFrame, factor: int = 10, seed: int = 42
         twice = F.count("*").over(W.partitionBy("src", "to"))
         made = made.withColumn("bad", F.col("to").isNull() | (F.col("src") == F.col("to")) | F.coalesce("there", F.lit(False)) | (twice > 1))
         made = made.withColumn("stop", F.max("bad").over(W.partitionBy("kind", "b", "pair")))
-        now = written(made.select("src", F.when(F.col("stop"), F.col("dst")).otherwise(F.col("to")).alias("dst"), "kind"), "rewired")
-    return now
+        made = made.select("src", F.when(F.col("stop"), F.col("dst")).otherwise(F.col("to")).alias("dst"), "kind", (~F.col("stop")).alias("moved"))
+        now = written(made.unionByName(rest.withColumn("moved", F.lit(False))), "rewired")
+        for x in now.filter("moved").groupBy("kind").agg(F.count("*").alias("n")).collect():
+            swaps[x.kind] += x.n // 2
+    return now.drop("moved")
 
 
 def to_data(nodes: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ def graph_bbknn(spark: S, d: str) -> DataFrame:
 @query("graph_rewired")
 def graph_rewired(spark: S, d: str) -> DataFrame:
     n = X.nodes(spark, d)
-    return G.rewired(written(graph(spark, d), "edges"), n, rounds=6)
+    return G.rewired(written(graph(spark, d), "edges"), n)
 
 
 @query("graph_count_kinds", with_(*ALL) + "SELECT CASE WHEN s_part = 'train' THEN 'train->' || d_part ELSE 'disallowed' END AS kind, count(*) AS n FROM ends GROUP BY 1")
