@@ -1,7 +1,9 @@
 """Registered queries do the whole job: no fewer rounds, genes, seeds or epochs than the study's."""
 
+import pytest
+
 from vicinal.operators import graph as G
-from vicinal.queries import QUERIES, graphs
+from vicinal.queries import QUERIES, graphs, scores
 
 
 def test_rewired_query_has_no_rounds(spark, sf, monkeypatch):
@@ -28,3 +30,24 @@ def test_rewired_counts_swaps(spark, monkeypatch):
     for kind in ("train->train", "train->val"):
         own = [{e for e in s if e[2] == kind} for s in seen]
         assert sum(len(b - a) // 2 for a, b in zip(own, own[1:])) >= 2 * len(own[0])
+
+
+@pytest.mark.parametrize("name", ["model_mlp", "model_gcn", "model_sage", "model_sweep"])
+def test_networks_train_to_the_end(spark, sf, monkeypatch, name):
+    asked, done = [], RuntimeError("enough")
+
+    def sweep(nodes, graphs, grid, **rules):
+        asked.append((grid, rules))
+        raise done
+
+    monkeypatch.setattr(scores.M, "sweep", sweep)
+    with pytest.raises(RuntimeError, match="enough"):
+        QUERIES[name](spark, sf)
+    assert asked[0][1] == {} and {s for _, _, s in asked[0][0]} == ({7, 17, 42, 73, 101} if name == "model_sweep" else {42})
+
+
+def test_whole_grid(spark, sf, monkeypatch):
+    asked = []
+    monkeypatch.setattr(scores.M, "logistic_grid", lambda *a, **b: asked.append((a, b)) or (a[0].withColumn("prob", a[0].x), None))
+    QUERIES["model_lr"](spark, sf)
+    assert len(asked[0][0]) == 1 and not asked[0][1]

@@ -242,7 +242,7 @@ def top1_epoch(spark: S, d: str) -> DataFrame:
 
 @query("model_lr")
 def model_lr(spark: S, d: str) -> DataFrame:
-    return M.logistic_grid(written(X.nodes(spark, d), "nodes"), (0.1, 1.0))[0].drop("prob")
+    return M.logistic_grid(written(X.nodes(spark, d), "nodes"))[0].drop("prob")
 
 
 def _model(name: str, kind: str, graph: str) -> None:
@@ -250,7 +250,7 @@ def _model(name: str, kind: str, graph: str) -> None:
     def run(spark: S, d: str) -> DataFrame:
         n = written(X.nodes(spark, d), "nodes")
         graphs = {} if kind == "mlp" else {graph: written(bbknn(n, 2) if graph == "bbknn" else pca_knn(n, 20), "edges")}
-        return M.sweep(n, graphs, [(kind, graph, 42)], epochs=30)
+        return M.sweep(n, graphs, [(kind, graph, 42)])
 
 
 _model("model_mlp", "mlp", "none")
@@ -263,7 +263,7 @@ def model_sweep(spark: S, d: str) -> DataFrame:
     """Test macro-F1 of each (model, graph, seed)."""
     n = written(X.nodes(spark, d), "nodes")
     graphs = {"pca_knn_k20": written(pca_knn(n, 20), "edges"), "bbknn": written(bbknn(n, 2), "edges")}
-    grid = [(m, g, s) for m, g in (("mlp", "none"), ("gcn", "pca_knn_k20"), ("graphsage", "bbknn")) for s in (7, 17)]
-    p = M.sweep(n, graphs, grid, epochs=20).filter("part = 'test'")
+    grid = [(m, g, s) for m, g in (("mlp", "none"), ("gcn", "pca_knn_k20"), ("graphsage", "bbknn")) for s in (7, 17, 42, 73, 101)]
+    p = M.sweep(n, graphs, grid).filter("part = 'test'")
     by = ["model", "graph", "seed"]
     return E.summary(E.per_class(p, n.select("y").distinct(), by), by)
