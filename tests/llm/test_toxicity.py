@@ -46,3 +46,10 @@ def test_odd_rows(spark):
     none = scored(spark.createDataFrame(rows[:3], DOCS), labels.limit(0)).collect()
     assert {r.predicted for r in none} == {0}
     assert scored(spark.createDataFrame([], DOCS), labels).count() == 0
+
+
+def test_disguises_at_any_place_are_restored(spark):
+    channel = letter_model(spark.createDataFrame([("the idiot and the whore said shit, bitch, girl; an ass is an idiot in the class",)] * 50, "text string"))
+    for seen, word in (("idio7", "idiot"), ("1d10t", "idiot"), ("whor3", "whore"), ("a$$", "ass"), ("5h17", "shit"), ("8itch", "bitch"), ("9irl", "girl"), ("|diot", "idiot"), ('"idio+!",', "idiot"), ("1d1ot!!", "idiot")):
+        assert word in channel.words(f"so {seen} it"), seen
+    assert channel.words("plain, words. (1999) it's 50 % 'so'") == {"plain", "words", "it", "s", "so"}

@@ -34,7 +34,10 @@ TOKEN = re.compile(r"\S+")
 #: Letters one by one, with a joiner between.
 SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€])(?:[ .\-_*](?:[^\W_]|[@$!|+€])){2,}(?!\S)")
 THRICE = re.compile(r"([^\W\d_])\1\1")
-INNER = re.compile(r"[^\W\d_](?:[0-9@$!|+€*._\-]+[^\W\d_])|(?:^|[^\w])[013457@$]+[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")
+#: A sign that may stand for a letter or join letters; ENDS can only be dropped at a token's ends, which says nothing.
+SIGN = re.compile("[" + re.escape("".join(LEET) + JOINERS) + "]")
+ENDS = re.compile("^[^{0}]+|[^{0}]+$".format(r"\w" + re.escape("".join(LEET))))
 EDGE = re.compile(r"^[\"'(\[{<«#%&*]+|[\"')\]}>».,;:?!#%&*]+$|([^\w\s])\1+$")
 CODE = np.zeros(0x110000, np.uint8)
 CODE[[ord(c) for c in LETTERS]] = range(1, SIZE)
@@ -92,9 +95,10 @@ class Channel:
             found.add(self.decode(m[0]))
         odd = {t for t in set(TOKEN.findall(low)) if not t.isalpha()} | {w for w in found if THRICE.search(w)}
         for t in odd:
-            t = EDGE.sub("", EDGE.sub("", t))
-            if (INNER.search(t) or THRICE.search(t)) and 2 * sum(map(str.isdigit, t)) <= len(t) > 2:
-                found.add(self.decode(t))
+            # marks at the ends may be letters ("a$$") or marks ("idiot!!"): both ways are read, the costs decide on the rest
+            for t in {ENDS.sub("", t), EDGE.sub("", EDGE.sub("", t))}:
+                if THRICE.search(t) or (LETTER.search(t) and SIGN.search(t)):
+                    found.add(self.decode(t))
         found.discard("")
         return found
 
