@@ -51,3 +51,9 @@ def test_whole_grid(spark, sf, monkeypatch):
     monkeypatch.setattr(scores.M, "logistic_grid", lambda *a, **b: asked.append((a, b)) or (a[0].withColumn("prob", a[0].x), None))
     QUERIES["model_lr"](spark, sf)
     assert len(asked[0][0]) == 1 and not asked[0][1]
+
+
+def test_all_genes_and_components(spark, sf):
+    got = QUERIES["pre_pca_fit"](spark, sf)
+    genes, components = (got.select(c).distinct().count() for c in ("gene", "component"))
+    assert genes > 50 and components == 50

@@ -64,18 +64,19 @@ def topn_hvg(spark: S, d: str) -> DataFrame:
     return P.variable_genes(values(spark, d), train(spark, d), 50)
 
 
-def components(spark: S, d: str, k: int = 10):  # noqa: ANN201
+def components(spark: S, d: str):  # noqa: ANN201
     v, t = written(values(spark, d), "values"), train(spark, d)
-    genes = P.variable_genes(v, t, 50)
+    genes = P.variable_genes(v, t)
     stats = P.gene_moments(v, t).join(F.broadcast(genes.select("gene_id")), "gene_id", "left_semi")
-    return P.pca(written(P.feature_rows(P.scaled(v, X.cells(spark, d), stats)), "features"), written(t, "train"), k)
+    return P.pca(written(P.feature_rows(P.scaled(v, X.cells(spark, d), stats)), "features"), written(t, "train"))
 
 
 @query("pre_pca_fit")
 def pre_pca_fit(spark: S, d: str) -> DataFrame:
     """Loadings: one row a gene and component."""
     model, _ = components(spark, d)
-    rows = [(j, i, float(model.pc.toArray()[i, j])) for j in range(model.pc.numCols) for i in range(model.pc.numRows)]
+    pc = model.pc.toArray()  # once: each access fetches the matrix
+    rows = [(j, i, float(pc[i, j])) for j in range(pc.shape[1]) for i in range(pc.shape[0])]
     return spark.createDataFrame(rows, "component int, gene int, loading double")
 
 
