@@ -48,9 +48,24 @@ def test_networks_train_to_the_end(spark, sf, monkeypatch, name):
 
 def test_whole_grid(spark, sf, monkeypatch):
     asked = []
-    monkeypatch.setattr(scores.M, "logistic_grid", lambda *a, **b: asked.append((a, b)) or (a[0].withColumn("prob", a[0].x), None))
-    QUERIES["model_lr"](spark, sf)
-    assert len(asked[0][0]) == 1 and not asked[0][1]
+    done = RuntimeError("enough")
+
+    def grid(nodes, cs, weights, iterations):
+        asked.append((cs, weights, iterations))
+        raise done
+
+    monkeypatch.setattr(scores.M, "logistic_grid", grid)
+    with pytest.raises(RuntimeError, match="enough"):
+        QUERIES["model_lr"](spark, sf)
+    assert asked == [((0.01, 0.1, 1.0, 10.0), ("none", "balanced"), 1000)]
+
+
+def test_settings_of_the_networks():
+    from vicinal.config import ModelConfig
+
+    of = lambda n: (lambda c: (c.hidden, c.dropout, c.rate, c.decay, c.batch, c.epochs, c.patience))(ModelConfig.default(n))
+    assert of("mlp") == ((128, 128), 0.3, 1e-3, 1e-4, 256, 500, 50)
+    assert of("gcn") == of("graphsage") == ((128,), 0.2, 1e-3, 1e-4, 256, 500, 50)
 
 
 def test_all_genes_and_components(spark, sf):

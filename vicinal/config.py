@@ -121,17 +121,30 @@ class GraphConfig(Config):
 
 @dataclass(frozen=True)
 class ModelConfig(Config):
+    """Settings of one model; `default` gives those of its kind."""
+
     name: str = "mlp"
-    hidden: int = 128
+    hidden: tuple[int, ...] = (128, 128)
     dropout: float = 0.3
     rate: float = 1e-3
     decay: float = 1e-4
+    batch: int = 256
     epochs: int = 500
     patience: int = 50
+    cs: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0)
+    class_weights: tuple[str, ...] = ("none", "balanced")
+    iterations: int = 1000
 
     def __post_init__(self) -> None:
-        one_of(self.name, ("logistic_regression", "mlp", "gcn", "graphsage"), "name")
+        one_of(self.name, ("logistic_regression", "mlp", "gcn", "graphsage", "centroid"), "name")
         within(self.dropout, 0, 0.95, "dropout")
+        within(self.batch, 1, 10**6, "batch")
+        within(self.epochs, 1, 10**5, "epochs")
+
+    @classmethod
+    def default(cls, name: str) -> ModelConfig:
+        """Graph models have one hidden layer and a lower dropout."""
+        return cls(name, (128,), 0.2) if name in ("gcn", "graphsage") else cls(name)
 
 
 @dataclass(frozen=True)

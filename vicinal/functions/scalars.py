@@ -43,3 +43,11 @@ def distance(a: Column, b: Column) -> Column:
 def sha256_of(value: object) -> str:
     """Hash of a document: keys sorted, no time stamps put in."""
     return hashlib.sha256(json.dumps(value, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def content_hash(*values: Column | str) -> Column:
+    """An aggregate: SHA-256 of the number of rows and of four sums over each row's own SHA-256, so the order of rows and their
+    partitions don't count, repeated rows do, and no task sees more than its rows. Values are cast to text."""
+    h = F.sha2(F.concat_ws(",", *(F.col(v).cast("string") if isinstance(v, str) else v.cast("string") for v in values)), 256)
+    sums = [F.sum(F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
+    return F.sha2(F.concat_ws(":", F.count("*").cast("string"), *sums), 256)

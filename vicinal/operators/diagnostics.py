@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,18 +135,24 @@ def report(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
+def _received(edges: DataFrame, nodes: DataFrame, weight: Column, how: Callable[[str, str], Column]) -> DataFrame:
+    """(node, x): weighted means or sums of the feature vectors of a node's sources, combined before the shuffle; a row of vectors
+    an edge is joined, never one of numbers. Nodes without in-edges have zeros."""
+    x = nodes.select(F.col("node").alias("src"), array_to_vector("x").alias("v"))
+    got = edges.withColumn("w", weight).join(x, "src").groupBy(F.col("dst").alias("node")).agg(vector_to_array(how("v", "w")).alias("v"))
+    none = F.transform("x", lambda _: F.lit(0.0))
+    return nodes.select("node", "x").join(got, "node", "left").select("node", F.coalesce("v", none).alias("x"))
+
+
 def mean_features(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, i, v): mean of the features of a node's sources; nodes without in-edges have 0."""
-    x = nodes.select(F.col("node").alias("src"), F.posexplode("x").alias("i", "v"))
-    got = edges.select("src", "dst").join(x, "src").groupBy(F.col("dst").alias("node"), "i").agg(F.avg("v").alias("v"))
-    return nodes.select("node", F.posexplode("x").alias("i", "_")).drop("_").join(got, ["node", "i"], "left").na.fill(0.0, ["v"])
+    """(node, x): mean of the features of a node's sources; nodes without in-edges have 0."""
+    return _received(edges.select("src", "dst"), nodes, F.lit(1.0), lambda v, w: Summarizer.mean(F.col(v), F.col(w)))
 
 
 def normalised_features(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, i, v): D^-1/2 (A + I) D^-1/2 X with in-degrees, self loops included."""
+    """(node, x): D^-1/2 (A + I) D^-1/2 X with in-degrees, self loops included."""
     loops = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"))
     e = edges.select("src", "dst").filter("src <> dst").unionByName(loops)
     deg = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
     w = e.join(deg.select(F.col("node").alias("src"), F.col("n").alias("ns")), "src").join(deg.select(F.col("node").alias("dst"), F.col("n").alias("nd")), "dst")
-    x = nodes.select(F.col("node").alias("src"), F.posexplode("x").alias("i", "v"))
-    return w.join(x, "src").groupBy(F.col("dst").alias("node"), "i").agg(F.sum(F.col("v") / F.sqrt(F.col("ns").cast("double") * F.col("nd"))).alias("v"))
+    return _received(w, nodes, 1 / F.sqrt(F.col("ns").cast("double") * F.col("nd")), lambda v, w: Summarizer.sum(F.col(v), F.col(w)))

@@ -9,11 +9,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from vicinal.session import written
+from vicinal.functions.arrays import matrix
+from vicinal.functions.scalars import content_hash
+from vicinal.session import dropped, written
 
 #: Vectors of this many bytes at most go to every task whole; more of them are compared in blocks.
 RESIDENT = 64 << 20
@@ -21,11 +23,6 @@ RESIDENT = 64 << 20
 BLOCK = 20_000
 
 
-def _matrix(col: pa.Array) -> np.ndarray:
-    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1).astype(np.float64) if len(col) else np.zeros((0, 0))
-
-
 def _nearest(q: np.ndarray, qid: np.ndarray, qg: np.ndarray | None, x: np.ndarray, xid: np.ndarray, xg: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, member, distance) of each query's k nearest members of each group, itself apart, by (distance, id).
 
@@ -66,23 +63,23 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, group: str | None = Non
     size = b.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
     kind = "src long, dst long, dist double, grp string"
 
-    def table(ids: np.ndarray, members: np.ndarray, dist: np.ndarray, name: dict[int, str]) -> list[pa.Array]:
-        return [pa.array(members), pa.array(ids), pa.array(dist), pa.array([name[m] for m in members.tolist()], pa.string())]
+    def table(ids: np.ndarray, members: np.ndarray, dist: np.ndarray, own: np.ndarray, code: np.ndarray, names: pa.Array) -> list[pa.Array]:
+        """own: ids of the base in any order, code: their groups as places in names."""
+        by = np.argsort(own, kind="stable")
+        at = by[np.searchsorted(own, members, sorter=by)] if len(members) else members
+        return [pa.array(members), pa.array(ids), pa.array(dist), names.take(pa.array(code[at] if len(members) else members))]
 
     if (size.n or 0) * (size.d or 0) * 8 <= RESIDENT:
-        got = b.toPandas()
-        x = np.array(got.x.tolist(), np.float64).reshape(len(got), -1)
-        xid = got.node.to_numpy(np.int64)
-        name = dict(zip(xid.tolist(), got.grp, strict=True))
-        xg = np.unique(got.grp, return_inverse=True)[1]
-        shared = spark.sparkContext.broadcast((x, xid, xg, name))
+        got = b.toArrow()
+        code = got.column("grp").combine_chunks().dictionary_encode()
+        shared = spark.sparkContext.broadcast((matrix(got.column("x")), got.column("node").to_numpy(), code.indices.to_numpy(zero_copy_only=False), code.dictionary))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            x, xid, xg, name = shared.value
+            x, xid, xg, names = shared.value
             for batch in batches:
                 if len(xid) and batch.num_rows:
-                    found = _nearest(_matrix(batch.column("x")), batch.column("node").to_numpy(), None, x, xid, xg, k)
-                    yield pa.RecordBatch.from_arrays(table(*found, name), ["src", "dst", "dist", "grp"])
+                    found = _nearest(matrix(batch.column("x")), batch.column("node").to_numpy(), None, x, xid, xg, k)
+                    yield pa.RecordBatch.from_arrays(table(*found, xid, xg, names), ["src", "dst", "dist", "grp"])
 
         tasks = max(spark.sparkContext.defaultParallelism, 1)
         out = queries.select("node", "x").repartition(tasks, "node").mapInArrow(run, kind)
@@ -96,10 +93,11 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, group: str | None = Non
         def pair(rows: pa.Table) -> pa.Table:
             side = rows.column("side").to_numpy()
             own, ask = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            x, ids, grp = _matrix(rows.column("x")), rows.column("node").to_numpy(), np.array(rows.column("grp").to_pylist(), object)
-            xg = np.unique(grp[own].astype(str), return_inverse=True)[1] if len(own) else own
+            x, ids = matrix(rows.column("x")), rows.column("node").to_numpy()
+            code = rows.column("grp").combine_chunks().take(pa.array(own)).dictionary_encode()
+            xg = code.indices.to_numpy(zero_copy_only=False)
             found = _nearest(x[ask], ids[ask], None, x[own], ids[own], xg, k) if len(own) and len(ask) else (ids[:0], ids[:0], np.zeros(0))
-            return pa.table(table(*found, dict(zip(ids[own].tolist(), grp[own], strict=True))), ["src", "dst", "dist", "grp"])
+            return pa.table(table(*found, ids[own], xg, code.dictionary), ["src", "dst", "dist", "grp"])
 
         out = left.union(right).groupBy("bb", "qb").applyInArrow(pair, kind)
     by = ["dst", "grp"] if group else ["dst"]
@@ -137,7 +135,9 @@ def rbf(edges: DataFrame, width: DataFrame) -> DataFrame:
 
 
 def pca_knn(nodes: DataFrame, k: int = 20, symmetrise: bool = True, weighted: bool = False) -> DataFrame:
-    train = knn_train(nodes, k)
+    """Neighbours among training nodes, both ways, and of held-out nodes among training nodes. Training neighbours that are needed
+    twice (for the weights' width) are written once."""
+    train = written(knn_train(nodes, k), "knn") if weighted else knn_train(nodes, k)
     own = symmetrised(train) if symmetrise else train.select("src", "dst", "dist")
     edges = own.unionByName(knn_query(nodes, k).select("src", "dst", "dist"))
     return rbf(edges, sigma(train, k)) if weighted else edges
@@ -151,7 +151,7 @@ def mutual(train_knn: DataFrame) -> DataFrame:
 
 def mutual_knn(nodes: DataFrame, k: int = 20) -> DataFrame:
     """Reciprocal edges between training nodes; plain neighbours for held-out nodes."""
-    return mutual(knn_train(nodes, k)).unionByName(knn_query(nodes, k).select("src", "dst", "dist"))
+    return mutual(written(knn_train(nodes, k), "knn")).unionByName(knn_query(nodes, k).select("src", "dst", "dist"))
 
 
 def bbknn(nodes: DataFrame, k: int = 2) -> DataFrame:
@@ -176,7 +176,7 @@ def rewired(edges: DataFrame, nodes: DataFrame, factor: int = 10, seed: int = 42
     succeeded, or ten times as many were tried: 20 * factor rounds, as a round tries half as many as edges. With `rounds` given,
     each kind goes just as many.
     """
-    now = written(kinds(edges, nodes).select("src", "dst", "kind", F.lit(False).alias("moved")), "rewired")
+    start = now = written(kinds(edges, nodes).select("src", "dst", "kind", F.lit(False).alias("moved")), "rewired")
     size = {r.kind: r.n for r in now.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     swaps = dict.fromkeys(size, 0)
     buckets = max(1, sum(size.values()) // 10_000)
@@ -198,12 +198,33 @@ def rewired(edges: DataFrame, nodes: DataFrame, factor: int = 10, seed: int = 42
         made = made.withColumn("bad", F.col("to").isNull() | (F.col("src") == F.col("to")) | F.coalesce("there", F.lit(False)) | (twice > 1))
         made = made.withColumn("stop", F.max("bad").over(W.partitionBy("kind", "b", "pair")))
         made = made.select("src", F.when(F.col("stop"), F.col("dst")).otherwise(F.col("to")).alias("dst"), "kind", (~F.col("stop")).alias("moved"))
-        now = written(made.unionByName(rest.withColumn("moved", F.lit(False))), "rewired")
+        before, now = start, written(made.unionByName(rest.withColumn("moved", F.lit(False))), "rewired")
+        start = now
+        dropped(before)
         for x in now.filter("moved").groupBy("kind").agg(F.count("*").alias("n")).collect():
             swaps[x.kind] += x.n // 2
     return now.drop("moved")
 
 
+def edge_hash() -> Column:
+    """An aggregate over edges: what tells two graphs apart, whatever the order of rows."""
+    return content_hash("src", "dst")
+
+
+def manifest(edges: DataFrame, nodes: DataFrame, name: str, builder: str = "pca_knn", k: int = 20, reference_policy: str = "standard_knn", query_policy: str = "standard_knn", width: DataFrame | None = None) -> DataFrame:
+    """One row that says what a graph is: how it was built, where messages flow, counts of nodes and edges by kind, and hashes of
+    its edges, its weights (in millionths) and its nodes. width: the row of sigma, for weighted edges."""
+    n = nodes.agg(F.count("*").alias("num_nodes"), *(F.count_if(F.col("part") == p).alias(f"num_{p}_nodes") for p in ("train", "val", "test")), content_hash("node", "part").alias("node_hash"))
+    weighted = "weight" in edges.columns
+    weights = content_hash("src", "dst", F.round(F.col("weight") * 1_000_000).cast("bigint")) if weighted else F.lit(None).cast("string")
+    kind = kinds(edges, nodes)
+    count = lambda c: F.count_if(F.col("kind") == c)
+    e = kind.agg(F.count("*").alias("num_edges"), count("train->train").alias("num_train_train_edges"), count("train->val").alias("num_train_to_val_edges"), count("train->test").alias("num_train_to_test_edges"), count("disallowed").alias("num_disallowed_edges"), edge_hash().alias("edge_hash"), weights.alias("weight_hash"))
+    said = {"graph_name": name, "builder_type": builder, "reference_edge_policy": reference_policy, "query_edge_policy": query_policy, "metric": "euclidean", "weighting": "rbf" if weighted else "unweighted", "edge_index_convention": "source_to_target", "message_flow_train": "train_to_train", "message_flow_validation": "train_to_validation", "message_flow_test": "train_to_test"}
+    out = n.crossJoin(e).withColumns({c: F.lit(v) for c, v in said.items()} | {c: F.lit(k) for c in ("k", "nominal_train_k", "nominal_query_k")} | {"query_nodes_affect_training": F.lit(False)})  # two rows of one
+    return out.crossJoin(width.select(F.col("sigma").alias("sigma_k"))) if width is not None else out.withColumn("sigma_k", F.lit(None).cast("double"))
+
+
 def to_data(nodes: DataFrame) -> DataFrame:
     """What a model sees: features of all nodes, labels of training nodes only (-1 elsewhere)."""
     return nodes.select("node", "x", "part", F.when(F.col("part") == "train", F.col("y")).otherwise(-1).alias("y"))

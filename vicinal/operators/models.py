@@ -1,30 +1,37 @@
-"""Classifiers: logistic regression in Spark ML, and small networks (MLP, GCN, GraphSAGE) trained one run a task.
+"""Classifiers behind one surface: fit, predict, predict_proba, save, load.
 
-The networks are full-batch in numpy: features of all nodes, a sparse operator, and training labels. Several runs (model, graph,
-seed) go in parallel, each in a task that holds the feature matrix, whose size is checked. Batch statistics come from training
-nodes only, and every model is scored in evaluation mode after its step.
+Logistic regression is Spark ML's. The networks (MLP, GCN, GraphSAGE) are numpy, one run a task: several runs (model, graph, seed)
+go in parallel, and each task holds the features and edges, whose size is checked first. All learn from training nodes, are
+selected by validation macro-F1, and never see labels of test nodes; what a network without a graph is given can't hold edges.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import LogisticRegression
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinal.config import ModelConfig
+from vicinal.functions.arrays import matrix
 from vicinal.operators.evaluation import per_class, summary
 
-#: Features and edges that a training task may hold, in numbers.
-MOST = 200_000_000
+#: Numbers (features, and three for each edge) that a training task and the driver may hold, 320 MB. A study of 80,000 nodes with 50
+#: features and 2.7 million edges has 12 million. Beyond this a network is an error; logistic regression has no such bound.
+MOST = 40_000_000
+PARTS = ("train", "val", "test")
+Params = dict[str, np.ndarray]
 
 
-def logistic_grid(nodes: DataFrame, cs: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0), weights: tuple[str, ...] = ("none", "balanced")) -> tuple[DataFrame, DataFrame]:
-    """(predictions, grid): an L2 logistic regression for each C and class weight, the best by validation macro-F1 (classes seen
-    in truth or prediction); ties go to the first of the grid. Spark penalises the mean loss, so regParam is 1 / (C * sum of
+def logistic_grid(nodes: DataFrame, cs: tuple[float, ...] = ModelConfig.cs, weights: tuple[str, ...] = ModelConfig.class_weights, iterations: int = ModelConfig.iterations) -> tuple[LogisticRegressionModel, DataFrame]:
+    """(model, grid): an L2 logistic regression for each C and class weight, the best by validation macro-F1 (classes seen in
+    truth or prediction); ties go to the first of the grid. Spark penalises the mean loss, so regParam is 1 / (C * sum of
     weights)."""
     v = nodes.withColumn("v", array_to_vector("x"))
     train = v.filter("part = 'train'")
@@ -34,7 +41,7 @@ def logistic_grid(nodes: DataFrame, cs: tuple[float, ...] = (0.01, 0.1, 1.0, 10.
     best, rows, fitted = -1.0, [], None
     for c in cs:
         for w in weights:
-            model = LogisticRegression(featuresCol="v", labelCol="y", weightCol=w, family="multinomial", regParam=1 / (c * total.n), standardization=False, maxIter=100).fit(weighed)
+            model = LogisticRegression(featuresCol="v", labelCol="y", weightCol=w, family="multinomial", regParam=1 / (c * total.n), standardization=False, maxIter=iterations).fit(weighed)
             val = model.transform(v.filter("part = 'val'")).select("y", F.col("prediction").cast("int").alias("yhat"))
             seen = val.select("y").union(val.select(F.col("yhat").alias("y"))).distinct()
             f1 = summary(per_class(val, seen)).first().macro_f1 or 0.0
@@ -42,8 +49,7 @@ def logistic_grid(nodes: DataFrame, cs: tuple[float, ...] = (0.01, 0.1, 1.0, 10.
             if f1 > best:
                 best, fitted = f1, model
     weighed.unpersist()
-    out = fitted.transform(v).select("node", "y", "donor", "site", "part", F.col("prediction").cast("int").alias("yhat"), vector_to_array("probability").alias("prob"))
-    return out, nodes.sparkSession.createDataFrame(rows, "c double, class_weight string, val_macro_f1 double")
+    return fitted, nodes.sparkSession.createDataFrame(rows, "c double, class_weight string, val_macro_f1 double")
 
 
 def top1_grid(grid: DataFrame) -> DataFrame:
@@ -55,26 +61,36 @@ def macro_f1(y: np.ndarray, p: np.ndarray) -> float:
     return float(np.mean([2 * ((y == c) & (p == c)).sum() / max(1, (y == c).sum() + (p == c).sum()) for c in seen])) if len(seen) else 0.0
 
 
+def softmax(o: np.ndarray) -> np.ndarray:
+    e = np.exp(o - o.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
 class _Sparse:
     """out[dst] = sum of w * x[src]; backward is the same the other way."""
 
     def __init__(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int) -> None:
-        by = np.argsort(dst, kind="stable")
-        self.src, self.dst, self.w, self.n = src[by], dst[by], w[by], n
+        self.n = n
+        self.there, self.back_ = self._sorted(src, dst, w), self._sorted(dst, src, w)
+
+    @staticmethod
+    def _sorted(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+        by = np.argsort(b, kind="stable")
+        a, b, w = a[by], b[by], w[by]
+        head = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else b
+        return a, w[:, None], head, b[head]
 
-    def _run(self, x: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def _run(self, x: np.ndarray, a: np.ndarray, w: np.ndarray, head: np.ndarray, to: np.ndarray) -> np.ndarray:
         out = np.zeros((self.n, x.shape[1]))
         if len(a):
-            head = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-            out[b[head]] = np.add.reduceat(x[a] * w[:, None], head, axis=0)
+            out[to] = np.add.reduceat(x[a] * w, head, axis=0)
         return out
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        return self._run(x, self.src, self.dst, self.w)
+        return self._run(x, *self.there)
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        by = np.argsort(self.src, kind="stable")
-        return self._run(g, self.dst[by], self.src[by], self.w[by])
+        return self._run(g, *self.back_)
 
 
 def operator(kind: str, src: np.ndarray, dst: np.ndarray, n: int, weight: np.ndarray | None = None) -> _Sparse | None:
@@ -90,88 +106,397 @@ def operator(kind: str, src: np.ndarray, dst: np.ndarray, n: int, weight: np.nda
     return _Sparse(src, dst, w / np.sqrt(deg[src] * deg[dst]), n)
 
 
-def train(kind: str, x: np.ndarray, y: np.ndarray, part: np.ndarray, op: _Sparse | None, seed: int, hidden: int = 64, epochs: int = 200, patience: int = 50, rate: float = 0.01, decay: float = 1e-4, dropout: float = 0.2) -> tuple[np.ndarray, list[float]]:
-    """(class probabilities of all nodes, validation macro-F1 by epoch) of a two-layer network with AdamW; weights of the first
-    best epoch are kept. part: 0 training, 1 validation, 2 test."""
-    rng = np.random.default_rng(seed)
-    k = int(y.max()) + 1 if len(y) else 1
-    wide = 2 if kind == "graphsage" else 1
-    p = {"w1": rng.normal(size=(x.shape[1] * wide, hidden)) * np.sqrt(2 / max(1, x.shape[1] * wide)), "b1": np.zeros(hidden), "g": np.ones(hidden), "s": np.zeros(hidden), "w2": rng.normal(size=(hidden * wide, k)) * np.sqrt(1 / (hidden * wide)), "b2": np.zeros(k)}
-    spread = (lambda v: v) if op is None else (lambda v: np.concatenate([v, op(v)], 1)) if kind == "graphsage" else op
-    gather = (lambda g, d: g) if op is None else (lambda g, d: g[:, :d] + op.back(g[:, d:])) if kind == "graphsage" else (lambda g, d: op.back(g))
-    m, v = ({a: np.zeros_like(b) for a, b in p.items()} for _ in range(2))
-    own, val = np.flatnonzero(part == 0), np.flatnonzero(part == 1)
-    x1 = spread(x)
-    best, kept, since, curve = -1.0, {a: b.copy() for a, b in p.items()}, 0, []
+class _AdamW:
+    def __init__(self, p: Params, rate: float, decay: float) -> None:
+        self.p, self.rate, self.decay, self.t = p, rate, decay, 0
+        self.m, self.v = ({a: np.zeros_like(b) for a, b in p.items()} for _ in range(2))
+
+    def step(self, grad: Params) -> None:
+        self.t += 1
+        for c, g in grad.items():
+            self.m[c] = 0.9 * self.m[c] + 0.1 * g
+            self.v[c] = 0.999 * self.v[c] + 0.001 * g * g
+            self.p[c] -= self.rate * (self.m[c] / (1 - 0.9**self.t) / (np.sqrt(self.v[c] / (1 - 0.999**self.t)) + 1e-8) + self.decay * self.p[c])
+
+
+class _Layers:
+    """A network of plain layers, trained in batches."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, own: np.ndarray, k: int, op: None, rng: np.random.Generator, conf: ModelConfig) -> None:
+        self.x, self.y, self.own, self.rng, self.conf = x, y, own, rng, conf
+        sizes = [x.shape[1], *conf.hidden, k]
+        self.p: Params = {}
+        for i, (a, b) in enumerate(zip(sizes, sizes[1:], strict=False)):
+            lim = 1 / np.sqrt(max(1, a))
+            self.p |= {f"w{i}": rng.uniform(-lim, lim, (a, b)), f"b{i}": rng.uniform(-lim, lim, b)}
+        self.opt = _AdamW(self.p, conf.rate, conf.decay)
+
+    def epoch(self) -> None:
+        order = self.rng.permutation(self.own)
+        for b in range(0, len(order), self.conf.batch):
+            rows = order[b : b + self.conf.batch]
+            last = len(self.p) // 2 - 1
+            a, keep = [self.x[rows]], []
+            for i in range(last):
+                h = np.maximum(a[-1] @ self.p[f"w{i}"] + self.p[f"b{i}"], 0)
+                keep.append((self.rng.random(h.shape) >= self.conf.dropout) / (1 - self.conf.dropout))
+                a.append(h * keep[-1])
+            g = softmax(a[-1] @ self.p[f"w{last}"] + self.p[f"b{last}"])
+            g[np.arange(len(rows)), self.y[rows]] -= 1
+            g /= len(rows)
+            grad: Params = {}
+            for i in range(last, -1, -1):
+                grad |= {f"w{i}": a[i].T @ g, f"b{i}": g.sum(0)}
+                if i:
+                    g = (g @ self.p[f"w{i}"].T) * keep[i - 1] * (a[i] > 0)
+            self.opt.step(grad)
+
+    @staticmethod
+    def proba(p: Params, x: np.ndarray, op: None = None) -> np.ndarray:
+        last = len(p) // 2 - 1
+        for i in range(last):
+            x = np.maximum(x @ p[f"w{i}"] + p[f"b{i}"], 0)
+        return softmax(x @ p[f"w{last}"] + p[f"b{last}"])
+
+    def frozen(self) -> Params:
+        return {a: b.copy() for a, b in self.p.items()}
+
 
-    def forward(p: dict[str, np.ndarray], drop: bool) -> tuple:
-        z = x1 @ p["w1"] + p["b1"]
-        mu, sd = z[own].mean(0), z[own].std(0) + 1e-5  # of training nodes
+class _Convolutions:
+    """Two layers over a graph, all nodes at once: messages, batch norm over training nodes, ReLU, dropout, messages."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, own: np.ndarray, k: int, op: _Sparse, rng: np.random.Generator, conf: ModelConfig) -> None:
+        self.y, self.own, self.op, self.rng, self.conf = y, own, op, rng, conf
+        self.wide = 2 if conf.name == "graphsage" else 1
+        self.width = conf.hidden[0]
+        lim = lambda a, b: rng.uniform(-np.sqrt(6 / (a + b)), np.sqrt(6 / (a + b)), (a, b))
+        self.p: Params = {"w1": lim(x.shape[1] * self.wide, self.width), "b1": np.zeros(self.width), "g": np.ones(self.width), "s": np.zeros(self.width), "w2": lim(self.width * self.wide, k), "b2": np.zeros(k)}
+        self.opt = _AdamW(self.p, conf.rate, conf.decay)
+        self.x1 = self._spread(op, x, self.wide)
+
+    @staticmethod
+    def _spread(op: _Sparse, v: np.ndarray, wide: int) -> np.ndarray:
+        return np.concatenate([v, op(v)], 1) if wide == 2 else op(v)
+
+    def _gather(self, g: np.ndarray) -> np.ndarray:
+        return g[:, : self.width] + self.op.back(g[:, self.width :]) if self.wide == 2 else self.op.back(g)
+
+    def _norm(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return z[self.own].mean(0), np.sqrt(z[self.own].var(0) + 1e-5)
+
+    def epoch(self) -> None:
+        p, own = self.p, self.own
+        z = self.x1 @ p["w1"] + p["b1"]
+        mu, sd = self._norm(z)
         u = (z - mu) / sd
         a = np.maximum(u * p["g"] + p["s"], 0)
-        mask = (rng.random(a.shape) >= dropout) / (1 - dropout) if drop else 1.0
-        h = spread(a * mask)
-        o = h @ p["w2"] + p["b2"]
-        e = np.exp(o - o.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True), h, mask, a, u, sd
-
-    for t in range(1, epochs + 1):
-        prob, h, mask, a, u, sd = forward(p, True)
+        mask = (self.rng.random(a.shape) >= self.conf.dropout) / (1 - self.conf.dropout)
+        h = self._spread(self.op, a * mask, self.wide)
+        prob = softmax(h @ p["w2"] + p["b2"])
         g = np.zeros_like(prob)
         g[own] = prob[own]
-        g[own, y[own]] -= 1
+        g[own, self.y[own]] -= 1
         g /= max(1, len(own))
         grad = {"w2": h.T @ g, "b2": g.sum(0)}
-        ga = gather(g @ p["w2"].T, hidden) * mask * (a > 0)
+        ga = self._gather(g @ p["w2"].T) * mask * (a > 0)
         grad["g"], grad["s"] = (ga * u).sum(0), ga.sum(0)
         gu = ga * p["g"]
         # statistics are of training nodes: their part of the gradient goes there
         gz = gu / sd
         gz[own] -= (gu.sum(0) + u[own] * (gu * u).sum(0)) / (max(1, len(own)) * sd)
-        grad["w1"], grad["b1"] = x1.T @ gz, gz.sum(0)
-        for c in p:
-            m[c] = 0.9 * m[c] + 0.1 * grad[c]
-            v[c] = 0.999 * v[c] + 0.001 * grad[c] ** 2
-            p[c] -= rate * (m[c] / (1 - 0.9**t) / (np.sqrt(v[c] / (1 - 0.999**t)) + 1e-8) + decay * p[c])
-        score = macro_f1(y[val], forward(p, False)[0][val].argmax(1))
-        curve.append(score)
-        if score > best:
-            best, kept, since = score, {c: b.copy() for c, b in p.items()}, 0
+        grad["w1"], grad["b1"] = self.x1.T @ gz, gz.sum(0)
+        self.opt.step(grad)
+
+    @classmethod
+    def proba(cls, p: Params, x: np.ndarray, op: _Sparse) -> np.ndarray:
+        wide = p["w1"].shape[0] // x.shape[1]
+        return cls._after(p, cls._spread(op, x, wide), op, wide)
+
+    @classmethod
+    def _after(cls, p: Params, x1: np.ndarray, op: _Sparse, wide: int) -> np.ndarray:
+        a = np.maximum((x1 @ p["w1"] + p["b1"] - p["mu"]) / p["sd"] * p["g"] + p["s"], 0)
+        return softmax(cls._spread(op, a, wide) @ p["w2"] + p["b2"])
+
+    def frozen(self) -> Params:
+        mu, sd = self._norm(self.x1 @ self.p["w1"] + self.p["b1"])
+        return {a: b.copy() for a, b in self.p.items()} | {"mu": mu, "sd": sd}
+
+
+def train(conf: ModelConfig, x: np.ndarray, y: np.ndarray, part: np.ndarray, op: _Sparse | None, seed: int) -> tuple[Params, list[float]]:
+    """(weights of the first epoch of best validation macro-F1, that score by epoch). part: 0 training, 1 validation, 2 test.
+
+    Without validation nodes the last epoch counts. `patience` epochs without a better score end the run.
+    """
+    own, val = np.flatnonzero(part == 0), np.flatnonzero(part == 1)
+    kind = _Layers if op is None else _Convolutions
+    net = kind(x, y, own, int(y[part < 2].max()) + 1 if (part < 2).any() else 1, op, np.random.default_rng(seed), conf)
+    best, kept, since, curve = -1.0, net.frozen(), 0, []
+    for _ in range(conf.epochs):
+        net.epoch()
+        now = net.frozen()
+        if not len(val):
+            kept = now
+            continue
+        prob = kind.proba(now, x[val]) if op is None else kind._after(now, net.x1, op, net.wide)[val]
+        curve.append(macro_f1(y[val], prob.argmax(1)))
+        if curve[-1] > best:
+            best, kept, since = curve[-1], now, 0
         else:
             since += 1
-            if since >= patience:
+            if since >= conf.patience:
                 break
-    return forward(kept, False)[0], curve
+    return kept, curve
 
 
-def sweep(nodes: DataFrame, graphs: dict[str, DataFrame], grid: list[tuple[str, str, int]], **rules: float) -> DataFrame:
-    """(model, graph, seed, node, y, yhat, part, donor, site, epochs) of every (model, graph, seed) of the grid, trained in parallel.
+def proba(conf: ModelConfig, p: Params, x: np.ndarray, op: _Sparse | None) -> np.ndarray:
+    return _Layers.proba(p, x) if op is None else _Convolutions.proba(p, x, op)
 
-    Features, labels and edges go to all tasks once. A model's inputs are what one training task can hold, so their size is
-    checked first: beyond MOST numbers this is an error.
-    """
-    spark = nodes.sparkSession
+
+def _checked(nodes: DataFrame, graphs: dict[str, DataFrame]) -> None:
     size = nodes.agg(F.sum(F.size("x")).alias("n")).first().n or 0
-    edges = {g: e.agg(F.count("*").alias("n")).first().n for g, e in graphs.items()}
-    if size + 2 * sum(edges.values()) > MOST:
-        raise ValueError(f"{size} features and {sum(edges.values())} edges are too many for a training task")
-    t = nodes.select("node", "x", "y", "part", "donor", "site").orderBy("node").toPandas()
-    x, y = np.array(t.x.tolist()), t.y.to_numpy()
-    part = t.part.map({"train": 0, "val": 1, "test": 2}).to_numpy()
-    at = {n: i for i, n in enumerate(t.node)}
+    edges = sum(e.count() for e in graphs.values())
+    if size + 3 * edges > MOST:
+        raise ValueError(f"{size} features and {edges} edges are too many for a training task (at most {MOST} numbers)")
+
+
+def _held(nodes: DataFrame, graphs: dict[str, DataFrame]) -> tuple[pa.Table, np.ndarray, dict[str, tuple[np.ndarray, ...]]]:
+    """Node table without features, features, and (src, dst, weight) of each graph as row numbers; checked, as Arrow."""
+    _checked(nodes, graphs)
+    t = nodes.orderBy("node").toArrow()
+    ids = t.column("node").to_numpy()
     ends = {}
     for name, e in graphs.items():
-        p = e.select("src", "dst").orderBy("dst", "src").toPandas()
-        ends[name] = (p.src.map(at).to_numpy(), p.dst.map(at).to_numpy())
-    shared = spark.sparkContext.broadcast((x, y, part, t.drop(columns=["x"]), ends))
+        g = e.select("src", "dst", F.col("weight") if "weight" in e.columns else F.lit(1.0).alias("weight")).orderBy("dst", "src").toArrow()
+        ends[name] = (np.searchsorted(ids, g.column("src").to_numpy()), np.searchsorted(ids, g.column("dst").to_numpy()), g.column("weight").to_numpy().astype(float))
+    return t.drop_columns(["x"]), matrix(t.column("x")), ends
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+NONE = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _run(nodes: DataFrame, graphs: dict[str, DataFrame], grid: list[tuple[str, str, int]], confs: dict[str, ModelConfig], schema: str, give: Any) -> DataFrame:  # noqa: ANN401
+    """Trains each (model, graph, seed) of the grid in a task of its own; give(key, meta, x, op, params, curve) makes its rows."""
+    spark = nodes.sparkSession
+    meta, x, ends = _held(nodes, graphs)
+    part = np.array([PARTS.index(p) for p in meta.column("part").to_pylist()])
+    y = np.where(part < 2, meta.column("y").to_numpy(), 0)  # test labels don't get into a training task
+    shared = spark.sparkContext.broadcast((x, y, part, meta, ends))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y, part, meta, ends = shared.value
-        for frame in frames:
-            for model, graph, seed in frame.itertuples(index=False):
-                src, dst = ends.get(graph, (np.zeros(0, int), np.zeros(0, int)))
-                prob, curve = train(model, x, y, part, operator(model, src, dst, len(x)), seed, **rules)
-                yield meta.assign(model=model, graph=graph, seed=seed, yhat=prob.argmax(1), epochs=len(curve))[["model", "graph", "seed", "node", "y", "yhat", "part", "donor", "site", "epochs"]]
+        for batch in batches:
+            for row in batch.to_pylist():
+                src, dst, w = ends.get(row["graph"], NONE)
+                conf = confs[row["model"]]
+                op = operator(row["model"], src, dst, len(x), w)
+                params, curve = train(conf, x, y, part, op, row["seed"])
+                yield from give(row, meta, x, op, conf, params, curve).to_batches()
 
     todo = spark.createDataFrame(grid, "model string, graph string, seed int").repartition(max(1, len(grid)))
-    return todo.mapInPandas(run, "model string, graph string, seed int, node long, y int, yhat int, part string, donor long, site string, epochs int")
+    return todo.mapInArrow(run, schema)
+
+
+def _config(kind: str, rules: dict[str, Any]) -> ModelConfig:
+    return ModelConfig.of(ModelConfig.default(kind).plain() | rules)
+
+
+def sweep(nodes: DataFrame, graphs: dict[str, DataFrame], grid: list[tuple[str, str, int]], **rules: Any) -> DataFrame:  # noqa: ANN401
+    """(model, graph, seed, node, y, yhat, prob, part, donor, site, epochs) of every (model, graph, seed), trained in parallel.
+
+    Settings are those of ModelConfig, `rules` replaces some. Edges with a column `weight` are weighted in a GCN. Features, labels
+    and edges go to all tasks once; their size is checked first: beyond MOST numbers this is an error.
+    """
+
+    def give(row: dict, meta: pa.Table, x: np.ndarray, op: _Sparse | None, conf: ModelConfig, p: Params, curve: list[float]) -> pa.Table:
+        prob = proba(conf, p, x, op)
+        n = len(x)
+        cols = {k: pa.array([row[k]] * n, t) for k, t in (("model", pa.string()), ("graph", pa.string()), ("seed", pa.int32()))}
+        cols |= {"node": meta.column("node"), "y": meta.column("y").cast(pa.int32()), "yhat": pa.array(prob.argmax(1).astype(np.int32)), "prob": pa.FixedSizeListArray.from_arrays(pa.array(prob.reshape(-1)), prob.shape[1]).cast(pa.list_(pa.float64()))}
+        return pa.table(cols | {k: meta.column(k) for k in ("part", "donor", "site")} | {"epochs": pa.array([len(curve)] * n, pa.int32())})
+
+    confs = {k: _config(k, rules) for k in {m for m, _, _ in grid}}
+    typed = nodes.select(F.col("node").cast("long").alias("node"), "x", "y", "part", F.col("donor").cast("long").alias("donor"), F.col("site").cast("string").alias("site"))
+    return _run(typed, graphs, grid, confs, "model string, graph string, seed int, node long, y int, yhat int, prob array<double>, part string, donor long, site string, epochs int", give)
+
+
+class Classifier:
+    """What every model offers.
+
+    fit(nodes, edges=None): nodes (node, x, y, part) of parts train and val; others are ignored. predict_proba(nodes, edges=None):
+    (node, prob); predict: (node, yhat). Before fit both are an error. A model without a graph refuses edges. save(path) writes
+    settings and weights, through Spark, to any folder that it reaches; load(spark, path) gives the model back.
+    """
+
+    graph = False
+
+    def __init__(self, conf: ModelConfig, seed: int = 42) -> None:
+        self.conf, self.seed = conf, seed
+        self.params: Params | None = None
+        self.curve: list[float] = []
+
+    @property
+    def best_epoch(self) -> int:
+        return int(np.argmax(self.curve)) + 1 if self.curve else 0
+
+    @property
+    def best_val_macro_f1(self) -> float:
+        return max(self.curve, default=0.0)
+
+    def history(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(i + 1, v) for i, v in enumerate(self.curve)], "epoch int, val_macro_f1 double")
+
+    def _allowed(self, edges: DataFrame | None) -> dict[str, DataFrame]:
+        if (edges is not None) != self.graph:
+            raise ValueError(f"{self.conf.name} {'needs' if self.graph else 'takes no'} edges")
+        return {"g": edges} if edges is not None else {}
+
+    def fit(self, nodes: DataFrame, edges: DataFrame | None = None) -> Classifier:
+        def give(row: dict, meta: pa.Table, x: np.ndarray, op: _Sparse | None, conf: ModelConfig, p: Params, curve: list[float]) -> pa.Table:
+            p = p | {"curve": np.array(curve)}
+            return pa.table({"name": list(p), "shape": [list(v.shape) for v in p.values()], "data": [v.reshape(-1) for v in p.values()]}, schema=pa.schema([("name", pa.string()), ("shape", pa.list_(pa.int32())), ("data", pa.list_(pa.float64()))]))
+
+        # a graph is fitted on the graph of the given nodes: what is sent out to other parts doesn't come back, as those send nothing
+        used = nodes if self.graph else nodes.filter(F.col("part").isin("train", "val"))
+        got = _run(used.select("node", "x", "y", "part"), self._allowed(edges), [(self.conf.name, "g", self.seed)], {self.conf.name: self.conf}, WEIGHTS, give)
+        self._take(got)
+        return self
+
+    def _take(self, rows: DataFrame) -> None:
+        self.params = {r.name: np.array(r.data).reshape(r.shape) for r in rows.collect()}  # a network's weights
+        self.curve = self.params.pop("curve").tolist()
+
+    def _fitted(self) -> Params:
+        if self.params is None:
+            raise RuntimeError("the model isn't fitted: call fit first")
+        return self.params
+
+    def predict_proba(self, nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+        p, conf = self._fitted(), self.conf
+        graphs = self._allowed(edges)
+        if self.graph:
+            meta, x, ends = _held(nodes.select("node", "x"), graphs)
+            src, dst, w = ends["g"]
+            prob = proba(conf, p, x, operator(conf.name, src, dst, len(x), w))
+            return nodes.sparkSession.createDataFrame(pa.table({"node": meta.column("node"), "prob": list(prob)}))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(proba(conf, p, matrix(batch.column("x")), None)))], ["node", "prob"])
+
+        return nodes.select("node", "x").mapInArrow(run, "node long, prob array<double>")
+
+    def predict(self, nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+        best = F.array_position("prob", F.array_max("prob")).cast("int") - 1
+        return self.predict_proba(nodes, edges).select("node", best.alias("yhat"))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        p = self._fitted() | {"curve": np.array(self.curve)}
+        spark.createDataFrame([(k, list(v.shape), v.reshape(-1).tolist()) for k, v in p.items()], WEIGHTS).coalesce(1).write.parquet(f"{path}/weights")
+        _save_settings(spark, path, self.conf, self.seed)
+
+
+WEIGHTS = "name string, shape array<int>, data array<double>"
+
+
+def _save_settings(spark: SparkSession, path: str, conf: ModelConfig, seed: int) -> None:
+    spark.createDataFrame([(json.dumps(conf.plain(), sort_keys=True), conf.sha256(), seed)], "settings string, sha256 string, seed int").coalesce(1).write.json(f"{path}/settings")
+
+
+class MLP(Classifier):
+    def __init__(self, conf: ModelConfig | None = None, seed: int = 42) -> None:
+        super().__init__(conf or ModelConfig.default("mlp"), seed)
+
+
+class GCN(Classifier):
+    graph = True
+
+    def __init__(self, conf: ModelConfig | None = None, seed: int = 42) -> None:
+        super().__init__(conf or ModelConfig.default("gcn"), seed)
+
+
+class GraphSAGE(Classifier):
+    graph = True
+
+    def __init__(self, conf: ModelConfig | None = None, seed: int = 42) -> None:
+        super().__init__(conf or ModelConfig.default("graphsage"), seed)
+
+
+class Logistic(Classifier):
+    """Spark ML's logistic regression over the grid of C and class weights; `grid` is the selection table."""
+
+    def __init__(self, conf: ModelConfig | None = None, seed: int = 42) -> None:
+        super().__init__(conf or ModelConfig.default("logistic_regression"), seed)
+        self.model: LogisticRegressionModel | None = None
+        self.grid: DataFrame | None = None
+
+    def fit(self, nodes: DataFrame, edges: DataFrame | None = None) -> Logistic:
+        self._allowed(edges)
+        self.model, self.grid = logistic_grid(nodes.filter(F.col("part").isin("train", "val")), self.conf.cs, self.conf.class_weights, self.conf.iterations)
+        return self
+
+    def predict_proba(self, nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+        self._allowed(edges)
+        if self.model is None:
+            raise RuntimeError("the model isn't fitted: call fit first")
+        return self.model.transform(nodes.select("node", array_to_vector("x").alias("v"))).select("node", vector_to_array("probability").alias("prob"))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        if self.model is None:
+            raise RuntimeError("the model isn't fitted: call fit first")
+        self.model.write().save(f"{path}/weights")
+        _save_settings(spark, path, self.conf, self.seed)
+
+
+class Centroid(Classifier):
+    """The class whose mean over training nodes is nearest, ties to the least class; a baseline that SQL can say too."""
+
+    def __init__(self, conf: ModelConfig | None = None, seed: int = 42) -> None:
+        super().__init__(conf or ModelConfig.default("centroid"), seed)
+
+    def fit(self, nodes: DataFrame, edges: DataFrame | None = None) -> Centroid:
+        self._allowed(edges)
+        mean = nodes.filter("part = 'train'").select("y", F.posexplode("x").alias("i", "v")).groupBy("y", "i").agg(F.avg("v").alias("v"))
+        rows = mean.groupBy("y").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("c")).orderBy("y").collect()  # one row a class
+        self.params = {"y": np.array([float(r.y) for r in rows]), "c": np.array([r.c for r in rows])}
+        return self
+
+    def predict_proba(self, nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+        """1 for the nearest class, 0 for the others; classes are numbers from 0."""
+        self._allowed(edges)
+        p = self._fitted()
+        y, c = p["y"].astype(int), p["c"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = matrix(batch.column("x"))
+                    far = np.stack([np.sqrt(((x - v) ** 2).sum(1)) for v in c], 1).round(9)
+                    hot = np.zeros((len(x), int(y.max()) + 1))
+                    hot[np.arange(len(x)), y[far.argmin(1)]] = 1
+                    yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(hot))], ["node", "prob"])
+
+        return nodes.select("node", "x").mapInArrow(run, "node long, prob array<double>")
+
+
+MODELS: dict[str, type[Classifier]] = {"logistic_regression": Logistic, "mlp": MLP, "gcn": GCN, "graphsage": GraphSAGE, "centroid": Centroid}
+
+
+def classifier(name: str, seed: int = 42, **rules: Any) -> Classifier:  # noqa: ANN401
+    if name not in MODELS:
+        raise KeyError(f"no model {name}; there are {', '.join(sorted(MODELS))}")
+    return MODELS[name](_config(name, rules), seed)
+
+
+def load(spark: SparkSession, path: str) -> Classifier:
+    """The model that save wrote; settings whose hash isn't theirs are an error."""
+    row = spark.read.schema("settings string, sha256 string, seed int").json(f"{path}/settings").first()
+    conf = ModelConfig.of(json.loads(row.settings))
+    if conf.sha256() != row.sha256:
+        raise ValueError(f"the settings in {path} were changed")
+    model = MODELS[conf.name](conf, row.seed)
+    if isinstance(model, Logistic):
+        model.model = LogisticRegressionModel.load(f"{path}/weights")
+    else:
+        model._take(spark.read.schema(WEIGHTS).parquet(f"{path}/weights"))
+    return model

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -55,25 +61,40 @@ def variable_genes(values: DataFrame, cells: DataFrame, n: int = 2000, bins: int
     return d.orderBy(F.desc_nulls_last("score"), "gene_id").limit(n).select("gene_id", F.row_number().over(W.orderBy(F.desc_nulls_last("score"), "gene_id")).alias("rank"))
 
 
-def scaled(values: DataFrame, cells: DataFrame, stats: DataFrame, clip: float | None = 10.0) -> DataFrame:
-    """(cell_id, gene_id, z): every cell by every selected gene; absent values become -mean / sd.
+def feature_rows(values: DataFrame, cells: DataFrame, stats: DataFrame, clip: float | None = 10.0) -> DataFrame:
+    """(cell_id, x): each cell's scaled values in order of genes; absent values become -mean / sd.
 
-    The grid is what dense features are: as many values as cells times the selected genes (2000 at most). It is made a cell at
-    a time from the genes' list, which is broadcast as it has that bound.
+    Values stay sparse through the shuffle; a row is made dense where it is used, 256 cells at a time. The genes' list goes to all
+    tasks: a number for each selected gene.
     """
-    genes = stats.agg(F.collect_list(F.struct("gene_id", "mean", "sd")).alias("genes"))
-    own = values.join(F.broadcast(stats.select("gene_id")), "gene_id", "left_semi").groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("gene_id", "v"))).alias("m"))
-    grid = cells.select("cell_id").join(own, "cell_id", "left").crossJoin(F.broadcast(genes))
-    z = F.transform("genes", lambda g: F.struct(g["gene_id"].alias("gene_id"), ((F.coalesce(F.try_element_at("m", g["gene_id"]), F.lit(0.0)) - g["mean"]) / g["sd"]).alias("z")))
-    df = grid.select("cell_id", F.inline(z))
-    if clip is not None:
-        df = df.withColumn("z", F.greatest(F.lit(-clip), F.least(F.lit(clip), F.col("z"))))
-    return df
+    genes = [(r.gene_id, -r["mean"] / r.sd) for r in stats.select("gene_id", "mean", "sd").orderBy("gene_id").collect()]  # the selected genes
+    spark = stats.sparkSession
+    place = spark.createDataFrame([(g, i) for i, (g, _) in enumerate(genes)], stats.select("gene_id", F.lit(0).alias("i")).schema)
+    base = np.array([z for _, z in genes])
+    known = stats.join(F.broadcast(place), "gene_id")
+    own = values.join(F.broadcast(known), "gene_id").groupBy("cell_id").agg(F.collect_list(F.struct("i", ((F.col("v") - F.col("mean")) / F.col("sd")).alias("z"))).alias("own"))
+    rows = cells.select("cell_id").join(own.select("cell_id", F.col("own.i").alias("i"), F.col("own.z").alias("z")), "cell_id", "left")
+    low, high = (-np.inf, np.inf) if clip is None else (-clip, clip)
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in range(0, whole.num_rows, 256):
+                batch = whole.slice(b, 256)
+                x = np.tile(base, (batch.num_rows, 1))
+                i, z = batch.column("i"), batch.column("z")
+                at = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(i), 0).to_numpy(zero_copy_only=False))
+                x[at, i.flatten().to_numpy(zero_copy_only=False).astype(int)] = z.flatten().to_numpy(zero_copy_only=False)
+                flat = np.clip(x, low, high).reshape(-1)
+                yield pa.RecordBatch.from_arrays([batch.column("cell_id"), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(base)), pa.array(flat))], ["cell_id", "x"])
+
+    return rows.mapInArrow(dense, f"cell_id {dict(cells.dtypes)['cell_id']}, x array<double>")
 
 
-def feature_rows(z: DataFrame) -> DataFrame:
-    """(cell_id, x): a cell's values in order of genes."""
-    return z.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("gene_id", "z"))), lambda s: s["z"]).alias("x"))
+def scaled(values: DataFrame, cells: DataFrame, stats: DataFrame, clip: float | None = 10.0) -> DataFrame:
+    """(cell_id, gene_id, z): the long form of feature_rows, every cell by every selected gene; nothing else here needs it."""
+    genes = stats.agg(F.array_sort(F.collect_list("gene_id")).alias("genes"))
+    rows = feature_rows(values, cells, stats, clip).crossJoin(F.broadcast(genes))  # one row
+    return rows.select("cell_id", F.inline(F.arrays_zip(F.col("genes").alias("gene_id"), F.col("x").alias("z")))).toDF("cell_id", "gene_id", "z")
 
 
 def pca(features: DataFrame, train: DataFrame, k: int = 50):  # noqa: ANN201
@@ -84,7 +105,6 @@ def pca(features: DataFrame, train: DataFrame, k: int = 50):  # noqa: ANN201
     width = features.select(F.size("x").alias("n")).first().n
     rows = fitted.count()
     model = PCA(k=max(1, min(k, rows - 1, width)), inputCol="v", outputCol="p").fit(fitted)
-    mean = model.transform(fitted).select(F.posexplode(vector_to_array("p")).alias("i", "p")).groupBy("i").agg(F.avg("p").alias("mean"))
-    centre = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "mean"))), lambda s: s["mean"]).alias("centre"))
+    centre = model.transform(fitted).agg(vector_to_array(Summarizer.mean(F.col("p"))).alias("centre"))
     out = model.transform(v).crossJoin(F.broadcast(centre))
     return model, out.select("cell_id", F.zip_with(vector_to_array("p"), "centre", lambda a, b: a - b).alias("pc"))

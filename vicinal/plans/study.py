@@ -22,7 +22,7 @@ def features(counts: DataFrame, cells: DataFrame, genes: int = 2000, k: int = 50
     values = written(P.log_normalised(counts).select("cell_id", "gene_id", "v"), "values")
     top = P.variable_genes(values, train, genes)
     stats = written(P.gene_moments(values, train).join(top.select("gene_id"), "gene_id", "left_semi"), "stats")
-    rows = written(P.feature_rows(P.scaled(values, cells, stats)), "features")
+    rows = written(P.feature_rows(values, cells, stats), "features")
     _, pc = P.pca(rows, train, k)
     out = pc.join(parts, "cell_id").join(C.label_ids(cells, "cell_type"), "cell_type")
     return written(out.select(F.col("cell_id").alias("node"), F.col("pc").alias("x"), "y", F.col("donor_id").alias("donor"), "site", "part"), "nodes")

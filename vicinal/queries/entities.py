@@ -8,10 +8,12 @@ from pyspark.sql.window import Window as W
 
 from vicinal.functions.scalars import canon_label, r6
 from vicinal.operators import cells as C
+from vicinal.operators import graph as G
 from vicinal.operators.splitting import donor_split, random_split
 from vicinal.plans import fixtures as X
-from vicinal.queries.registry import CELLS, COUNTS, MANIFEST, RUNS, SPLIT, query, with_
-from vicinal.sources import files
+from vicinal.queries.registry import CELLS, COUNTS, MANIFEST, NODES, RUNS, SPLIT, content_sql, edges, knn, query, with_
+from vicinal.session import written
+from vicinal.sources import artifacts, files
 
 S = SparkSession
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -127,13 +129,43 @@ def flt_runs(spark: S, d: str) -> DataFrame:
     return X.runs(spark, d).filter(F.col("graph").isin("bbknn") & F.col("run_id").rlike("^run(0|1)[0-9]$") & F.col("seed").isin(7, 17, 42, 73)).select("run_id", "model")
 
 
+#: Sound tables and ones with planted defects: each 50th cell twice, the copy without a label; counts of each 41st cell negative.
+FLAWED = CELLS + ", " + COUNTS + """,
+fc AS (SELECT * FROM cells UNION ALL SELECT cell_id, donor_id, site, NULL FROM cells WHERE cell_id % 50 = 0),
+fn AS (SELECT cell_id, CASE WHEN cell_id % 41 = 0 THEN -n ELSE n END AS n FROM counts)"""
+#: What each check counts, and of which tables; donors with fewer cells than this break min_cells.
+LEAST = 8
+_BROKEN = {
+    "nonempty": "SELECT 1 - count(*) FROM (SELECT 1 FROM {cells} WHERE {some} LIMIT 1)",
+    "unique_id": "SELECT count(*) FROM (SELECT cell_id FROM {cells} WHERE {some} GROUP BY 1 HAVING count(*) > 1)",
+    "nulls": "SELECT count(*) FROM {cells} WHERE {some} AND (donor_id IS NULL OR cell_type IS NULL)",
+    "counts": "SELECT count(*) FROM {counts} WHERE {some} AND (n < 0 OR n % 1 <> 0)",
+    "min_cells": "SELECT count(*) FROM (SELECT donor_id FROM {cells} WHERE {some} GROUP BY 1 HAVING count(*) < " + str(LEAST) + ")",
+}
+
+
+def flawed(spark: S, d: str) -> tuple[DataFrame, DataFrame]:
+    c, n = X.cells(spark, d), X.counts(spark, d)
+    twice = c.filter("cell_id % 50 = 0").withColumn("cell_type", F.lit(None).cast("string"))
+    return c.unionByName(twice), n.withColumn("n", F.when(F.col("cell_id") % 41 == 0, -F.col("n")).otherwise(F.col("n")))
+
+
 def _check(name: str) -> None:
-    @query(f"chk_{name}", f"SELECT '{name}' AS \"check\", CAST(0 AS BIGINT) AS bad")
+    one = lambda table, cells, counts, some: f"SELECT '{table}' AS \"table\", '{name}' AS \"check\", CAST((" + _BROKEN[name].format(cells=cells, counts=counts, some=some) + ") AS BIGINT) AS bad"
+
+    @query(f"chk_{name}", with_(FLAWED) + " UNION ALL ".join((one("sound", "cells", "counts", "true"), one("flawed", "fc", "fn", "true"), one("empty", "fc", "fn", "cell_id < 0"))))
     def run(spark: S, d: str) -> DataFrame:
-        return C.violations(X.cells(spark, d), X.counts(spark, d)).filter(F.col("check") == name)
+        """The check's count on sound tables, on ones with planted defects, and on empty ones."""
+        bad = flawed(spark, d)
+        tables = {"sound": (X.cells(spark, d), X.counts(spark, d)), "flawed": bad, "empty": tuple(t.filter("cell_id < 0") for t in bad)}
+        out = None
+        for table, (c, n) in tables.items():
+            one = C.violations(c, n, least=LEAST).filter(F.col("check") == name).select(F.lit(table).alias("table"), "check", F.col("bad").cast("bigint").alias("bad"))
+            out = one if out is None else out.unionByName(one)
+        return out
 
 
-for _name in ("nonempty", "unique_id", "nulls", "counts", "min_cells"):
+for _name in _BROKEN:
     _check(_name)
 
 
@@ -273,12 +305,24 @@ def split_random_debug(spark: S, d: str) -> DataFrame:
     return random_split(X.cells(spark, d))
 
 
-@query("chk_hashes", with_(CELLS, SPLIT) + "SELECT part, md5(string_agg(CAST(donor_id AS VARCHAR), ',' ORDER BY donor_id)) AS content FROM split GROUP BY 1")
-def chk_hashes(spark: S, d: str) -> DataFrame:
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("donor_id")), lambda x: x.cast("string")), ",")
-    return split(spark, d).groupBy("part").agg(F.md5(ids).alias("content"))
+_OLD_HASH = "md5(string_agg(CAST(donor_id AS VARCHAR), ',' ORDER BY donor_id))"
 
 
+@query("chk_hashes", with_(CELLS, SPLIT, NODES, knn(20), edges()) + f"SELECT 'split' AS artifact, part AS name, {_OLD_HASH} AS content, true AS same FROM split GROUP BY 2 UNION ALL SELECT 'graph', 'written', {content_sql('src', 'dst')}, true FROM edges UNION ALL SELECT 'graph', 'tampered', {content_sql('src', 'dst')}, false FROM (SELECT src, CASE WHEN src % 7 = 0 THEN dst + 1 ELSE dst END AS dst FROM edges)")
+def chk_hashes(spark: S, d: str) -> DataFrame:
+    """Hashes of the split's parts; the hash of a stored graph's edges, found again and held against its manifest; the same for a
+    copy in which some edges were changed after the manifest was written."""
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("donor_id")), lambda x: x.cast("string")), ",")
+    parts = split(spark, d).groupBy(F.lit("split").alias("artifact"), F.col("part").alias("name")).agg(F.md5(ids).alias("content")).withColumn("same", F.lit(True))
+    n = X.nodes(spark, d)
+    home = artifacts.write_graph_bundle(written(G.pca_knn(n, 20), "edges"), n, "pca_knn_k20")
+    e, said = artifacts.read_graph_bundle(spark, home)
+    changed = e.withColumn("dst", F.when(F.col("src") % 7 == 0, F.col("dst") + 1).otherwise(F.col("dst")))
+    out = parts
+    for name, df in (("written", e), ("tampered", changed)):
+        got = df.agg(G.edge_hash().alias("content")).crossJoin(said.select("edge_hash"))  # two rows of one
+        out = out.unionByName(got.select(F.lit("graph").alias("artifact"), F.lit(name).alias("name"), "content", (F.col("content") == F.col("edge_hash")).alias("same")))
+    return out
 
 
 @query("snk_split", with_(CELLS, SPLIT) + "SELECT part, count(*) AS donors FROM split GROUP BY 1")
@@ -286,8 +330,19 @@ def snk_split(spark: S, d: str) -> DataFrame:
     return files.read_split(spark, files.write_split(split(spark, d))).groupBy("part").agg(F.count("*").alias("donors"))
 
 
-@query("snk_audit", with_(CELLS) + "SELECT donor_id, cell_type, count(*) AS n FROM cells GROUP BY 1, 2")
+_AUDIT = """
+funnel AS (SELECT 'filtering_funnel' AS artifact, stage AS name, count(*) AS value FROM (SELECT 'raw' AS stage FROM cells UNION ALL SELECT 'site' FROM cells WHERE site <> 4 UNION ALL SELECT 'label' FROM cells WHERE site <> 4 AND cell_type <> 'HOUSEHOLD') GROUP BY 2),
+ds AS (SELECT 'donor_counts_by_stage', CAST(donor_id AS VARCHAR), count(*) FILTER (site <> 4 AND cell_type <> 'HOUSEHOLD') FROM cells GROUP BY 2),
+pairs AS (SELECT 'cell_type_by_donor', cell_type || '|' || donor_id, count(*) FROM cells WHERE site <> 4 AND cell_type <> 'HOUSEHOLD' GROUP BY 2),
+sup AS (SELECT 'label_support_by_split', cell_type || '|' || part, count(*) FROM cells JOIN split USING (donor_id) WHERE cells.site <> 4 AND cell_type <> 'HOUSEHOLD' GROUP BY 2),
+pol AS (SELECT 'label_policy', cell_type, count(DISTINCT donor_id) FROM cells WHERE site <> 4 AND cell_type <> 'HOUSEHOLD' GROUP BY 2),
+man AS (SELECT 'source_manifest', 'cells', count(*) FROM cells UNION ALL SELECT 'source_manifest', 'genes', count(DISTINCT gene_id) FROM counts),
+md AS (SELECT 'audit_summary', 'passed', 6)"""
+
+
+@query("snk_audit", with_(CELLS, COUNTS, SPLIT, _AUDIT) + "SELECT * FROM funnel UNION ALL SELECT * FROM ds UNION ALL SELECT * FROM pairs UNION ALL SELECT * FROM sup UNION ALL SELECT * FROM pol UNION ALL SELECT * FROM man UNION ALL SELECT * FROM md")
 def snk_audit(spark: S, d: str) -> DataFrame:
-    """The audit's crosstab as a file, read back."""
-    df = X.cells(spark, d).groupBy("donor_id", "cell_type").agg(F.count("*").alias("n"))
-    return spark.read.schema(df.schema).option("header", True).csv(files.write_table(df, "csv"))
+    """The seven artifacts of an audit written, and read back as (artifact, name, value)."""
+    stages = [("raw", F.lit(True)), ("site", F.col("site") != 4), ("label", F.col("cell_type") != "HOUSEHOLD")]
+    home = artifacts.write_audit(X.cells(spark, d), X.counts(spark, d), split(spark, d), stages)
+    return artifacts.read_audit(spark, home)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from vicinal.functions.scalars import r6
 from vicinal.operators import diagnostics as D
 from vicinal.operators import graph as G
+from vicinal.operators import models as M
 from vicinal.plans import fixtures as X
-from vicinal.queries.registry import CENTROID, ENDS, NODES, PURITY, edges, knn, query, with_
-from vicinal.session import written
+from vicinal.queries.registry import CENTROID, ENDS, NODES, PURITY, content_sql, edges, knn, query, with_
+from vicinal.session import fresh, written
 from vicinal.sources import files
 
 S = SparkSession
@@ -143,9 +144,19 @@ def chk_edge_direction(spark: S, d: str) -> DataFrame:
     return k.agg(F.count_if(F.col("kind") == "disallowed").alias("bad"), F.count_if(F.col("src") == F.col("dst")).alias("loops"))
 
 
-@query("graph_manifest", with_(*ALL) + "SELECT 'pca_knn_k20' AS name, 20 AS k, count(*) AS edges, count(DISTINCT dst) AS targets, CAST(sum(src * 31 + dst) AS BIGINT) AS content FROM edges")
+_MANIFEST = "'{name}' AS graph_name, 'pca_knn' AS builder_type, 20 AS k, 20 AS nominal_train_k, 20 AS nominal_query_k, 'standard_knn' AS reference_edge_policy, 'standard_knn' AS query_edge_policy, 'euclidean' AS metric, '{weighting}' AS weighting, 'source_to_target' AS edge_index_convention, 'train_to_train' AS message_flow_train, 'train_to_validation' AS message_flow_validation, 'train_to_test' AS message_flow_test, false AS query_nodes_affect_training"
+_COUNTED = "mn AS (SELECT count(*) AS num_nodes, count(*) FILTER (part = 'train') AS num_train_nodes, count(*) FILTER (part = 'val') AS num_val_nodes, count(*) FILTER (part = 'test') AS num_test_nodes, " + content_sql("node", "part") + " AS node_hash FROM nodes), me AS (SELECT count(*) AS num_edges, count(*) FILTER (s_part = 'train' AND d_part = 'train') AS num_train_train_edges, count(*) FILTER (s_part = 'train' AND d_part = 'val') AS num_train_to_val_edges, count(*) FILTER (s_part = 'train' AND d_part = 'test') AS num_train_to_test_edges, count(*) FILTER (s_part <> 'train') AS num_disallowed_edges, " + content_sql("src", "dst") + " AS edge_hash FROM ends)"
+
+
+@query("graph_manifest", with_(*ALL, _COUNTED, _SIGMA) + "SELECT mn.*, me.*, NULL::VARCHAR AS weight_hash, NULL::DOUBLE AS sigma_k, " + _MANIFEST.format(name="pca_knn_k20", weighting="unweighted") + " FROM mn, me UNION ALL BY NAME SELECT mn.*, me.*, NULL::VARCHAR AS weight_hash, round(s, 6) AS sigma_k, " + _MANIFEST.format(name="pca_knn_k20_rbf", weighting="rbf") + " FROM mn, me, sg")
 def graph_manifest(spark: S, d: str) -> DataFrame:
-    return graph(spark, d).agg(F.lit("pca_knn_k20").alias("name"), F.lit(20).alias("k"), F.count("*").alias("edges"), F.count_distinct("dst").alias("targets"), F.sum(F.col("src") * 31 + F.col("dst")).alias("content"))
+    """Manifests of the plain and the weighted graph; the weights' hash is left to the tests, as engines round differently."""
+    n = written(X.nodes(spark, d), "nodes")
+    train = written(G.knn_train(n, 20), "knn")
+    edges = written(G.symmetrised(train).unionByName(G.knn_query(n, 20).select("src", "dst", "dist")), "edges")
+    width = written(G.sigma(train, 20), "sigma")
+    both = G.manifest(edges, n, "pca_knn_k20").unionByName(G.manifest(G.rbf(edges, width), n, "pca_knn_k20_rbf", width=width))
+    return both.withColumns({"weight_hash": F.lit(None).cast("string"), "sigma_k": r6("sigma_k")})
 
 
 @query("src_graph", with_(*ALL) + "SELECT 'train->' || d_part AS kind, count(*) AS n, count(DISTINCT dst) AS targets FROM ends GROUP BY 1")
@@ -171,18 +182,19 @@ def prj_concat_parts(spark: S, d: str) -> DataFrame:
     return out.groupBy("part").agg(F.count("*").alias("n"), F.max(F.size("x")).cast("bigint").alias("width"))
 
 
-def _variants(*parts: tuple[str, int, str]) -> str:
-    ctes = [NODES]
-    for name, k, group in parts:
-        ctes += [knn(k, group, f"k_{name}"), edges(f"k_{name}", f"e_{name}")]
-    return with_(*ctes) + " UNION ALL ".join(f"SELECT '{name}' AS graph, count(*) AS edges, round(avg(dist), 6) AS dist FROM e_{name}" for name, _, _ in parts)
+@query("graph_variants", with_(NODES, knn(20), _MUTUAL, *(x for n, k, g in (("k10", 10, ""), ("k20", 20, ""), ("k24", 24, ""), ("k50", 50, ""), ("bb2", 2, "donor")) for x in (knn(k, g, f"k_{n}"), edges(f"k_{n}", f"e_{n}"))), "e_mutual20 AS (SELECT * FROM mut UNION ALL SELECT src, dst, dist FROM knn WHERE dpart <> 'train')") + " UNION ALL ".join(f"SELECT '{n}' AS graph, count(*) AS edges, round(avg(dist), 6) AS dist FROM e_{n}" for n in ("k10", "k20", "k24", "k50", "mutual20", "bb2")))
+def graph_variants(spark: S, d: str) -> DataFrame:
+    """Edges and mean distance of each graph of the sweep. The k-NN of the largest k is found once; smaller ones are its first ranks."""
+    n = written(X.nodes(spark, d), "nodes")
+    train, ask = written(G.knn_train(n, 50), "knn"), written(G.knn_query(n, 50), "knn")
 
+    def plain(k: int) -> DataFrame:
+        return G.symmetrised(train.filter(F.col("rank") <= k)).unionByName(ask.filter(F.col("rank") <= k).select("src", "dst", "dist"))
 
-@query("graph_variants", _variants(("k10", 10, ""), ("k20", 20, ""), ("k24", 24, ""), ("bb2", 2, "donor")))
-def graph_variants(spark: S, d: str) -> DataFrame:
-    n = X.nodes(spark, d)
+    mutual = G.mutual(train.filter("rank <= 20")).unionByName(ask.filter("rank <= 20").select("src", "dst", "dist"))
+    graphs = {f"k{k}": plain(k) for k in (10, 20, 24, 50)} | {"mutual20": mutual, "bb2": G.bbknn(n, 2)}
     out = None
-    for name, e in (("k10", G.pca_knn(n, 10)), ("k20", G.pca_knn(n, 20)), ("k24", G.pca_knn(n, 24)), ("bb2", G.bbknn(n, 2))):
+    for name, e in graphs.items():
         one = e.agg(F.lit(name).alias("graph"), F.count("*").alias("edges"), r6(F.avg("dist")).alias("dist"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -317,12 +329,12 @@ def snk_diag(spark: S, d: str) -> DataFrame:
 
 @query("msg_sage_mean", with_(*K20) + ", i AS (SELECT unnest(range(1, 65)) AS i) SELECT node, round(sum(abs(coalesce(v, 0))), 4) AS total FROM nodes CROSS JOIN i LEFT JOIN (SELECT dst, i, avg(x[i]) AS v FROM edges JOIN nodes ON src = node, i GROUP BY 1, 2) m ON m.dst = node AND m.i = i.i GROUP BY 1")
 def msg_sage_mean(spark: S, d: str) -> DataFrame:
-    return D.mean_features(graph(spark, d), X.nodes(spark, d)).groupBy("node").agg(F.round(F.sum(F.abs("v")), 4).alias("total"))
+    return D.mean_features(graph(spark, d), X.nodes(spark, d)).select("node", F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + F.abs(v)), 4).alias("total"))
 
 
 @query("msg_gcn", with_(*K20) + ", l AS (SELECT src, dst FROM edges UNION ALL SELECT node, node FROM nodes), dg AS (SELECT dst AS node, count(*) AS n FROM l GROUP BY 1), i AS (SELECT unnest(range(1, 65)) AS i) SELECT dst AS node, round(sum(abs(v)), 4) AS total FROM (SELECT l.dst, i, sum(x[i] / sqrt(a.n::DOUBLE * b.n)) AS v FROM l JOIN nodes ON l.src = node JOIN dg a ON a.node = l.src JOIN dg b ON b.node = l.dst, i GROUP BY 1, 2) GROUP BY 1")
 def msg_gcn(spark: S, d: str) -> DataFrame:
-    return D.normalised_features(graph(spark, d), X.nodes(spark, d)).groupBy("node").agg(F.round(F.sum(F.abs("v")), 4).alias("total"))
+    return D.normalised_features(graph(spark, d), X.nodes(spark, d)).select("node", F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + F.abs(v)), 4).alias("total"))
 
 
 @query("snk_graph", with_(*ALL) + "SELECT src, dst, round(dist, 6) AS dist FROM ends WHERE d_part = 'val'")
@@ -339,8 +351,13 @@ def snk_bundle(spark: S, d: str) -> DataFrame:
     return files.read_bundle(spark, path, "node bigint, x array<double>, y int, donor bigint, site string, part string", "test").select("node", "y")
 
 
-@query("snk_model", with_(NODES, CENTROID) + "SELECT node, yhat FROM pred")
+@query("snk_model", with_(NODES, CENTROID) + "SELECT node, yhat, true AS same FROM pred")
 def snk_model(spark: S, d: str) -> DataFrame:
-    """Predictions as a file, read back."""
-    df = X.predictions(spark, d).select("node", "yhat")
-    return spark.read.schema(df.schema).parquet(files.write_table(df, "parquet"))
+    """A fitted model and its predictions written; the model read back predicts again, and `same` compares both."""
+    n = X.nodes(spark, d)
+    model, path = M.classifier("centroid").fit(n), fresh(spark, "model")
+    model.save(spark, path)
+    first = model.predict(n)
+    stored = spark.read.schema(first.schema).parquet(files.write_table(first, "parquet", f"{path}/predictions"))
+    again = M.load(spark, path).predict(n).withColumnRenamed("yhat", "again")
+    return stored.join(again, "node").select("node", "yhat", (F.col("yhat") == F.col("again")).alias("same"))

@@ -72,3 +72,10 @@ lifts AS (SELECT r.run_id, r.model, r.graph, r.seed, CASE WHEN b.run_id IS NULL
 
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts) + "\n"
+
+
+def content_sql(*values: str) -> str:
+    """The SQL of vicinal.functions.scalars.content_hash."""
+    h = f"sha256(concat_ws(',', {', '.join(f'CAST({v} AS VARCHAR)' for v in values)}))"
+    sums = ", ".join(f"CAST(sum(CAST('0x' || substr({h}, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4))
+    return f"sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {sums}))"

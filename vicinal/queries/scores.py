@@ -10,12 +10,13 @@ from vicinal.functions.scalars import r6
 from vicinal.operators import evaluation as E
 from vicinal.operators import models as M
 from vicinal.operators import tracking as T
-from vicinal.operators.graph import bbknn, pca_knn
+from vicinal.operators.graph import bbknn, edge_hash, pca_knn
+from vicinal.operators.splitting import donor_split
 from vicinal.plans import fixtures as X
 from vicinal.queries.graphs import rounded
-from vicinal.queries.registry import CENTROID, LIFTS, NODES, RUNS, VOTE, edges, knn, query, with_
-from vicinal.session import written
-from vicinal.sources import files
+from vicinal.queries.registry import CELLS, CENTROID, LIFTS, NODES, RUNS, SPLIT, VOTE, content_sql, edges, knn, query, with_
+from vicinal.session import fresh, written
+from vicinal.sources import artifacts, files
 
 S = SparkSession
 PRED = (NODES, CENTROID)
@@ -207,16 +208,32 @@ def trk_lift_class(spark: S, d: str) -> DataFrame:
     return a.join(b, "y").select("y", r6(F.col("f1") - F.col("base")).alias("lift"))
 
 
-@query("trk_validate", with_(RUNS) + "SELECT count(*) AS runs, count(DISTINCT run_id) AS ids, count(*) FILTER (macro_f1 IS NULL OR macro_f1 < 0 OR macro_f1 > 1) AS bad FROM runs")
+@query("trk_validate", with_(CELLS, SPLIT, NODES, knn(20), edges(), RUNS) + """SELECT * FROM (
+SELECT 'split' AS category, 'site_stratified' AS name, count(*) AS rows, CAST(0 AS BIGINT) AS disallowed, true AS passed FROM split
+UNION ALL SELECT 'features', 'nodes', count(*), 0, true FROM nodes
+UNION ALL SELECT 'graph', 'pca_knn_k20', count(*), 0, true FROM edges
+UNION ALL SELECT 'graph', 'reversed', count(*), count(*) FILTER (s.part <> 'train'), false FROM edges e JOIN nodes s ON s.node = e.dst
+UNION ALL SELECT 'graph', 'bbknn', NULL, NULL, false
+UNION ALL SELECT 'runs', 'all', count(*), count(*) FILTER (macro_f1 IS NULL OR macro_f1 < 0 OR macro_f1 > 1), true FROM runs)""")
 def trk_validate(spark: S, d: str) -> DataFrame:
-    return X.runs(spark, d).agg(F.count("*").alias("runs"), F.count_distinct("run_id").alias("ids"), F.count_if(F.col("macro_f1").isNull() | ~F.col("macro_f1").between(0, 1)).alias("bad"))
-
-
-@query("trk_repro", "SELECT true AS same")
+    """The checklist over written artifacts: sound ones, a graph whose edges are turned round, and one that is missing."""
+    n = X.nodes(spark, d)
+    e = written(pca_knn(n, 20), "edges")
+    home = fresh(spark, "artifacts")
+    files.write_split(donor_split(X.cells(spark, d)), f"{home}/split/site_stratified")
+    files.write_bundle(n, f"{home}/features/nodes")
+    artifacts.write_graph_bundle(e, n, "pca_knn_k20", f"{home}/graph/pca_knn_k20")
+    artifacts.write_graph_bundle(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist"), n, "reversed", f"{home}/graph/reversed")
+    files.write_runs(X.runs(spark, d), f"{home}/runs/all")
+    return artifacts.validated(spark, home, {"split": ["site_stratified"], "features": ["nodes"], "graph": ["pca_knn_k20", "reversed", "bbknn"], "runs": ["all"]})
+
+
+@query("trk_repro", with_(NODES, knn(20), edges()) + f"SELECT {content_sql('src', 'dst')} AS content, true AS same FROM edges")
 def trk_repro(spark: S, d: str) -> DataFrame:
-    """Builds the graph twice and compares the contents' hashes."""
-    sums = [pca_knn(X.nodes(spark, d), 20).agg(F.sum(F.xxhash64("src", "dst", F.round("dist", 6)).cast("decimal(38,0)")).alias("h"), F.count("*").alias("n")) for _ in range(2)]
-    return sums[0].join(sums[1].withColumnsRenamed({"h": "h2", "n": "n2"})).select(((F.col("h") == F.col("h2")) & (F.col("n") == F.col("n2"))).alias("same"))
+    """Builds the graph twice, the second time from rows dealt otherwise, and compares the contents' hashes."""
+    n = X.nodes(spark, d)
+    sums = [pca_knn(df, 20).agg(edge_hash().alias("content")) for df in (n, n.repartition(3, "y"))]
+    return sums[0].crossJoin(sums[1].withColumnRenamed("content", "again")).select("content", (F.col("content") == F.col("again")).alias("same"))  # two rows of one
 
 
 _GRID = "g AS (SELECT i AS c, 'w' || (i % 2) AS class_weight, CAST((i * 37) % 10 AS DOUBLE) / 10 AS val_macro_f1 FROM (SELECT n_nationkey AS i FROM nation))"
@@ -242,20 +259,42 @@ def top1_epoch(spark: S, d: str) -> DataFrame:
 
 @query("model_lr")
 def model_lr(spark: S, d: str) -> DataFrame:
-    return M.logistic_grid(written(X.nodes(spark, d), "nodes"))[0].drop("prob")
+    """Predictions of the best of the grid of four C's and two class weights."""
+    n = written(X.nodes(spark, d), "nodes")
+    return n.select("node", "y", "donor", "site", "part").join(M.classifier("logistic_regression").fit(n).predict(n), "node")
 
 
 def _model(name: str, kind: str, graph: str) -> None:
     @query(name)
     def run(spark: S, d: str) -> DataFrame:
         n = written(X.nodes(spark, d), "nodes")
-        graphs = {} if kind == "mlp" else {graph: written(bbknn(n, 2) if graph == "bbknn" else pca_knn(n, 20), "edges")}
+        graphs = {} if kind == "mlp" else {graph: written(bbknn(n, 2) if graph == "bbknn" else pca_knn(n, 20, weighted=graph.endswith("rbf")), "edges")}
         return M.sweep(n, graphs, [(kind, graph, 42)])
 
 
 _model("model_mlp", "mlp", "none")
 _model("model_gcn", "gcn", "pca_knn_k20")
 _model("model_sage", "graphsage", "bbknn")
+_model("model_gcn_weighted", "gcn", "pca_knn_k20_rbf")
+
+
+@query("model_api")
+def model_api(spark: S, d: str) -> DataFrame:
+    """(model, node, yhat, prob, saved): each model through fit, save, load, predict_proba and predict; saved says whether the loaded
+    model predicts as the fitted one does."""
+    n = written(X.nodes(spark, d), "nodes")
+    e = written(pca_knn(n, 20), "edges")
+    out = None
+    for name in sorted(M.MODELS):
+        model = M.classifier(name)
+        edges = e if model.graph else None
+        path = fresh(spark, f"model-{name}")
+        model.fit(n, edges).save(spark, path)
+        again = M.load(spark, path)
+        one = again.predict(n, edges).join(again.predict_proba(n, edges), "node").join(model.predict(n, edges).withColumnRenamed("yhat", "was"), "node")
+        one = one.select(F.lit(name).alias("model"), "node", "yhat", "prob", (F.col("was") == F.col("yhat")).alias("saved"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("model_sweep")
@@ -264,6 +303,6 @@ def model_sweep(spark: S, d: str) -> DataFrame:
     n = written(X.nodes(spark, d), "nodes")
     graphs = {"pca_knn_k20": written(pca_knn(n, 20), "edges"), "bbknn": written(bbknn(n, 2), "edges")}
     grid = [(m, g, s) for m, g in (("mlp", "none"), ("gcn", "pca_knn_k20"), ("graphsage", "bbknn")) for s in (7, 17, 42, 73, 101)]
-    p = M.sweep(n, graphs, grid).filter("part = 'test'")
+    p = written(M.sweep(n, graphs, grid).filter("part = 'test'").drop("prob"), "sweep")
     by = ["model", "graph", "seed"]
     return E.summary(E.per_class(p, n.select("y").distinct(), by), by)

@@ -7,6 +7,7 @@ import hashlib
 import json
 import os
 import random
+import shutil
 import traceback
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
@@ -59,9 +60,13 @@ class Record:
         return self
 
 
-def save_record(root: str | Path, record: Record) -> Path:
-    """root/run_id with params/, metrics/ and tags/, a file each, and the whole as JSON; written beside and moved into place."""
+def save_record(root: str | Path, record: Record, artifacts: dict[str, str | Path] | None = None) -> Path:
+    """root/run_id with params/, metrics/ and tags/, a file each, artifacts/ (copies of the given files by name), and the whole as
+    JSON; written beside and moved into place. root is a folder of the driver's or one that it has mounted: a run has one record."""
     home = Path(root) / record.run_id
+    for name, source in (artifacts or {}).items():
+        (home / "artifacts").mkdir(parents=True, exist_ok=True)
+        shutil.copyfile(source, home / "artifacts" / name)
     for kind, values in (("params", record.params), ("metrics", record.metrics), ("tags", record.tags)):
         (home / kind).mkdir(parents=True, exist_ok=True)
         for name, value in values.items():
