@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.functions.scalars import share
-from vicinal.session import written
+from vicinal.session import dropped, written
 
 
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -36,21 +36,30 @@ def density(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.crossJoin(n).select("e", "n", share(F.col("e"), F.col("n") * (F.col("n") - 1)).alias("density"))
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, comp): weakly connected components by least node; lone nodes are their own.
+def reached(links: DataFrame) -> DataFrame:
+    """(node, comp) for every end of links (src, dst): comp is the least node it reaches. No links give no rows.
 
-    Rounds of least labels among neighbours and of the label's label, each a written table in the shared folder.
+    Each round takes the least label among neighbours, then the label's label, so paths halve. Every round ends in a written
+    table, and the one before it is deleted. Minima are combined before the shuffle; a hub's rows are a skewed join that Spark
+    splits.
     """
-    both = written(edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct(), "links")
-    labels = written(nodes.select("node", F.col("node").alias("comp"), F.lit(True).alias("moved")), "labels")
+    both = written(links.select("src", "dst").union(links.select("dst", "src")).filter("src <> dst").distinct(), "links")
+    labels = written(both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("comp")).select(F.col("src").alias("node"), "comp", F.lit(True).alias("moved")), "labels")
     while labels.filter("moved").limit(1).count():
         least = both.join(labels.select(F.col("node").alias("dst"), "comp"), "dst").groupBy("src").agg(F.min("comp").alias("least")).withColumnRenamed("src", "node")
-        near = labels.select("node", F.col("comp").alias("was")).join(least, "node", "left").select("node", "was", F.least("was", F.coalesce("least", "was")).alias("now"))
+        near = labels.select("node", F.col("comp").alias("was")).join(least, "node").select("node", "was", F.least("was", "least").alias("now"))
         jump = near.select(F.col("node").alias("now"), F.col("now").alias("further"))
-        labels = written(near.join(jump, "now").select("node", F.least("now", "further").alias("comp"), (F.least("now", "further") < F.col("was")).alias("moved")), "labels")
+        before, labels = labels, written(near.join(jump, "now").select("node", F.least("now", "further").alias("comp"), (F.least("now", "further") < F.col("was")).alias("moved")), "labels")
+        dropped(before)
+    dropped(both)
     return labels.select("node", "comp")
 
 
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, comp): weakly connected components by least node; lone nodes are their own."""
+    return nodes.select("node").join(reached(edges), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+
+
 def component_summary(comp: DataFrame) -> DataFrame:
     size = comp.groupBy("comp").agg(F.count("*").alias("n"))
     return size.agg(F.count("*").alias("components"), F.max("n").alias("largest"), share(F.max("n"), F.sum("n")).alias("fraction"))

@@ -43,14 +43,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df computed once and read back from Parquet in the shared folder; a lost executor loses none of it."""
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the table that `written` made, once what reads it has been written itself; other tables are left alone."""
-    spark = df.sparkSession
-    home = shared_dir(spark).split(":", 1)[-1].lstrip("/")
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.split(":", 1)[-1].lstrip("/").startswith(home):
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once what was made of them is written itself. Only for tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
