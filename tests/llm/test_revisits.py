@@ -62,7 +62,22 @@ def test_as_brute_force(spark):
 
 def test_whole_table_against_sql(spark):
     sf = "/root/testdata/sf0.01"
-    got = [tuple(r) for r in op1_revisits(spark, sf).collect()]
+    rows = op1_revisits(spark, sf).collect()
+    got = [tuple(r) for r in rows]
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{sf}/pages.parquet'")
-    assert sorted(got, key=str) == sorted(con.execute(OP1_SQL).fetchall(), key=str) and len(got) == 250
+    assert sorted(got, key=str) == sorted(con.execute(OP1_SQL).fetchall(), key=str) and len(got) == 520
+    states = {s: sum(r.state == s for r in rows) for s in ("resolved", "changed", "unchecked", "missing")}
+    assert min(states.values()) >= 20 and len({r.source_id % 5 for r in rows if r.state == "resolved"}) == 2
+
+
+def test_repeated_rows_outliers_and_extra_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "response" if i % 2 else "revisit", "http://hot.example/", i // 4, h(etag=str(i // 8)), None, 0) for i in range(4000)]
+    rows += [(9000, "response", "http://cold.example/", 10**15, None, None, 0), (9001, "revisit", "http://hot.example/", 10**15 + 1, h(etag="499"), None, 0), (9002, "metadata", "http://hot.example/", 5, None, None, 0)]
+    df = spark.createDataFrame(rows, REC)
+    got = {r.record_id: (r.state, r.source_id) for r in resolve(df).collect()}
+    assert got == brute(spark, rows) and 9002 not in got
+    twice = resolve(df.union(df).withColumns({"found": F.lit(1), "state": F.lit("x"), "_stretch": F.lit(2)}))
+    assert twice.count() == 2 * len(got) and {r.record_id: (r.state, r.source_id) for r in twice.collect()} == got

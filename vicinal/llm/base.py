@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinal.session import dropped, written
+
+__all__ = ["WORD", "dropped", "row_key", "table", "words", "written"]
+
 #: A word is a run of anything but these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,22 +22,6 @@ def words(text: str | Column) -> Column:
     return F.regexp_extract_all(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or one of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='vicinal-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and read back from a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """k1, k2: what tells rows apart. Repeated rows (same id, same text) have the same key and get the same result."""
     return [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)).cast("long")).alias("k1"), F.xxhash64(F.col(doc_id).isNull(), F.col(text).isNull(), F.col(text)).alias("k2")]

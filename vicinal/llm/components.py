@@ -1,25 +1,13 @@
-"""Connected components of a table of links, as joins and aggregates."""
+"""Connected components of a table of links."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.base import written
+from vicinal.operators.diagnostics import reached
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """(id, comp) for every id in links (a, b): comp is the least id it reaches. No links give no rows.
-
-    Each round takes the least label among neighbours, then the label's label, so paths halve. Every round ends in a written
-    table. Joins and minima are by id: minima are combined before the shuffle, and a hub's rows are a skewed join that Spark
-    splits.
-    """
-    both = written(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), name)
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).select(F.col("a").alias("id"), "comp", F.lit(True).alias("moved")), name)
-    while labels.filter("moved").limit(1).count():
-        seen = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("least")).withColumnRenamed("a", "id")
-        near = labels.select("id", F.col("comp").alias("was")).join(seen, "id").select("id", "was", F.least("was", "least").alias("now"))
-        jump = near.select(F.col("id").alias("now"), F.col("now").alias("further"))
-        labels = written(near.join(jump, "now").select("id", F.least("now", "further").alias("comp"), (F.least("now", "further") < F.col("was")).alias("moved")), name)
-    return labels.select("id", "comp")
+def components(links: DataFrame) -> DataFrame:
+    """(id, comp) for every id in links (a, b): comp is the least id it reaches. No links give no rows."""
+    return reached(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "id")

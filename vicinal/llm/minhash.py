@@ -222,7 +222,7 @@ def linked(docs: DataFrame) -> DataFrame:
     found = links.union(verified(rest))
 
     to = lot.groupBy("bucket").agg(F.min("cid").alias("b"))
-    family = components(lot.select("bucket", F.col("cid").alias("a")).join(to, "bucket").select("a", "b"), "families").select(F.col("id").alias("cid"), F.col("comp").alias("family"))
+    family = components(lot.select("bucket", F.col("cid").alias("a")).join(to, "bucket").select("a", "b")).select(F.col("id").alias("cid"), F.col("comp").alias("family"))
     mate = family.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).join(classes.select("cid", "sig", "n"), "cid")
     size = mate.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
     mate = mate.join(size, "family").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).join(sets, "cid")

@@ -12,8 +12,8 @@ from vicinal.llm.base import table
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that don't tell pages apart.
 TRACKING = r"^(utm_[a-z]*|fbclid|gclid)(=|$)"
-#: The query on pages asks for each page again after so many ticks of page_id.
-AGAIN = 5_000
+#: Ticks of the crawl that the query on pages plays: a page is met at FIRST * page_id, some are changed later, revisits come after.
+FIRST, CHANGED, EARLY, LATE = 10, 30_000, 20_000, 40_000
 
 
 def canonical(url: str | Column) -> Column:
@@ -41,12 +41,14 @@ def resolve(records: DataFrame) -> DataFrame:
     a Last-Modified is on both sides and the digests aren't equal either; 'missing' without an earlier full response. ETags
     compare weakly, and go before Last-Modified. Only resolved revisits get a digest and headers: the stored ones, with the
     permitted ones of the revisit in their place. A null URL or time resolves to nothing; of responses at one time the greatest
-    id counts; repeated revisits get a row each.
+    id counts; repeated revisits get a row each and repeated responses count once; no records give no rows; records of other kinds
+    and extra columns are ignored. URLs and headers of any length are taken whole.
     """
-    r = records.select("record_id", "kind", canonical("url").alias("url"), F.coalesce("at", F.lit(0)).cast("long").alias("at"), F.col("at").isNotNull().alias("timed"), F.coalesce("headers", F.expr("array()").cast("array<struct<k:string,v:string>>")).alias("headers"), "digest")
-    full = (F.col("kind") == "response") & F.col("url").isNotNull() & F.col("timed")
-    r = latest_before(r, ["url"], "at", full, [F.col("digest").alias("digest"), F.col("headers").alias("headers")], "record_id").filter("kind = 'revisit'")
-    r = r.withColumn("found", F.when(F.col("timed") & F.col("url").isNotNull(), F.col("found")))
+    r = records.filter("kind in ('response', 'revisit')").select("record_id", "kind", canonical("url").alias("url"), F.col("at").cast("long").alias("at"), F.coalesce("headers", F.expr("array()").cast("array<struct<k:string,v:string>>")).alias("headers"), "digest")
+    there = F.col("url").isNotNull() & F.col("at").isNotNull()
+    found = latest_before(r.filter(there), ["url"], "at", F.col("kind") == "response", [F.col("digest").alias("digest"), F.col("headers").alias("headers")], "record_id").filter("kind = 'revisit'")
+    lost = r.filter(~there).filter("kind = 'revisit'")
+    r = found.unionByName(lost, allowMissingColumns=True)
     of = lambda h, k: F.get(F.filter(h, lambda x: x["k"] == k), F.lit(0))["v"]
     weak = lambda x: F.regexp_replace(x, r"^[Ww]/", "")
     tag, old_tag = weak(of(F.col("headers"), "etag")), weak(of(F.col("found.headers"), "etag"))
@@ -57,7 +59,7 @@ def resolve(records: DataFrame) -> DataFrame:
     merged = F.array_sort(F.concat(F.filter("found.headers", lambda x: ~F.array_contains(F.transform(new, lambda y: y["k"]), x["k"])), new))
     r = r.withColumn("state", state)
     ok = F.col("state") == "resolved"
-    return r.select("record_id", "url", F.when(F.col("timed"), F.col("at")).alias("at"), "state", F.when(ok, F.col("found.tie")).alias("source_id"), F.when(ok, F.col("found.at")).alias("source_at"), F.when(ok, F.col("found.digest")).alias("digest"), F.when(ok, merged).alias("headers"))
+    return r.select("record_id", "url", "at", "state", F.when(ok, F.col("found.tie")).alias("source_id"), F.when(ok, F.col("found.at")).alias("source_at"), F.when(ok, F.col("found.digest")).alias("digest"), F.when(ok, merged).alias("headers"))
 
 
 def with_bodies(resolved: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -65,16 +67,37 @@ def with_bodies(resolved: DataFrame, bodies: DataFrame) -> DataFrame:
     return resolved.join(bodies.select(F.col("record_id").alias("source_id"), "body"), "source_id", "left")
 
 
-def crawl(pages: DataFrame, again: int = AGAIN) -> DataFrame:
-    """Records of a crawl that met pages in order of page_id, and asked for each again later: the server says not modified,
-    with the ETag it was asked about, a new date and a header that mustn't be taken over."""
-    p = pages.select("page_id", "url", F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"')).alias("tag"))
+def crawl(pages: DataFrame) -> DataFrame:
+    """Records of a crawl of the pages, from each page's id alone, so that every state occurs:
+
+    - a response when the page is met, under its URL;
+    - for each third page a later response, changed, under the URL with a tracking parameter;
+    - a revisit between both, with the first one's ETag (weak), an own date, and a header that mustn't be taken over;
+    - a revisit after both, under the URL in http and with a fragment: its ETag is the changed one of each sixth page, the first one
+      elsewhere, so a third page that isn't a sixth one was changed; each seventh has no validator but the digest, each eleventh
+      another digest only;
+    - for each thirteenth page a revisit before it is met.
+    """
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"')).alias("tag"))
+    p = p.withColumn("new", F.concat(F.lit('"'), F.md5(F.concat("tag", F.lit("2"))), F.lit('"')))
+    n, first = F.col("page_id"), F.col("page_id") * FIRST
     h = lambda **kv: F.array(*(F.struct(F.lit(k.replace("_", "-")).alias("k"), v.alias("v")) for k, v in sorted(kv.items())))
     when = lambda x: F.concat(F.lit("tick "), x.cast("string"))
-    full = p.select((F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("kind"), "url", F.col("page_id").alias("at"), h(content_type=F.lit("text/html"), date=when(F.col("page_id")), etag=F.col("tag")).alias("headers"), F.col("tag").alias("digest"))
-    later = F.col("page_id") + again
-    back = p.select((F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), "url", later.alias("at"), h(content_type=F.lit("text/plain"), date=when(later), etag=F.concat(F.lit("W/"), F.col("tag"))).alias("headers"), F.lit(None).cast("string").alias("digest"))
-    return full.union(back)
+    none, none_h = F.lit(None).cast("string"), F.expr("array()").cast("array<struct<k:string,v:string>>")
+    marked = F.concat("url", F.when(F.contains("url", F.lit("?")), F.lit("&utm_source=feed")).otherwise(F.lit("?utm_source=feed")))
+    plain = F.concat(F.regexp_replace("url", "^https://", "http://"), F.lit("#again"))
+    said = F.when(n % 6 == 0, F.col("new")).otherwise(F.col("tag"))
+    late = F.when(n % 11 == 0, none_h).when(n % 7 == 0, none_h).otherwise(h(date=when(first + LATE), etag=said, server=F.lit("other")))
+    one = lambda k, kind, url, at, headers, digest, on=F.lit(True): F.when(on, F.struct((n * 5 + k).alias("record_id"), F.lit(kind).alias("kind"), url.alias("url"), at.alias("at"), headers.alias("headers"), digest.alias("digest")))
+    full = lambda at, tag: h(content_type=F.lit("text/html"), date=when(at), etag=tag)
+    records = F.array(
+        one(0, "response", F.col("url"), first, full(first, F.col("tag")), F.col("tag")),
+        one(1, "response", marked, first + CHANGED, full(first + CHANGED, F.col("new")), F.col("new"), n % 3 == 0),
+        one(2, "revisit", F.col("url"), first + EARLY, h(content_type=F.lit("text/plain"), date=when(first + EARLY), etag=F.concat(F.lit("W/"), F.col("tag"))), none),
+        one(3, "revisit", plain, first + LATE, late, F.when(n % 11 == 0, F.lit("other")).when(n % 7 == 0, said).otherwise(none)),
+        one(4, "revisit", F.col("url"), first - 1, h(etag=F.col("tag")), none, n % 13 == 0),
+    )
+    return p.select(F.explode(F.filter(records, lambda x: x.isNotNull())).alias("r")).select("r.*")
 
 
 def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,16 +106,25 @@ def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = rf"""
-WITH p AS (SELECT page_id, url, '"' || md5(coalesce(html, '')) || '"' AS tag, regexp_replace(trim(url), '#.*$', '') AS plain FROM pages),
-x AS (SELECT *, regexp_extract(plain, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]+)([^?]*)\??(.*)$', ['s', 'h', 'p', 'q']) AS u FROM p),
-c AS (SELECT page_id, tag, CASE WHEN u.h = '' THEN url ELSE
+WITH p AS (SELECT CAST(page_id AS BIGINT) AS n, url, '"' || md5(coalesce(html, '')) || '"' AS tag FROM pages),
+q AS (SELECT *, '"' || md5(tag || '2') || '"' AS new, CASE WHEN n % 6 = 0 THEN '"' || md5(tag || '2') || '"' ELSE tag END AS said FROM p),
+rec AS (
+  SELECT n * 5 AS record_id, 'response' AS kind, url, n * {FIRST} AS tm, tag, tag AS digest FROM q
+  UNION ALL SELECT n * 5 + 1, 'response', url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_source=feed', n * {FIRST} + {CHANGED}, new, new FROM q WHERE n % 3 = 0
+  UNION ALL SELECT n * 5 + 2, 'revisit', url, n * {FIRST} + {EARLY}, 'W/' || tag, NULL FROM q
+  UNION ALL SELECT n * 5 + 3, 'revisit', regexp_replace(url, '^https://', 'http://') || '#again', n * {FIRST} + {LATE}, CASE WHEN n % 11 <> 0 AND n % 7 <> 0 THEN said END, CASE WHEN n % 11 = 0 THEN 'other' WHEN n % 7 = 0 THEN said END FROM q
+  UNION ALL SELECT n * 5 + 4, 'revisit', url, n * {FIRST} - 1, tag, NULL FROM q WHERE n % 13 = 0),
+x AS (SELECT *, regexp_extract(regexp_replace(trim(url), '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]+)([^?]*)\??(.*)$', ['s', 'h', 'p', 'q']) AS u FROM rec),
+c AS (SELECT record_id, kind, tm, tag, digest, CASE WHEN u.h = '' THEN url ELSE
         CASE WHEN lower(u.s) = 'http' THEN 'https' ELSE lower(u.s) END || '://' || regexp_replace(lower(u.h), ':(80|443)$', '') || regexp_replace(u.p, '/+$', '')
-        || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS url
-      FROM (SELECT *, list_sort(list_filter(string_split(u.q, '&'), lambda v: v <> '' AND NOT regexp_matches(v, '{TRACKING}'))) AS q FROM x)),
-r AS (SELECT b.page_id, b.url, b.page_id + {AGAIN} AS at, b.tag, max(f.page_id) AS src
-      FROM c b LEFT JOIN c f ON f.url = b.url AND f.page_id < b.page_id + {AGAIN} GROUP BY ALL)
-SELECT r.page_id * 2 + 1 AS record_id, r.url, r.at, CASE WHEN src IS NULL THEN 'missing' WHEN f.tag = r.tag THEN 'resolved' ELSE 'changed' END AS state,
-       CASE WHEN f.tag = r.tag THEN src * 2 END AS source_id, CASE WHEN f.tag = r.tag THEN src END AS source_at, CASE WHEN f.tag = r.tag THEN f.tag END AS digest,
-       CASE WHEN f.tag = r.tag THEN 'content-type: text/html' || chr(10) || 'date: tick ' || r.at || chr(10) || 'etag: W/' || r.tag END AS headers
-FROM r LEFT JOIN c f ON f.page_id = r.src
+        || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(ps, '&') ELSE '' END END AS url
+      FROM (SELECT *, list_sort(list_filter(string_split(u.q, '&'), lambda v: v <> '' AND NOT regexp_matches(v, '{TRACKING}'))) AS ps FROM x)),
+r AS (SELECT b.record_id, b.url, b.tm, b.tag, b.digest, max_by(f.record_id, f.tm * 1000000000 + f.record_id) AS src
+      FROM c b LEFT JOIN c f ON f.kind = 'response' AND f.url = b.url AND f.tm < b.tm WHERE b.kind = 'revisit' GROUP BY ALL),
+s AS (SELECT r.*, f.tm AS source_at, f.tag AS old, f.digest AS stored,
+      CASE WHEN src IS NULL THEN 'missing' WHEN r.tag IS NOT NULL AND regexp_replace(r.tag, '^W/', '') = f.tag OR r.tag IS NULL AND r.digest = f.digest THEN 'resolved' WHEN r.tag IS NULL THEN 'unchecked' ELSE 'changed' END AS state
+      FROM r LEFT JOIN c f ON f.record_id = r.src)
+SELECT record_id, url, tm AS at, state, CASE WHEN state = 'resolved' THEN src END AS source_id, CASE WHEN state = 'resolved' THEN source_at END AS source_at, CASE WHEN state = 'resolved' THEN stored END AS digest,
+       CASE WHEN state = 'resolved' THEN 'content-type: text/html' || chr(10) || 'date: tick ' || CASE WHEN tag IS NULL THEN source_at WHEN record_id % 5 = 4 THEN source_at ELSE tm END || chr(10) || 'etag: ' || coalesce(tag, old) END AS headers
+FROM s
 """
