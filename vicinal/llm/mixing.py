@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from vicinal.llm.base import table, words
+from vicinal.llm.base import table, words, written
 
 #: Weights of the sources in order of code points, null last, repeating.
 WEIGHTS = (3, 1, 2)
@@ -19,7 +19,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     """sizes (src, none, source_size) with weight and target, one row per source.
 
     A source is at its cap exactly if its cap over its weight is at most the common level; the level follows from running
-    sums in order of that ratio, so there is no loop. Sums are of whole numbers, and each target is one division.
+    sums in order of that ratio, so there is no loop. Sums are of whole numbers, and each target is one division. Weights go by a
+    source's place among all sources, so one task orders them: a row of a few numbers a source, not of their documents.
     """
     pick = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(W.orderBy("none", "src")) - 1, F.lit(len(weights))) + 1).cast("int"))
     df = sizes.withColumn("weight", pick.cast("long")).withColumn("ratio", F.col("source_size") / F.col("weight"))
@@ -46,15 +47,21 @@ def sampled(docs: DataFrame, carry: list[str], seed: str = SEED, **rules: object
     have like sizes, so a source's words come near its target. Places come from counts of (source, size class, hash bucket)
     cells, whose running sums are few rows, and places within a cell: no task holds a source.
 
-    Null text has size 0; null source is a source of its own, last; repeated rows are sampled each; no rows give no rows.
+    The table is read once: what is needed of each row is written with its size and hash, and cells are counted from that.
+
+    Null text has size 0; null source is a source of its own, last, and apart from an empty one; repeated rows are sampled each;
+    texts count whole; no rows give no rows; other columns are carried if they are asked for, whatever their names.
     """
     df = docs.select(F.struct(*carry).alias("row"), F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().cast("int").alias("none"), F.size(words("text")).cast("long").alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))).alias("h"), F.xxhash64("text").alias("t"))
-    df = df.withColumns({"class": F.floor(8 * F.log2(F.col("size") + 1)).cast("int"), "bucket": F.substring("h", 1, 3)})
-    cells = df.groupBy("src", "none", "class", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    sizes = cells.groupBy("src", "none").agg(F.sum("words").alias("source_size"))
-    by = targets(sizes, **rules)
-    before = F.coalesce(F.sum("n").over(W.partitionBy("src", "none").orderBy("class", "bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = cells.withColumn("before", before).join(by, ["src", "none"]).drop("n", "words")
+    df = written(df.withColumns({"class": F.floor(8 * F.log2(F.col("size") + 1)).cast("int"), "bucket": F.substring("h", 1, 3)}), "mixing")
+    cells = written(df.groupBy("src", "none", "class", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "cells")
+    # places before a cell: those of lesser classes of its source, and of its class those of lesser buckets
+    classes = cells.groupBy("src", "none", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    sizes = classes.groupBy("src", "none").agg(F.sum("words").alias("source_size"))
+    less = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    lower = classes.select("src", "none", "class", less(W.partitionBy("src", "none").orderBy("class")).alias("lower")).join(targets(sizes, **rules), ["src", "none"])
+    placed = cells.withColumn("earlier", less(W.partitionBy("src", "none", "class").orderBy("bucket"))).join(lower, ["src", "none", "class"])
+    placed = placed.withColumn("before", F.col("earlier") + F.col("lower")).drop("n", "words", "earlier", "lower")
     at = F.row_number().over(W.partitionBy("src", "none", "class", "bucket").orderBy("h", "size", "t"))
     df = df.withColumn("at", at).join(placed, ["src", "none", "class", "bucket"]).withColumn("place", F.col("before") + F.col("at"))
     offset = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("none").cast("string"), F.col("src"))), 1, 8), 16, 10).cast("double") / 4294967296.0
