@@ -1,32 +1,20 @@
 import re
 from collections import Counter, defaultdict
 
-import xxhash
-
-from vicinal.llm.quality import TURNS, clean, judge, op2_quality
+from vicinal.llm.quality import clean, judge, op2_quality
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, line string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def signed(h):
-    return h - 2**64 if h >= 2**63 else h
-
-
-def chain(words):
-    h = 42
-    for w in words:
-        h = xxhash.xxh64_intdigest(w.encode(), h)
-    return signed(h)
-
-
 def norm(line):
     return re.sub(r"[\x20\x09-\x0D]+", " ", re.sub(r"\d", "0", line.lower())).strip(" ")
 
 
-def brute(rows, min_docs=10, min_share=0.02, min_left=0.5):
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for each (id, text, source)."""
-    base, lines, of, total = [], [], defaultdict(lambda: [set() for _ in TURNS]), defaultdict(lambda: [set() for _ in TURNS])
+def brute(rows, min_docs=10, min_share=0.02, min_left=0.5, max_docs=100):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for each (id, text, source); documents of
+    equal text count once."""
+    base, lines, of, total = [], [], defaultdict(set), defaultdict(set)
     for _, text, source in rows:
         text = text or ""
         w = WORD.findall(text)
@@ -36,18 +24,15 @@ def brute(rows, min_docs=10, min_share=0.02, min_left=0.5):
         solid = [x for x in text.split("\n") if WORD.search(x)]
         failed = len(w) < 50 or 100 * len(hit) > 50 * len(w)
         base.append((len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(solid) - len(set(solid)), len(hit), failed))
-        hashes = list(map(chain, grams))
-        sketch = [min((signed((h ^ t) % 2**64) for h in hashes), default=chain(w)) for t in TURNS]
         mine = [(norm(x), len(WORD.findall(x))) for x in solid]
         lines.append((source, mine))
-        for k, x in enumerate(sketch):
-            total[source][k].add(x)
+        total[source].add(text)
         for x, _ in mine:
-            for k, y in enumerate(sketch):
-                of[source, x][k].add(y)
+            of[source, x].add(text)
     out = []
     for b, (source, mine) in zip(base, lines, strict=True):
-        gone = sum(k for x, k in mine if max(map(len, of[source, x])) > max(min_docs, min_share * max(map(len, total[source]))))
+        many = lambda n: n > min_docs and (n > min_share * len(total[source]) or n > max_docs)  # noqa: B023, E731
+        gone = sum(k for x, k in mine if many(len(of[source, x])))
         out.append((*b, not b[5] and b[0] - gone >= min_left * b[0] and b[0] > gone))
     return out
 
@@ -108,3 +93,17 @@ def test_footer_of_a_large_host(spark):
     verdicts, often = judge(spark.createDataFrame([(i, say(i) + foot(i), None, "h", None, None) for i in range(6000)], DOCS))
     assert often.count() == 1
     assert verdicts.filter("n_frequent_lines = 1 and n_frequent_words = 3 and kept and doc_id < 101").count() == 101
+
+
+def test_one_text_under_two_hosts(spark):
+    """Thirty frequent words of a hundred: each host's row counts its own."""
+    own = lambda i, n: " ".join(f"q{i}r{k}" for k in range(n))
+    boiler = own("b", 30)
+    rows = [(1, f"{boiler}\n{own(1, 70)}", h) for h in ("a", "b", None, "-", "\0")]
+    rows += [(100 + i, f"{boiler}\n{own(100 + i, 70)}", h) for i in range(12) for h in ("a", "b")]
+    df = spark.createDataFrame([(i, t, None, s, None, None) for i, t, s in rows], DOCS)
+    verdicts, _ = judge(df)
+    found = sorted((r.host, r.n_frequent_words, r.kept) for r in verdicts.filter("doc_id = 1").collect())
+    assert found == [("+\0", 0, True), ("+-", 0, True), ("+a", 30, True), ("+b", 30, True), ("-", 0, True)]
+    assert [r.text for r in clean(df).filter("doc_id = 1 and source is null").collect()] == [rows[0][1]]
+    assert {r.text for r in clean(df).filter("doc_id = 1 and source in ('a', 'b')").collect()} == {own(1, 70)}

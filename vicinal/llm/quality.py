@@ -11,8 +11,6 @@ from vicinal.llm.base import row_key, table, words, written
 #: the last number. The share takes over from the first number at 500 documents, the largest hosts of the tables up to sf0.1
 #: (none of check_h), and gives way to the last one at 5,000: ten times the first, whatever the size of the host.
 MIN_DOCS, MIN_SHARE, MAX_DOCS = 10, 0.02, 100
-#: Numbers of the sketches by which documents were once told apart; no count uses them, a brute force of the tests still does.
-TURNS = (0, 0x2545F4914F6CDD1D, -0x61C8864680B583EB)
 #: A document that keeps less than this share of its words once its frequent lines are gone is depleted.
 MIN_LEFT = 0.5
 #: Limits of the base rules.
@@ -24,13 +22,18 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\d", "0"), r"[\x20\x09-\x0D]+", " ")))
 
 
+def host() -> Column:
+    """The source as a host's name; a null source is a host that no string names."""
+    return F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source"))).alias("host")
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """One row per row of docs: key, host, base metrics, a hash of the whole text, and its lines as (hash, words).
 
     Rows of equal text count as one document, so a passage isn't called boilerplate because its one document was copied often.
     """
     text = F.coalesce("text", F.lit(""))
-    df = docs.select("doc_id", *row_key(), F.coalesce("source", F.lit("\0")).alias("host"), text.alias("text"))
+    df = docs.select("doc_id", *row_key(), host(), text.alias("text"))
     df = df.withColumn("w", words("text")).withColumn("raw", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("n_words", F.size("w").cast("long")).withColumn("word_chars", F.length(F.array_join("w", "")).cast("long"))
     df = df.withColumn("n_symbols", F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long")).withColumn("n_dup_lines", (F.size("raw") - F.size(F.array_distinct("raw"))).cast("long"))
@@ -61,16 +64,18 @@ def frequent_lines(measured_docs: DataFrame, min_docs: int = MIN_DOCS, min_share
 def judge(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_left: float = MIN_LEFT, max_docs: int = MAX_DOCS) -> tuple[DataFrame, DataFrame]:
     """The verdicts, one row for each row of docs, and the frequent lines (host, line).
 
-    Null text counts as empty (fails the base rules); null source is a host of its own; repeated rows get a row each.
+    A document is an id, a text and a host: the same id and text under two hosts is judged under each. Null text counts as empty
+    (fails the base rules); null source is a host of its own; repeated rows get a row each; texts of any length are judged whole,
+    an empty table gives no rows, and columns other than doc_id, text and source are ignored.
     """
     base = written(measured(docs), "quality")
     often = written(frequent_lines(base, min_docs, min_share, max_docs), "quality-lines")
     hit = base.select("k1", "k2", "host", F.posexplode("lines").alias("pos", "x")).select("k1", "k2", "host", "pos", F.col("x.line").alias("line"), F.col("x.words").alias("words")).distinct()
-    lost = hit.join(often, ["host", "line"]).groupBy("k1", "k2").agg(F.sum("words").alias("gone"), F.count("pos").alias("n_frequent_lines"), F.collect_set("line").alias("frequent"))
-    out = base.join(lost, ["k1", "k2"], "left").withColumns({"gone": F.coalesce("gone", F.lit(0)).cast("long"), "n_frequent_lines": F.coalesce("n_frequent_lines", F.lit(0)).cast("long"), "frequent": F.coalesce("frequent", F.expr("array()").cast("array<bigint>"))})
+    lost = hit.join(often, ["host", "line"]).groupBy("k1", "k2", "host").agg(F.sum("words").alias("gone"), F.count("pos").alias("n_frequent_lines"), F.collect_set("line").alias("frequent"))
+    out = base.join(lost, ["k1", "k2", "host"], "left").withColumns({"gone": F.coalesce("gone", F.lit(0)).cast("long"), "n_frequent_lines": F.coalesce("n_frequent_lines", F.lit(0)).cast("long"), "frequent": F.coalesce("frequent", F.expr("array()").cast("array<bigint>"))})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_words") - F.col("gone") >= min_left * F.col("n_words")) & (F.col("n_words") > F.col("gone")))
-    return out.select("doc_id", "k1", "k2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("gone").alias("n_frequent_words"), "n_frequent_lines", "frequent"), often
+    return out.select("doc_id", "k1", "k2", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("gone").alias("n_frequent_words"), "n_frequent_lines", "frequent"), often
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -79,9 +84,9 @@ def clean(docs: DataFrame) -> DataFrame:
     One join by document key brings the verdict to the text; the text is shuffled once.
     """
     verdicts, _ = judge(docs)
-    said = verdicts.filter("kept").select("k1", "k2", "frequent").dropDuplicates(["k1", "k2"])
-    row = docs.select(F.struct(*docs.columns).alias("row"), *row_key())
-    out = row.join(said, ["k1", "k2"])
+    said = verdicts.filter("kept").select("k1", "k2", "host", "frequent").dropDuplicates(["k1", "k2", "host"])
+    row = docs.select(F.struct(*docs.columns).alias("row"), *row_key(), host())
+    out = row.join(said, ["k1", "k2", "host"])
     gone = lambda x: x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains("frequent", line_hash(x))
     text = F.when(F.size("frequent") > 0, F.array_join(F.filter(F.split("row.text", "\n", -1), lambda x: ~gone(x)), "\n")).otherwise(F.col("row.text"))
     new = {"text": text, "n_chars": F.length(text).cast("long")}
@@ -89,4 +94,4 @@ def clean(docs: DataFrame) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"))[0].drop("k1", "k2", "frequent")
+    return judge(table(spark, sf_dir, "documents"))[0].drop("k1", "k2", "host", "frequent")
