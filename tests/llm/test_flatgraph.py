@@ -1,6 +1,8 @@
 import numpy as np
+import pytest
 
-from vicinal.llm.flatgraph import linked, op4_vectors
+from vicinal.llm import flatgraph
+from vicinal.llm.flatgraph import linked, op4_vectors, scaled
 
 
 def brute(ids, vecs):
@@ -47,3 +49,50 @@ def test_dense_groups_and_odd_rows(spark):
     assert {r.vec_id: r.component_id for r in got} == {i: c for i, (_, c) in want.items()}
     assert sum(r.n_links for r in got) >= 0.99 * sum(n for n, _ in want.values()) and all(r.n_links <= want[r.vec_id][0] for r in got)
     assert linked(df.limit(0)).count() == 0
+
+
+VEC = "vec_id long, embedding array<double>"
+
+
+def test_every_length_is_linked(spark):
+    rng = np.random.default_rng(8)
+    vecs = [(rng.normal(size=2)).tolist() for _ in range(20)] + [(np.array([1.0, 2, 3]) + rng.normal(size=3) * 0.01).tolist() for _ in range(5)]
+    vecs += [[1.0, 2.0, 3.0, 0.0], [1.0, 2.0, 3.0, 0.001]]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in linked(spark.createDataFrame(list(enumerate(vecs)), VEC)).collect()}
+    assert all(got[i] == (4, 20) for i in range(20, 25)) and got[25] == (1, 25) and got[26] == (1, 25)
+    pairs = [(i, j) for i in range(20) for j in range(20) if i != j and np.dot(vecs[i], vecs[j]) / np.linalg.norm(vecs[i]) / np.linalg.norm(vecs[j]) >= 0.95]
+    assert all(got[i][0] == sum(a == i for a, _ in pairs) for i in range(20))
+
+
+def test_large_and_small_numbers(spark):
+    base = [[1e200, 2e200], [1e200, 2.1e200], [1e-200, 2e-200], [3.0, 6.0], [5e-324, 1e-323], [1e308, -1e308]]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in linked(spark.createDataFrame(list(enumerate(base)), VEC)).collect()}
+    assert got == {0: (4, 0), 1: (4, 0), 2: (4, 0), 3: (4, 0), 4: (4, 0), 5: (0, 5)}
+    x = np.random.default_rng(1).normal(size=(50, 7))
+    assert (scaled(x) * 2.0 ** (np.log2(np.abs(x).max(1) / np.abs(scaled(x)).max(1)).round())[:, None] == x).all()
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(3, [1.0, 0.0]), (3, [1.0, 0.0]), (None, [1.0, 0.01]), (4, [0.0, 1.0]), (None, [-1.0, 0.0]), (0, [-0.0, 2.0])]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in linked(spark.createDataFrame(rows, VEC)).collect()), key=str)
+    assert got == sorted([(3, 2, 3, True), (3, 2, 3, True), (None, 2, 3, False), (4, 1, 0, False), (None, 0, None, True), (0, 1, 0, True)], key=str)
+
+
+@pytest.mark.parametrize("spoil", ["adjacency", "nothing"])
+def test_spoilt_graph_takes_the_exact_way(spark, monkeypatch, spoil):
+    """Without edges a search sees its medoids only; the audit notices, and all pairs are compared."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 8))
+    vecs = [(b + rng.normal(size=8) * 0.1).tolist() for b in base for _ in range(60)]
+    asked = []
+    plain = flatgraph.exact
+    monkeypatch.setattr(flatgraph, "exact", lambda c, a=None: asked.append(a) or plain(c, a))
+    monkeypatch.setattr(flatgraph, "BLOCK", 500)
+    monkeypatch.setattr(flatgraph, "PART", 300)
+    if spoil == "adjacency":
+        monkeypatch.setattr(flatgraph, "_adjacent", lambda members: members.select(["cid"]).append_column("near", flatgraph.pa.array([[]] * len(members), flatgraph.pa.list_(flatgraph.pa.int64()))))
+    got = linked(spark.createDataFrame(list(enumerate(vecs)), VEC)).collect()
+    want = brute(list(range(len(vecs))), vecs)
+    assert (None in asked) == (spoil == "adjacency")
+    n = sum(r.n_links for r in got) / sum(n for n, _ in want.values())
+    assert (n == 1 if spoil == "adjacency" else n >= 0.99) and {r.recall for r in got} <= ({1.0} if spoil == "adjacency" else {r for r in [got[0].recall] if r >= 0.99})

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.llm.base import table, written
+from vicinal.functions.arrays import matrix
+from vicinal.llm.base import dropped, table, written
 from vicinal.llm.components import components
 
 #: Vectors of this cosine at least are linked.
@@ -23,16 +24,18 @@ OVERLAP, PART = 3, 8_000
 DEGREE, CANDIDATES, ALPHA, FAR = 16, 48, 1.2, 8
 #: Width of the greedy search, and medoids that it starts from.
 BEAM, MEDOIDS = 24, 64
-#: Vectors that the audit compares with all others, and the recall below which the overlap is doubled, up to MOST.
-AUDIT, RECALL, MOST = 256, 0.99, 12
+#: The audit compares classes with a vec_id divisible by ASKED with all others. Under RECALL the overlap is doubled, up to MOST; if
+#: that doesn't do, all pairs are compared, BLOCK vectors with BLOCK vectors.
+ASKED, RECALL, MOST, BLOCK = 50, 0.99, 12, 4_096
 
 
-def matrix(col: pa.ListArray) -> np.ndarray:
-    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1).astype(np.float64) if len(col) else np.zeros((0, 0))
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, exactly, so that the largest component is near 1 and no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None]) if x.size else x
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -91,14 +94,22 @@ def build(x: np.ndarray) -> np.ndarray:
     return np.concatenate([robust_prune(x, cand, near), np.where(far == np.arange(n)[:, None], -1, far)], axis=1)
 
 
-def medoids(x: np.ndarray, k: int = MEDOIDS) -> np.ndarray:
-    """The member nearest to the mean, then always the member farthest from those taken."""
+def medoids(x: np.ndarray, k: int = MEDOIDS, rounds: int = 2) -> np.ndarray:
+    """Members that k clusters of x are nearest around: seeds far from each other, then the member nearest to each cluster's mean."""
     out = [int((x @ x.mean(0)).argmax())]
     most = x @ x[out[0]]
     while len(out) < min(k, len(x)):
         out.append(int(most.argmin()))
         most = np.maximum(most, x @ x[out[-1]])
-    return np.unique(out)
+    now = np.unique(out)
+    for _ in range(rounds):
+        of = (x @ x[now].T).argmax(1)
+        total = np.zeros((len(now), x.shape[1]))
+        np.add.at(total, of, x)
+        near = np.einsum("ij,ij->i", x, total[of])
+        by = np.lexsort((-near, of))
+        now = np.unique(by[np.concatenate([[True], of[by][1:] != of[by][:-1]])])
+    return now
 
 
 def search(x: np.ndarray, near: np.ndarray, start: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -165,10 +176,52 @@ def search(x: np.ndarray, near: np.ndarray, start: np.ndarray, q: np.ndarray, le
     return found[:, 0], found[:, 1]
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
-    keep = a != b
-    key = np.unique(np.column_stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]]), axis=0) if keep.any() else np.zeros((0, 2), np.int64)
-    return pa.table({"a": key[:, 0], "b": key[:, 1]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+_ROWS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+ROWS = "a long, b long, n long"
+
+
+class _Tally:
+    """What a group of queries and members gives: how many vectors each query is linked with, and links that join components, no
+    more of them than there are members and queries. No list of all pairs is kept or sent."""
+
+    def __init__(self, ask: np.ndarray, own: np.ndarray, raw_ask: np.ndarray, raw_own: np.ndarray, size: np.ndarray) -> None:
+        self.ask, self.own, self.size = ask, own, size
+        self.x, self.y = scaled(raw_ask), scaled(raw_own)
+        self.nx, self.ny = np.sqrt(np.einsum("ij,ij->i", self.x, self.x)), np.sqrt(np.einsum("ij,ij->i", self.y, self.y))
+        self.ids = np.unique(np.concatenate([ask, own]))
+        self.at_ask, self.at_own = np.searchsorted(self.ids, ask), np.searchsorted(self.ids, own)
+        self.label = np.arange(len(self.ids))
+        self.n = np.zeros(len(ask), np.int64)
+        self.links: list[tuple[int, int]] = []
+
+    def add(self, r: np.ndarray, m: np.ndarray) -> None:
+        """Pairs (query, member) that may be links, each at most once; the cosine itself decides, in double precision."""
+        true = np.zeros(len(r), bool)
+        for k in range(0, len(r), 65_536):
+            i, j = r[k : k + 65_536], m[k : k + 65_536]
+            true[k : k + 65_536] = np.einsum("ij,ij->i", self.x[i], self.y[j]) / (self.nx[i] * self.ny[j]) >= COSINE
+        true &= self.ask[r] != self.own[m]
+        r, m = r[true], m[true]
+        if not len(r):
+            return
+        self.n += np.bincount(r, self.size[m], len(self.ask)).astype(np.int64)
+        by = np.argsort(r, kind="stable")
+        r, m = r[by], m[by]
+        head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        for b, e in zip(head.tolist(), np.append(head[1:], len(r)).tolist(), strict=True):
+            me = self.at_ask[r[b]]
+            labels, first = np.unique(self.label[self.at_own[m[b:e]]], return_index=True)
+            other = labels != self.label[me]
+            if other.any():
+                self.links += [(int(self.ids[me]), int(self.own[m[b + f]])) for f in first[other].tolist()]
+                self.label[np.isin(self.label, labels[other])] = self.label[me]
+
+    def rows(self) -> pa.Table:
+        some = np.flatnonzero(self.n)
+        a = pa.array(np.concatenate([np.array([x for x, _ in self.links], np.int64), self.ask[some]]))
+        b = pa.array([y for _, y in self.links] + [None] * len(some), pa.int64())
+        n = pa.array([None] * len(self.links) + self.n[some].tolist(), pa.int64())
+        return pa.table([a, b, n], schema=_ROWS)
 
 
 def _adjacent(members: pa.Table) -> pa.Table:
@@ -179,16 +232,18 @@ def _adjacent(members: pa.Table) -> pa.Table:
     return pa.table({"cid": members.column("cid"), "near": pa.ListArray.from_arrays(pa.array(cut), pa.array(ids[near[at, j]]))})
 
 
-def _found(members: pa.Table) -> pa.Table:
-    """One part of a shard, with a block of queries: side 0 are the members, side 1 the queries."""
-    side = members.column("side").to_numpy()
-    ids = members.column("cid").to_numpy()
-    raw = matrix(members.column("x"))
-    x = unit(raw)
+def _sides(members: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Members (side 0, by id) and queries (side 1) as places, their ids and vectors."""
+    side, ids = members.column("side").to_numpy(), members.column("cid").to_numpy()
     own, ask = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return own[np.argsort(ids[own])], ask, ids, matrix(members.column("x"))
+
+
+def _found(members: pa.Table) -> pa.Table:
+    """One part of a shard and a block of queries at home in it: what the graph search finds."""
+    own, ask, ids, raw = _sides(members)
     if not len(own) or not len(ask):
-        return _pairs(ids[:0], ids[:0])
-    own = own[np.argsort(ids[own])]
+        return _ROWS.empty_table()
     lists = members.column("near").combine_chunks()
     flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())[own]
     begin = lists.offsets.to_numpy()[own] - lists.offsets.to_numpy()[0]
@@ -199,21 +254,31 @@ def _found(members: pa.Table) -> pa.Table:
         got = flat[begin[some] + w]
         at = np.minimum(np.searchsorted(ids[own], got), len(own) - 1)
         near[some, w] = np.where(ids[own][at] == got, at, -1)
-    start = medoids(x[own])
-    a, b = [], []
+    x = unit(raw)
+    y = x[own]
+    start = medoids(y)
+    tally = _Tally(ids[ask], ids[own], raw[ask], raw[own], members.column("size").to_numpy()[own])
+    for k in range(0, len(ask), 256):
+        r, m = search(y, near, start, x[ask[k : k + 256]], COSINE - 1e-6)
+        tally.add(k + r, m)
+    return tally.rows()
+
+
+def _compared(members: pa.Table) -> pa.Table:
+    """A block of queries and a block of members of one length: all pairs."""
+    own, ask, ids, raw = _sides(members)
+    if not len(own) or not len(ask):
+        return _ROWS.empty_table()
+    x = unit(raw)
+    tally = _Tally(ids[ask], ids[own], raw[ask], raw[own], members.column("size").to_numpy()[own])
     for k in range(0, len(ask), 256):
-        r, m = search(x[own], near, start, x[ask[k : k + 256]], COSINE - 1e-6)
-        a.append(ask[k : k + 256][r])
-        b.append(own[m])
-    a, b = np.concatenate(a), np.concatenate(b)
-    # verified: the cosine itself, in double precision
-    norm = np.einsum("ij,ij->i", raw, raw)
-    true = np.einsum("ij,ij->i", raw[a], raw[b]) / np.sqrt(norm[a] * norm[b]) >= COSINE
-    return _pairs(ids[a[true]], ids[b[true]])
-
-
-def links(classes: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
-    """Pairs (a, b) of classes (cid, x) that the graph search finds within the cosine, verified."""
+        r, m = np.nonzero(x[ask[k : k + 256]] @ x[own].T >= COSINE - 1e-6)
+        tally.add(k + r, m)
+    return tally.rows()
+
+
+def assigned(classes: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
+    """(cid, x, size, shard, home): each class in the shards of its `overlap` nearest centroids; the nearest is its home."""
     m = min(overlap, len(c))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,80 +287,102 @@ def links(classes: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
                 part = batch.slice(b, 512)
                 s = unit(matrix(part.column("x"))) @ c.T
                 top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(c) else np.tile(np.arange(m), (len(s), 1))
-                yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("x"), pa.ListArray.from_arrays(pa.array(np.arange(0, top.size + 1, m, dtype=np.int32)), pa.array(top.reshape(-1).astype(np.int32)))], ["cid", "x", "shards"])
+                yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("x"), part.column("size"), pa.ListArray.from_arrays(pa.array(np.arange(0, top.size + 1, m, dtype=np.int32)), pa.array(top.reshape(-1).astype(np.int32))), pa.array(s.argmax(1).astype(np.int32))], ["cid", "x", "size", "shards", "near"])
+
+    got = classes.select("cid", "x", "size").mapInArrow(assign, "cid long, x array<double>, size long, shards array<int>, near int")
+    return got.withColumn("shard", F.explode("shards")).select("cid", "x", "size", "shard", (F.col("shard") == F.col("near")).alias("home"))
 
-    member = written(classes.select("cid", "x").mapInArrow(assign, "cid long, x array<double>, shards array<int>").withColumn("shard", F.explode("shards")).drop("shards"), "shards")
-    # a shard that is too large is cut into parts; a query then asks all of them, in blocks
-    parts = member.groupBy("shard").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    member = member.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+
+def links(member: DataFrame) -> DataFrame:
+    """(a, b, n) of members (cid, x, size, shard, home): links (a, b) that join components, and (a, null, n) with the number of
+    vectors that class a is linked with. Each class asks in its home only, so no pair is found twice for it.
+
+    Graphs are built on each shard's parts, and a class's lists of all its shards are united. A shard of over PART members is cut
+    into parts, and its queries into blocks; each block asks each part.
+    """
+    member = start = written(member, "shards")
+    size = member.groupBy("shard").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.greatest(F.lit(1), F.ceil(F.count_if("home") / PART)).cast("int").alias("blocks"))
+    member = member.join(size, "shard").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     graph = member.groupBy("shard", "part").applyInArrow(_adjacent, "cid long, near array<long>").select("cid", F.explode("near").alias("to"))
     union = written(graph.groupBy("cid").agg(F.collect_set("to").alias("near")), "graph")
-    member = member.join(union, "cid", "left").withColumn("near", F.coalesce("near", F.expr("array()").cast("array<bigint>")))
-    block = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    own = member.withColumn("block", block).withColumn("side", F.lit(0))
-    ask = member.withColumnRenamed("part", "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(1)).withColumn("near", F.expr("array()").cast("array<bigint>"))
-    both = own.select("shard", "part", "block", "side", "cid", "x", "near").unionByName(ask.select("shard", "part", "block", "side", "cid", "x", "near"))
-    return both.groupBy("shard", "part", "block").applyInArrow(_found, "a long, b long").distinct()
-
-
-def audit(classes: DataFrame, found: DataFrame, queries: int = AUDIT) -> tuple[int, int]:
-    """How many links `queries` classes (of least hash) have by brute force, and how many of them were found."""
-    ask = classes.select("cid", "x").orderBy(F.xxhash64("cid"), "cid").limit(queries).toPandas()
-    if not len(ask):
-        return 0, 0
-    q, qid = np.array(ask.x.tolist()), ask.cid.to_numpy()
-
-    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in range(0, batch.num_rows, 2048):
-                part = batch.slice(b, 2048)
-                x, ids = matrix(part.column("x")), part.column("cid").to_numpy()
-                i, j = np.nonzero(unit(x) @ unit(q).T >= COSINE)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], qid[j])), pa.array(np.maximum(ids[i], qid[j]))], ["a", "b"])
+    none = F.expr("array()").cast("array<bigint>")
+    own = member.join(union, "cid", "left").withColumn("near", F.coalesce("near", none)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
+    ask = member.filter("home").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(1)).withColumn("near", none)
+    cols = ["shard", "part", "block", "side", "cid", "x", "size", "near"]
+    out = written(own.select(*cols).unionByName(ask.select(*cols)).groupBy("shard", "part", "block").applyInArrow(_found, ROWS), "found")
+    dropped(start, union)
+    return out
+
 
-    true = classes.select("cid", "x").mapInArrow(brute, "a long, b long").filter("a <> b").distinct()
-    got = true.join(found.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hit")).first()
-    return got.n, got.hit
+def exact(classes: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """The same rows from all pairs of equal length, or from all pairs with a class of `asked`, block by block."""
+    size = classes.groupBy("d").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("parts"))
+    ask = (classes if asked is None else asked).select("d", "cid", "x", "size")
+    blocks = ask.groupBy("d").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    both = size.join(blocks, "d")
+    deal = lambda df, mine, n, other, m, side, salt: df.join(both, "d").withColumn(mine, F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).withColumn("side", F.lit(side)).select("d", "part", "block", "side", "cid", "x", "size")
+    left = deal(classes.select("d", "cid", "x", "size"), "part", "parts", "block", "blocks", 0, 1)
+    right = deal(ask, "block", "blocks", "part", "parts", 1, 2)
+    return left.unionByName(right).groupBy("d", "part", "block").applyInArrow(_compared, ROWS)
+
+
+def audit(classes: DataFrame, found: DataFrame) -> tuple[int, int]:
+    """How many vectors the asked classes are linked with by brute force, and with how many the search linked them."""
+    asked = classes.filter("asked")
+    true = exact(classes, asked).filter("n is not null").groupBy("a").agg(F.sum("n").alias("true"))
+    got = found.filter("n is not null").groupBy("a").agg(F.sum("n").alias("got"))
+    row = true.join(got, "a", "left").agg(F.sum("true").alias("n"), F.sum("got").alias("hit")).first()
+    return row.n or 0, row.hit or 0
+
+
+def searched(classes: DataFrame, overlap: int) -> DataFrame:
+    """links of all classes: lengths with few classes are a shard each, the others have centroids of their own length."""
+    lengths = classes.groupBy("d").agg(F.count("*").alias("n"))
+    many = [(r.d, r.n) for r in lengths.filter(F.col("n") > 2 * SHARD).orderBy("d").collect()]  # an element for 1,600 vectors at most
+    few = classes.join(lengths.filter(F.col("n") <= 2 * SHARD).select("d"), "d", "left_semi")
+    out = links(few.select("cid", "x", "size", F.col("d").alias("shard"), F.lit(True).alias("home")))
+    for d, n in many:
+        own = classes.filter(F.col("d") == d)
+        sample = unit(matrix(own.select("h1", "h2", "x").orderBy(F.xxhash64("h1"), "h1", "h2").limit(SAMPLE).toArrow().column("x")))
+        c = centroids(sample, max(1, min(n // SHARD, len(sample) // 4)))
+        out = out.unionByName(links(assigned(own, c, overlap)))
+    return out
 
 
 def linked(vectors: DataFrame) -> DataFrame:
-    """One row per row of vectors: vec_id, n_links, component_id, kept.
+    """One row per row of vectors: vec_id, n_links, component_id, kept, recall.
+
+    Equal vectors are one class from here on. Vectors of one length are linked with each other, never with those of another.
+    Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing, not even their copies; of any other,
+    however large or small its numbers, the cosine counts. Repeated ids are rows of their own, each counting the others; a null id
+    is linked, but names a component only if no id is in it. No vectors give no rows; labels and extra columns are ignored.
 
-    Equal vectors are one class from here on. Vectors that are null, empty, zero or hold null or non-finite numbers link with
-    nothing, not even their copies. Vectors of several lengths are kept apart by length, the commonest is linked and the others
-    are linked with nothing. Repeated ids are rows of their own, each counting the others. Labels and extra columns are ignored.
+    recall: the audited share of links that the search found, the same in each row (1 where the audit found none to ask for).
+    Under RECALL the overlap of shards is doubled; if that doesn't help, all pairs are compared in blocks and nothing is missed.
     """
     x = F.col("embedding").cast("array<double>")
     whole = x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
-    rows = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(whole, x).alias("x")).withColumns({"h1": F.xxhash64("x"), "h2": F.xxhash64(F.lit(1), F.reverse("x"))}), "vectors")
-    good = rows.filter("x is not null")
-    top = good.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if top:
-        good = good.filter(F.size("x") == top.d)
-    classes = good.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"), F.any_value("x").alias("x"))
+    rows = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(whole, F.transform(x, lambda v: v + F.lit(0.0))).alias("x")).withColumns({"d": F.size("x"), "h1": F.xxhash64("x"), "h2": F.xxhash64(F.lit(1), F.reverse("x"))}), "vectors")
+    classes = rows.filter("x is not null").groupBy("d", "h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"), F.max(F.coalesce(F.pmod("vec_id", F.lit(ASKED)) == 0, F.lit(False))).alias("asked"), F.any_value("x").alias("x"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    sample = classes.select("x").orderBy(F.xxhash64("h1"), "h1", "h2").limit(SAMPLE).toPandas()
-    pairs = rows.sparkSession.createDataFrame([], "a long, b long")
-    if len(sample):
-        n = classes.count()
-        c = centroids(unit(np.array(sample.x.tolist())), max(1, min(n // SHARD, len(sample) // 4)))
-        overlap = OVERLAP
-        while True:
-            pairs = written(links(classes, c, overlap), "links")
-            true, hit = audit(classes, pairs)
-            if hit >= RECALL * true or overlap >= min(MOST, len(c)):
-                break
-            overlap *= 2
-    comp = components(pairs).withColumnRenamed("id", "cid")
-    both = pairs.union(pairs.select("b", "a"))
-    far = both.join(classes.select(F.col("cid").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("far")).withColumnRenamed("a", "cid")
-    group = classes.select("cid", "h1", "h2", "least", "size").join(far, "cid", "left").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    overlap = OVERLAP
+    while True:
+        found = searched(classes, overlap)
+        true, hit = audit(classes, found)
+        if hit >= RECALL * true:
+            break
+        if overlap >= MOST:
+            found, hit = written(exact(classes), "exact"), true
+            break
+        overlap *= 2
+    comp = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("id", "cid")
+    far = found.filter("n is not null").groupBy("a").agg(F.sum("n").alias("far")).withColumnRenamed("a", "cid")
+    group = classes.select("cid", "d", "h1", "h2", "least", "size").join(far, "cid", "left").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = group.groupBy("comp").agg(F.min("least").alias("component_id"))
-    group = group.join(least, "comp").select("h1", "h2", "component_id", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("n"))
-    same = (F.size("x") == top.d) if top else F.lit(False)
-    out = rows.withColumn("ok", F.coalesce(F.col("x").isNotNull() & same, F.lit(False))).join(group, ["h1", "h2"], "left")
+    group = group.join(least, "comp").select("d", "h1", "h2", "component_id", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("n"))
+    out = rows.select("vec_id", "d", "h1", "h2", F.col("x").isNotNull().alias("ok")).join(group, ["d", "h1", "h2"], "left")
     own = F.when(F.col("ok"), F.col("component_id")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.when(F.col("ok"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
+    return out.select("vec_id", F.when(F.col("ok"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"), F.lit(hit / true if true else 1.0).alias("recall"))
 
 
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
