@@ -1,8 +1,9 @@
+import itertools
 import zlib
 
 import numpy as np
 
-from vicinal.llm.toxicity import SIZE, letter_model, op8_toxicity, scored
+from vicinal.llm.toxicity import SIZE, letter_model, op8_toxicity, readings, scored
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -53,3 +54,30 @@ def test_disguises_at_any_place_are_restored(spark):
     for seen, word in (("idio7", "idiot"), ("1d10t", "idiot"), ("whor3", "whore"), ("a$$", "ass"), ("5h17", "shit"), ("8itch", "bitch"), ("9irl", "girl"), ("|diot", "idiot"), ('"idio+!",', "idiot"), ("1d1ot!!", "idiot")):
         assert word in channel.words(f"so {seen} it"), seen
     assert channel.words("plain, words. (1999) it's 50 % 'so'") == {"plain", "words", "it", "s", "so"}
+
+
+def test_decoder_against_all_paths(spark):
+    """Viterbi's best path is as likely as the best of all readings, each scored letter by letter."""
+    channel = letter_model(spark.createDataFrame([("the idiot was here, dumbass and moron; room 101 is a class of its own",)] * 20, "text string"))
+    for seen in ("1d10t", "dumba55", "dumba$$", "idio7", "tra5h", "m0r0n", "aabbb", "r00m101", "1-1", "a.b-c", "l0l!", "x99", "8itch", "ßb4"):
+        choices = [readings(c, seen[i - 1] if i else "") for i, c in enumerate(seen)]
+        best = -1e9
+        for path in itertools.product(*choices):
+            a = b = 0
+            p = 0.0
+            for x, cost in path:
+                a, b, q = channel.step(a, b, x)
+                p += q - cost
+            best = max(best, p + channel.step(a, b, " ")[2])
+        found, text = channel.best(seen)
+        assert abs(found - best) < 1e-9, seen
+    for seen, word in (("1d10t", "idiot"), ("idio7", "idiot"), ("dumba55", "dumbass"), ("dumba$$", "dumbass"), ("m0r0n", "moron")):
+        assert channel.decode(seen) == word
+    assert len(channel.best("a1" * 20_000)[1]) > 0 and channel.best("") == (0.0, "")
+
+
+def test_reruns_and_repeats_agree(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    first = {r.doc_id: r.score for r in scored(docs, labels).collect()}
+    again = scored(docs.repartition(7, "text").union(docs.limit(5)).withColumns({"score": docs.n_chars, "toxic": docs.n_chars}), labels.repartition(3)).collect()
+    assert len(again) == len(first) + 5 and all(r.score == first[r.doc_id] for r in again)

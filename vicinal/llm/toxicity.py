@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -18,21 +19,21 @@ from vicinal.llm.flat import parts
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100)))
 SIZE = len(LETTERS) + 1
 PLACE = {c: i + 1 for i, c in enumerate(LETTERS)}
-#: What a sign may stand for, and the costs (in nats) of reading it so, of dropping a repeated letter, a separator, another sign.
+#: What a sign may stand for, and the costs (in nats) of reading it so, of dropping a repeated letter, a separator, another sign, and of
+#: taking a digit for a digit.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "¡": "i", "£": "l"}
-SWAP, REPEAT, JOIN, DROP = 1.0, 0.7, 0.5, 2.5
+SWAP, REPEAT, JOIN, DROP, NUMBER = 1.0, 0.7, 0.5, 2.5, 4.0
 JOINERS = " .-_*"
-#: Labelled rows that the model is learned from, those of least hash; features of FEWEST toxic documents at least, FEATURES at most.
-SAMPLE, FEWEST, FEATURES = 10_000, 4, 2_000
+#: Labelled rows that the model is learned from, those of least hash; features of FEWEST toxic documents at least.
+SAMPLE, FEWEST = 10_000, 4
 #: Word beginnings of these lengths are features beside whole words.
 STEMS = (4, 5, 6, 7)
-#: Hypotheses that the decoder keeps at each character.
-BEAM = 24
+#: Tokens whose words a worker keeps; a full store starts anew.
+STORE = 200_000
 
 WORDS = re.compile(r"[^\W\d_]+")
-TOKEN = re.compile(r"\S+")
-#: Letters one by one, with a joiner between.
-SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€])(?:[ .\-_*](?:[^\W_]|[@$!|+€])){2,}(?!\S)")
+#: Letters one by one, with a space between.
+SINGLE = re.compile(r"[^\W_]|[@$!|+€]")
 THRICE = re.compile(r"([^\W\d_])\1\1")
 LETTER = re.compile(r"[^\W\d_]")
 #: A sign that may stand for a letter or join letters; ENDS can only be dropped at a token's ends, which says nothing.
@@ -43,6 +44,15 @@ CODE = np.zeros(0x110000, np.uint8)
 CODE[[ord(c) for c in LETTERS]] = range(1, SIZE)
 
 
+def readings(c: str, before: str) -> list[tuple[str, float]]:
+    """What the channel may have made c from, and the cost: letters, nothing, or (a space) itself, apart from all letters."""
+    if c in PLACE:
+        return [(c, 0.0)] + ([("", REPEAT)] if c == before else [])
+    out = [(x, SWAP) for x in LEET.get(c, "")]
+    out.append(("", JOIN if c in JOINERS else DROP))
+    return out + ([(" ", NUMBER)] if c.isdigit() else [])
+
+
 class Channel:
     """Restores disguised words under a trigram model of letters."""
 
@@ -52,54 +62,74 @@ class Channel:
         one = (c1 + 0.5) / (c1.sum() + 0.5 * SIZE)
         two = (c3.sum(0) + 5 * one) / (c3.sum((0, 2))[:, None] + 5)
         self.log = np.log((c3 + 5 * two[None]) / (c2[:, :, None] + 5)).tolist()
-        self.known: dict[str, str] = {}
-
-    def decode(self, seen: str) -> str:
-        """The likeliest word behind a lower-case string: Viterbi over the lattice of readings of each sign."""
-        if seen in self.known:
-            return self.known[seen]
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def step(self, a: int, b: int, x: str) -> tuple[int, int, float]:
+        """The two letters after x was read behind a and b, and x's log-likelihood. A space ends a word; no second one does."""
+        if x == "":
+            return a, b, 0.0
+        if x == " ":
+            return 0, 0, self.log[a][b][0] if b else 0.0
+        k = PLACE[x]
+        return b, k, self.log[a][b][k]
+
+    def best(self, seen: str) -> tuple[float, str]:
+        """The likeliest text behind a lower-case string and its log-likelihood: Viterbi over the lattice of readings. The state is the
+        last two letters, which is all that the language model asks for, so no path that could win is dropped; paths share their
+        beginnings, so memory and time follow the length."""
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         before = ""
         for c in seen:
-            reads: list[tuple[str, float]] = []
-            if c in PLACE:
-                reads.append((c, 0.0))
-                if c == before:
-                    reads.append(("", REPEAT))
-            else:
-                reads += [(x, SWAP) for x in LEET.get(c, "")]
-                reads.append(("", JOIN if c in JOINERS else DROP))
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (p, out) in best.items():
-                for x, cost in reads:
-                    if x:
-                        k = PLACE[x]
-                        key, q, o = (b, k), p - cost + self.log[a][b][k], out + x
-                    else:
-                        key, q, o = (a, b), p - cost, out
-                    if key not in after or after[key][0] < q:
-                        after[key] = (q, o)
-            best = after if len(after) <= BEAM else dict(sorted(after.items(), key=lambda x: -x[1][0])[:BEAM])
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (p, path) in states.items():
+                for x, cost in readings(c, before):
+                    i, j, q = self.step(a, b, x)
+                    q += p - cost
+                    if (i, j) not in after or after[i, j][0] < q:
+                        after[i, j] = (q, (x, path) if x else path)
+            states = after
             before = c
-        out = max(((p + self.log[a][b][0], o) for (a, b), (p, o) in best.items()), default=(0, ""))[1]
-        if len(self.known) > 100_000:
+        p, path = max(((p + self.step(a, b, " ")[2], path) for (a, b), (p, path) in states.items()), key=lambda x: x[0])
+        out = []
+        while path is not None:
+            out.append(path[0])
+            path = path[1]
+        return p, "".join(reversed(out))
+
+    def decode(self, seen: str) -> str:
+        return self.best(seen)[1]
+
+    def of_token(self, t: str) -> tuple[str, ...]:
+        """Words of a lower-case token: as it stands, and restored."""
+        if t in self.known:
+            return self.known[t]
+        found = set(WORDS.findall(t))
+        odd = {w for w in found if THRICE.search(w)}
+        if not t.isalpha():
+            # marks at the ends may be letters ("a$$") or marks ("idiot!!"): both ways are read, the costs decide on the rest
+            odd |= {x for x in (ENDS.sub("", t), EDGE.sub("", EDGE.sub("", t))) if THRICE.search(x) or (LETTER.search(x) and SIGN.search(x))}
+        for x in odd:
+            found.update(self.decode(x).split())
+        out = tuple(sorted(found))
+        if len(self.known) >= STORE:
             self.known.clear()
-        self.known[seen] = out
+        self.known[t] = out
         return out
 
     def words(self, text: str) -> set[str]:
         """All distinct words of the whole restored text, in lower case; what wasn't restored counts too."""
-        low = text.lower()
-        found = set(WORDS.findall(low))
-        for m in SPACED.finditer(low):
-            found.add(self.decode(m[0]))
-        odd = {t for t in set(TOKEN.findall(low)) if not t.isalpha()} | {w for w in found if THRICE.search(w)}
-        for t in odd:
-            # marks at the ends may be letters ("a$$") or marks ("idiot!!"): both ways are read, the costs decide on the rest
-            for t in {ENDS.sub("", t), EDGE.sub("", EDGE.sub("", t))}:
-                if THRICE.search(t) or (LETTER.search(t) and SIGN.search(t)):
-                    found.add(self.decode(t))
-        found.discard("")
+        low = text.lower().split()
+        found: set[str] = set()
+        for t in set(low):
+            found.update(self.known[t] if t in self.known else self.of_token(t))
+        run: list[str] = []
+        for t in [*low, "  "] if sum(len(t) == 1 for t in low) > 2 else ():
+            if len(t) == 1 and SINGLE.match(t):
+                run.append(t)
+            else:
+                if len(run) > 2:
+                    found.update(self.decode(" ".join(run)).split())
+                run = []
         return found
 
 
@@ -134,11 +164,19 @@ class Model:
 
     def __init__(self, odds: dict[str, float], weights: list[float]) -> None:
         self.odds, self.weights = odds, weights
+        self.said: dict[str, float] = {}
+
+    def says(self, word: str) -> float:
+        """A word says as much as its strongest feature."""
+        if word not in self.said:
+            if len(self.said) >= STORE:
+                self.said.clear()
+            self.said[word] = max([self.odds.get(word, 0.0), *(self.odds.get(word[:n] + "-", 0.0) for n in STEMS if len(word) > n)])
+        return self.said[word]
 
     def strongest(self, words: set[str]) -> list[float]:
-        """The three largest log-odds of a word; a word says as much as its strongest feature."""
-        odds = self.odds
-        top = sorted((max([odds.get(w, 0.0), *(odds.get(w[:n] + "-", 0.0) for n in STEMS if len(w) > n)]) for w in words), reverse=True)[:3]
+        """The three largest log-odds of a word."""
+        top = heapq.nlargest(3, map(self.says, words))
         return top + [0.0] * (3 - len(top))
 
     def score(self, words: set[str]) -> float:
@@ -178,11 +216,14 @@ def fit(docs: DataFrame, labels: DataFrame, channel: Channel, sample: int = SAMP
                 words = [channel.words(t) for t in texts]
                 plain = [WORDS.findall(t.lower()) for t in texts]
                 sketch = [min((xxhash.xxh64_intdigest(" ".join(x[i : i + 3])) for i in range(max(1, len(x) - 2))), default=0) >> 1 for x in plain]
-                yield pa.RecordBatch.from_arrays([pa.array(sketch, pa.int64()), batch.column("toxic"), batch.column("weigh"), pa.array(list(map(sorted, words)), pa.list_(pa.string()))], ["sketch", "toxic", "weigh", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(sketch, pa.int64()), batch.column("toxic"), batch.column("weigh"), batch.column("order"), batch.column("doc_id"), pa.array(list(map(sorted, words)), pa.list_(pa.string()))], ["sketch", "toxic", "weigh", "order", "doc_id", "words"])
 
     weigh = F.pmod(F.xxhash64(F.lit("weigh"), "doc_id"), F.lit(4)) == 0
-    rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), weigh.alias("weigh"))
-    rows = written(rows.mapInArrow(extract, "sketch long, toxic int, weigh boolean, words array<string>").dropDuplicates(["sketch"]), "labelled")
+    order = F.xxhash64("doc_id", "text")  # of documents with one sketch the one of least hash counts, wherever it was read
+    rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), weigh.alias("weigh"), order.alias("order"), "doc_id")
+    rows = rows.mapInArrow(extract, "sketch long, toxic int, weigh boolean, order long, doc_id long, words array<string>")
+    rows = rows.groupBy("sketch").agg(F.min(F.struct("order", "doc_id", "toxic", "weigh", "words")).alias("one"))
+    rows = written(rows.select("one.toxic", "one.weigh", "one.words"), "labelled")
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
@@ -200,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, channel: Channel, sample: int = SAMP
     counted = teach.select("toxic", "words").mapInArrow(tell, "feature string, no long, yes long").groupBy("feature").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).filter(F.col("yes") >= FEWEST)
     # the log of the odds ratio less two standard errors
     sure = F.log((F.col("yes") + 0.5) / (yes + 1.0)) - F.log((F.col("no") + 0.5) / (no + 1.0)) - 2 * F.sqrt(1 / (F.col("yes") + 0.5) + 1 / (F.col("no") + 0.5) * F.when(F.col("no") > 0, 1.0).otherwise(0.0))
-    odds = {r.feature: r.sure for r in counted.withColumn("sure", sure).filter("sure > 0.7").orderBy(F.desc("sure"), "feature").limit(FEATURES).collect()}
+    odds = {r.feature: r.sure for r in counted.withColumn("sure", sure).filter("sure > 0.7").collect()}  # of a bounded sample
     model = Model(odds, [])
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, channel: Channel, sample: int = SAMP
             x = np.array([model.strongest(set(w)) for w in batch.column("words").to_pylist()]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(x[:, k]) for k in range(3))], ["toxic", "x0", "x1", "x2"])
 
-    got = rows.filter("weigh").select("toxic", "words").mapInArrow(weighed, "toxic int, x0 double, x1 double, x2 double").orderBy("toxic", "x0", "x1", "x2").toPandas()
+    got = rows.filter("weigh").select("toxic", "words").mapInArrow(weighed, "toxic int, x0 double, x1 double, x2 double").toPandas().sort_values(["toxic", "x0", "x1", "x2"])  # a quarter of the sample
     y = (got.toxic.to_numpy() > 0).astype(float)
     model.weights = logistic(got[["x0", "x1", "x2"]].to_numpy(), y) if 0 < y.sum() < len(y) else [-3.0, 1.0, 0.0, 0.0]
     return model
@@ -218,7 +259,10 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Null and empty texts score as texts without words; a null id isn't held out; without labels of both kinds every score is
-    the same, under 0.5. Repeated rows get a row each.
+    the same, under 0.5. Texts of any length are read whole, and a token of any length is decoded. Repeated rows get a row each
+    and the same score; of labels that differ for one id the toxic one counts; of documents alike the one of least hash is learned
+    from, so scores don't depend on how rows are dealt. No documents give no rows; labels, lang, source and other columns never
+    are inputs.
     """
     channel = letter_model(docs)
     model = fit(docs, labels, channel, sample)
