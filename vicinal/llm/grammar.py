@@ -13,16 +13,17 @@ class Automaton:
     """A probabilistic automaton over characters, learned from strings (Carrasco and Oncina's state merging).
 
     States are numbers; go[s] maps a character to (state, count), stops[s] and total[s] are counts. Strings in another order
-    give the same automaton: children are visited in order of characters.
+    give the same automaton: children are visited in order of characters. Of strings longer than `longest` only that much is
+    learned, and not that they end there.
     """
 
-    def __init__(self, strings: list[str], alpha: float = 0.01) -> None:
+    def __init__(self, strings: list[str], alpha: float = 0.01, longest: int | None = None) -> None:
         self.go: list[dict[str, list[int]]] = [{}]
         self.stops, self.total = [0], [0]
         for text in strings:
             s = 0
             self.total[0] += 1
-            for c in text:
+            for c in text[:longest]:
                 step = self.go[s].setdefault(c, [len(self.go), 0])
                 if step[0] == len(self.go):
                     self.go.append({})
@@ -31,7 +32,8 @@ class Automaton:
                 step[1] += 1
                 s = step[0]
                 self.total[s] += 1
-            self.stops[s] += 1
+            if longest is None or len(text) <= longest:
+                self.stops[s] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         red = [0]
         blue = deque((0, c) for c in sorted(self.go[0]))
@@ -40,11 +42,11 @@ class Automaton:
             child = self.go[parent][c][0]
             if child in red:
                 continue
-            for r in red:
-                if self._alike(r, child):
-                    self.go[parent][c][0] = r
-                    self._fold(r, child)
-                    break
+            alike = [r for r in red if self._alike(r, child)]
+            if alike:  # of all compatible states the one that makes what follows likeliest, the first of several
+                r = max(alike, key=lambda r: self._fit(r, child))
+                self.go[parent][c][0] = r
+                self._fold(r, child)
             else:
                 red.append(child)
             # folding may have put new children under any red state
@@ -70,6 +72,15 @@ class Automaton:
                     todo.append((x[0], y[0]))
         return True
 
+    def _fit(self, a: int, b: int) -> float:
+        """Log-likelihood of one step on from b, counted as often as it was seen, in state a."""
+        all_ = math.log(self.total[a] + SMOOTH)
+        out = self.stops[b] * (math.log(self.stops[a] + SMOOTH / ALPHABET) - all_)
+        for c, (_, n) in self.go[b].items():
+            x = self.go[a].get(c)
+            out += n * (math.log((x[1] if x else 0) + SMOOTH / ALPHABET) - all_)
+        return out
+
     def _fold(self, a: int, b: int) -> None:
         """Add the tree under b to a."""
         todo = [(a, b)]
