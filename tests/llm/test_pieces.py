@@ -6,7 +6,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vicinal.llm.pieces import LONG, loaded, model_file, op7_sentencepiece, tokenized
+from vicinal.llm.pieces import KEEP, loaded, model_file, op7_sentencepiece, tokenized
 
 SP = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
 PIECES = loaded(model_file())
@@ -19,7 +19,7 @@ def agree(texts):
         assert decoded.decode() == SP.decode(want) == PIECES.decode(want), t
 
 
-ODD = ["", " ", "  ", "\n", " \n ", "a", " a", "a ", "▁", "▁▁a", "a▁b", "\t\ttab", "x\r\ny", "aaaaaaaaaaaa", "the the  the   the", "日本語のテキスト", "🙂🙃 emoji", "<s> </s> <unk> <0x0A>", "é", " nbsp", "\x00nul", "ß" * 50, "ab" * (LONG + 7), " " * (LONG + 50), "the" * LONG, "日" * LONG * 2]
+ODD = ["", " ", "  ", "\n", " \n ", "a", " a", "a ", "▁", "▁▁a", "a▁b", "\t\ttab", "x\r\ny", "aaaaaaaaaaaa", "the the  the   the", "日本語のテキスト", "🙂🙃 emoji", "<s> </s> <unk> <0x0A>", "é", " nbsp", "\x00nul", "ß" * 50, "ab" * (KEEP + 7), " " * (KEEP + 50), "the" * KEEP, "日" * KEEP * 2]
 
 
 def test_odd_texts():
@@ -32,12 +32,22 @@ def test_any_text(texts):
     agree(texts)
 
 
-def test_rounds_and_heap_agree():
-    t = SP.decode(list(range(3000, 3400)))
-    syms = [PIECES.symbol.get(c, -1) for c in t.replace(" ", "▁")]
-    import numpy as np
+@settings(max_examples=150, deadline=None)
+@given(st.one_of(st.text("ab", min_size=200, max_size=2000), st.text("theinrsao", min_size=200, max_size=2000), st.text("tTheE0159-_=/.é日", min_size=200, max_size=2000), st.lists(st.sampled_from(["the", "ing", "tion", "aaaa", "a", "ha", "==", "//", "xx", "日本"]), min_size=100, max_size=600).map("".join), st.tuples(st.text("abeht", min_size=1, max_size=7), st.integers(100, 900)).map(lambda x: x[0] * x[1])))
+def test_long_segments(text):
+    """Texts without a space are one segment of many blocks."""
+    agree([text, text + " " + text[:50]])
 
-    assert PIECES.merge(np.array(syms, np.int32), np.zeros(len(syms), np.int64))[0].tolist() == PIECES.merge_long(list(syms))
+
+def test_very_long_segments():
+    """Rounds don't grow with the length."""
+    import random
+
+    rng = random.Random(4)
+    words = SP.decode(list(range(3000, 5000))).replace(" ", "")
+    texts = ["a" * 300_000, "ab" * 100_000, "".join(rng.choice("etaoinshr") for _ in range(200_000)), words * 10, "".join(rng.choice("0123456789abcdef") for _ in range(200_000))]
+    agree(texts)
+    assert all(len(s) <= KEEP for s in PIECES.cache)
 
 
 @pytest.mark.parametrize("ids", [[2], [300, 2], [29871, 29871, 450], [235, 233, 450], [243, 162, 156, 134], [1, 450, 2, 450]])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -17,8 +16,8 @@ from vicinal.llm.flat import parts
 NONE = np.iinfo(np.int32).max
 #: Encoded segments that a worker keeps; a full cache starts anew.
 CACHE = 150_000
-#: Longer segments are merged from a heap, as rounds would be as many as their merges.
-LONG = 400
+#: Longer segments aren't kept.
+KEEP = 400
 
 
 class Pieces:
@@ -65,6 +64,8 @@ class Pieces:
                 unsafe.update(y for y in (a, b) if y in rank and rank[y] >= rank[x])
         by = np.argsort(keys)
         self.keys, self.merged, self.ranks = np.array(keys, np.int64)[by], np.array(merged, np.int32)[by], np.array(ranks, np.int32)[by]
+        #: The most characters that one piece has.
+        self.longest = max(map(len, normal))
         self.unsafe = np.zeros(len(rank) + 1, bool)
         self.unsafe[[rank[y] for y in unsafe]] = True
         joined = {c for x in normal if len(x) > 1 for c in x}
@@ -82,39 +83,52 @@ class Pieces:
     def merge(self, sym: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Final symbols and their segments, in order, of symbols whose segment numbers ascend.
 
-        Each round takes the least rank in every segment and merges its pair: all that don't overlap, from the left, if no
-        merge that this makes possible could come before them; else the leftmost only. Segments without a pair leave.
+        A segment is cut into blocks of twice the longest piece; most have one. Each round takes the least rank in every block and
+        merges its pair if no neighbouring block has a lesser one: what any other merge makes holds the place it began at, and no
+        piece reaches over a block, so none can come in between. All pairs of that rank that don't overlap go at once, from the
+        left, if no merge that this makes possible could come before them; else the block's leftmost only, and after those of the
+        block before. So rounds don't grow with a segment's length. Segments without a pair leave.
         """
-        done: list[tuple[np.ndarray, np.ndarray]] = []
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         rank, at = np.full(len(sym), NONE, np.int32), np.zeros(len(sym), np.int64)
         if len(sym) > 1:
             rank[:-1], at[:-1] = self.lookup(sym[:-1], sym[1:])
             rank[:-1][seg[:-1] != seg[1:]] = NONE
         char = np.arange(len(sym))  # symbols keep the place of their first character
+        changed = lambda *x: np.concatenate([[True], np.logical_or.reduce([y[1:] != y[:-1] for y in x])])
+        head = changed(seg) if len(sym) else char
+        block = (char - np.maximum.accumulate(np.where(head, char, 0))) // (2 * self.longest)
         while len(sym):
-            first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-            size = np.diff(np.append(first, len(sym)))
+            first = np.flatnonzero(changed(seg, block))
             least = np.minimum.reduceat(rank, first)
-            if (least == NONE).any():
-                over = np.repeat(least == NONE, size)
-                done.append((sym[over], char[over], seg[over]))
-                on = ~over
-                sym, seg, rank, at, char = sym[on], seg[on], rank[on], at[on], char[on]
-                least, size = least[least < NONE], size[least < NONE]
+            owner = seg[first]
+            own = np.flatnonzero(changed(owner))
+            over = np.minimum.reduceat(least, own) == NONE
+            if over.any():
+                over = np.repeat(over, np.diff(np.append(own, len(first))))
+                gone = np.repeat(over, np.diff(np.append(first, len(sym))))
+                done.append((sym[gone], char[gone], seg[gone]))
+                sym, seg, rank, at, char, block = (x[~gone] for x in (sym, seg, rank, at, char, block))
                 if not len(sym):
                     break
-            least = np.repeat(least, size)
-            i = np.flatnonzero(rank == least)
-            head = np.concatenate([[True], seg[i[1:]] != seg[i[:-1]]])
-            run = np.concatenate([[True], (i[1:] != i[:-1] + 1) | head[1:]])
+                least, owner = least[~over], owner[~over]
+                first = np.flatnonzero(changed(seg, block))
+            size = np.diff(np.append(first, len(sym)))
+            before, after = np.full((2, len(least)), NONE, np.int32)
+            same = owner[1:] == owner[:-1]
+            before[1:][same], after[:-1][same] = least[:-1][same], least[1:][same]
+            single = self.unsafe[np.minimum(least, len(self.unsafe) - 1)]
+            ready = (least < NONE) & (least <= after) & np.where(single, least < before, least <= before)
+            i = np.flatnonzero((rank < NONE) & (rank == np.repeat(least, size)))
+            of = np.repeat(np.arange(len(least)), size)[i]
             k = np.arange(len(i))
-            even = (k - np.maximum.accumulate(np.where(run, k, 0))) % 2 == 0
-            i = i[even & (head | ~self.unsafe[rank[i]])]
+            begin = np.maximum.accumulate(np.where(np.concatenate([[True], (i[1:] != i[:-1] + 1) | (rank[i[1:]] != rank[i[:-1]])]), k, 0))
+            i = i[((k - begin) % 2 == 0) & ready[of] & ready[of[begin]] & (changed(of) | ~single[of])]
             sym[i] = self.merged[at[i]]
             keep = np.ones(len(sym), bool)
             keep[i + 1] = False
             new = (np.cumsum(keep) - 1)[i]
-            sym, seg, rank, at, char = sym[keep], seg[keep], rank[keep], at[keep], char[keep]
+            sym, seg, rank, at, char, block = (x[keep] for x in (sym, seg, rank, at, char, block))
             for p in (new, new[new > 0] - 1):
                 q = p[p + 1 < len(sym)]
                 r, t = self.lookup(sym[q], sym[q + 1])
@@ -127,61 +141,26 @@ class Pieces:
         order = np.argsort(char, kind="stable")
         return sym[order], seg[order]
 
-    def merge_long(self, syms: list[int]) -> list[int]:
-        """The same for one long segment, pair by pair from a heap."""
-        n = len(syms)
-        a, b = np.array(syms[:-1], np.int32), np.array(syms[1:], np.int32)
-        r, t = self.lookup(a, b)
-        heap = [(int(r[i]), i, syms[i], syms[i + 1]) for i in np.flatnonzero(r < NONE).tolist()]
-        heapq.heapify(heap)
-        nxt, prv, alive, into = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n, self._pairs()
-        while heap:
-            _, i, x, y = heapq.heappop(heap)
-            j = nxt[i] if alive[i] else n
-            if j >= n or syms[i] != x or syms[j] != y:
-                continue
-            syms[i] = into[x << 20 | y][1]
-            alive[j] = False
-            nxt[i] = nxt[j]
-            if nxt[i] < n:
-                prv[nxt[i]] = i
-            for p, q in ((prv[i], i), (i, nxt[i])):
-                if p >= 0 and q < n and (m := into.get(syms[p] << 20 | syms[q])) and min(syms[p], syms[q]) >= 0:
-                    heapq.heappush(heap, (m[0], p, syms[p], syms[q]))
-        return [s for s, on in zip(syms, alive, strict=True) if on]
-
-    def _pairs(self) -> dict[int, tuple[int, int]]:
-        if not hasattr(self, "_into"):
-            self._into = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
-        return self._into
-
     def _learn(self, new: list[str]) -> None:
         """Encode segments and put them into the cache: number of ids, ids as text, decoded bytes."""
         if len(self.cache) + len(new) > CACHE:
             self.cache = {}
         get = self.symbol.get
         texts = [s.replace(" ", "▁") for s in new]
-        short = [k for k, s in enumerate(texts) if len(s) <= LONG]
-        flat = "".join(texts[k] for k in short)
+        flat = "".join(texts)
         alphabet, codes = np.unique(np.frombuffer(flat.encode("utf-32-le"), np.uint32), return_inverse=True)
         own = np.array([get(chr(c), -1) for c in alphabet.tolist()] or [0], np.int32)
         sym = own[codes] if len(flat) else np.zeros(0, np.int32)
         sym = np.where(sym < 0, -1 - codes, sym).astype(np.int32)  # unknown characters, told apart by place in the alphabet
-        seg = np.repeat(np.arange(len(short)), [len(texts[k]) for k in short])
+        seg = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         sym, seg = self.merge(sym, seg)
-        cut = np.searchsorted(seg, np.arange(len(short) + 1)).tolist()
+        cut = np.searchsorted(seg, np.arange(len(texts) + 1)).tolist()
         flat_syms = sym.tolist()
         known = len(self.surface)
         back = {v: c for c, v in self.symbol.items() if v >= known}
         char = lambda s: (chr(alphabet[-1 - s]) if s < 0 else back[s]).encode()
-        for k, which in enumerate(short):
-            self._keep(new[which], flat_syms[cut[k] : cut[k + 1]], char)
-        for which in range(len(texts)):
-            if len(texts[which]) > LONG:
-                odd = sorted({c for c in texts[which] if get(c, -1) < 0})
-                place = {c: -1 - i for i, c in enumerate(odd)}
-                syms = self.merge_long([get(c, place.get(c, -1)) for c in texts[which]])
-                self._keep(new[which], syms, lambda s, odd=odd: (odd[-1 - s] if s < 0 else back[s]).encode())
+        for k, segment in enumerate(new):
+            self._keep(segment, flat_syms[cut[k] : cut[k + 1]], char)
 
     def _keep(self, segment: str, syms: list[int], char) -> None:  # noqa: ANN001
         ids: list[int] = []
@@ -213,6 +192,9 @@ class Pieces:
             found = list(map(got, x))
             ids = " ".join([f[1] for f in found] + [str(self.eos)])
             yield sum(f[0] for f in found) + 1, ids, b"".join(f[2] for f in found)[1:]
+        for s in new:
+            if len(s) > KEEP:
+                del self.cache[s]
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in next(self.encoded([text]))[1].split(" ")]
@@ -274,8 +256,9 @@ def model_file(path: str | None = None) -> bytes:
 def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    Null and empty texts have the end id only and decode to nothing; repeated rows get a row each; extra columns are ignored.
-    Memory follows the longest text, not the batch.
+    Null and empty texts have the end id only and decode to nothing; repeated rows get a row each; an empty table gives no rows;
+    extra columns are ignored. Texts and segments of any length are merged in rounds. Memory follows the longest text, not the
+    batch. Ids are decoded by segment, when a segment is first met: no character's bytes are in two.
     """
     model = model_file(path)
 
