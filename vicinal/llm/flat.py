@@ -68,20 +68,20 @@ def word_bounds(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[tuple[int, str], np.ndarray] = {}
 #: A random number for each byte; A-Z count as a-z.
 _LETTER = numbers(256, 11)
 _LETTER[65:91] = _LETTER[97:123]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n + 1:
+def _powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS.get((base, "up"), ())) < n + 1:
         size = 1 << int(n + 1).bit_length()
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            out = np.full(size, base, np.uint64)
+        for name, x in (("up", base), ("down", pow(base, -1, 2**64))):
+            out = np.full(size, x, np.uint64)
             out[0] = 1
-            _POWERS[name] = np.multiply.accumulate(out)
-    return _POWERS["up"], _POWERS["down"]
+            _POWERS[base, name] = np.multiply.accumulate(out)
+    return _POWERS[base, "up"], _POWERS[base, "down"]
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
