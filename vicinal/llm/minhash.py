@@ -240,9 +240,12 @@ def linked(docs: DataFrame) -> DataFrame:
 
 
 def unique(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the one with the least id; columns as they are."""
+    """docs with one row of each group: that of the document with the least id; columns as they are. Of rows equal in id and text, the
+    one whose columns have the least hash, so reruns agree."""
     said = linked(docs).filter("kept").select("k1", "k2").dropDuplicates(["k1", "k2"])
-    return docs.select(F.struct(*docs.columns).alias("row"), *row_key()).join(said, ["k1", "k2"], "left_semi").select("row.*")
+    order = F.xxhash64(*(c for c, t in docs.dtypes if "map<" not in t and t != "variant"))
+    row = docs.select(F.struct(*docs.columns).alias("row"), order.alias("order"), *row_key())
+    return row.join(said, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min_by("row", "order").alias("row")).select("row.*")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
