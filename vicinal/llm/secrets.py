@@ -30,6 +30,8 @@ DECIMAL = re.compile(r"[0-9]+")
 #: Labelled runs that the automata are learned from: SAMPLE of each label at most, of each shape in turn, EACH of a shape at most, by
 #: least hash. Of a longer run the first LONGEST characters teach; scores are of whole runs.
 SAMPLE, EACH, LONGEST, ROUNDS = 1500, 200, 128, 3
+#: Shares that a shape's runs are ranked in first.
+SHARES = 32
 #: A candidate is a secret if the credentials' automaton makes it e ** MARGIN times as likely as the other runs' does.
 MARGIN = 10.0
 #: Scored runs that a worker keeps; a full store starts anew.
@@ -92,8 +94,11 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[Automaton, Automaton]:
     turn, so a rare shape is learned beside the words that most runs are; `sample` runs of each label come to the driver.
     """
     runs = docs.select("text").mapInArrow(_label, "secret boolean, shape string, run string").distinct()
-    order = W.partitionBy("secret", "shape").orderBy(F.xxhash64("run"), "run")
-    runs = written(runs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= EACH), "runs")
+    # most runs are words, of one shape: the first of each share of a shape, then of all shares
+    runs = runs.withColumn("share", F.pmod(F.xxhash64("run", F.lit(1)), F.lit(SHARES)))
+    for by in (["secret", "shape", "share"], ["secret", "shape"]):
+        runs = runs.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(F.xxhash64("run"), "run"))).filter(F.col("place") <= EACH)
+    runs = written(runs, "runs")
     pick = lambda yes: [r.run for r in runs.filter(F.col("secret") == yes).orderBy("place", F.xxhash64("run"), "run").limit(sample).collect()]
     yes, no = pick(True), pick(False)
     dropped(runs)
