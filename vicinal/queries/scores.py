@@ -213,7 +213,7 @@ SELECT 'split' AS category, 'site_stratified' AS name, count(*) AS rows, CAST(0
 UNION ALL SELECT 'features', 'nodes', count(*), 0, true FROM nodes
 UNION ALL SELECT 'graph', 'pca_knn_k20', count(*), 0, true FROM edges
 UNION ALL SELECT 'graph', 'reversed', count(*), count(*) FILTER (s.part <> 'train'), false FROM edges e JOIN nodes s ON s.node = e.dst
-UNION ALL SELECT 'graph', 'bbknn', NULL, NULL, false
+UNION ALL SELECT 'graph', 'bbknn', 0, 0, false
 UNION ALL SELECT 'runs', 'all', count(*), count(*) FILTER (macro_f1 IS NULL OR macro_f1 < 0 OR macro_f1 > 1), true FROM runs)""")
 def trk_validate(spark: S, d: str) -> DataFrame:
     """The checklist over written artifacts: sound ones, a graph whose edges are turned round, and one that is missing."""

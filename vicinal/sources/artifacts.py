@@ -104,13 +104,13 @@ def _one(spark: SparkSession, kind: str, path: str) -> tuple[int, int, bool]:
 
 def validated(spark: SparkSession, home: str, expected: dict[str, list[str]]) -> DataFrame:
     """(category, name, rows, disallowed, passed): the checklist over artifacts at home/category/name. A graph passes if no edge
-    goes out from a held-out node and its edges have the manifest's hash; a missing or unreadable artifact doesn't pass, with null
-    figures."""
+    goes out from a held-out node and its edges have the manifest's hash; a missing or unreadable artifact doesn't pass, with no
+    rows."""
     rows = []
     for kind, names in expected.items():
         for name in names:
             try:
                 rows.append((kind, name, *_one(spark, kind, f"{home}/{kind}/{name}")))
             except (AnalysisException, ValueError):
-                rows.append((kind, name, None, None, False))
+                rows.append((kind, name, 0, 0, False))
     return spark.createDataFrame(rows, "category string, name string, rows long, disallowed long, passed boolean")
