@@ -95,40 +95,57 @@ class Pieces:
             rank[:-1], at[:-1] = self.lookup(sym[:-1], sym[1:])
             rank[:-1][seg[:-1] != seg[1:]] = NONE
         char = np.arange(len(sym))  # symbols keep the place of their first character
-        changed = lambda *x: np.concatenate([[True], np.logical_or.reduce([y[1:] != y[:-1] for y in x])])
-        head = changed(seg) if len(sym) else char
-        block = (char - np.maximum.accumulate(np.where(head, char, 0))) // (2 * self.longest)
+        changed = lambda x: np.concatenate([[True], x[1:] != x[:-1]])
+        block = seg  # one number for segment and block, ascending; each segment's own where all have one block
+        if len(sym):
+            place = char - np.maximum.accumulate(np.where(changed(seg), char, 0))
+            if place.max() >= 2 * self.longest:
+                block = seg * (len(sym) + 1) + place // (2 * self.longest)
+        single_block = block is seg
         while len(sym):
-            first = np.flatnonzero(changed(seg, block))
+            first = np.flatnonzero(changed(block))
+            size = np.diff(np.append(first, len(sym)))
             least = np.minimum.reduceat(rank, first)
-            owner = seg[first]
-            own = np.flatnonzero(changed(owner))
-            over = np.minimum.reduceat(least, own) == NONE
+            if single_block:
+                over = least == NONE
+            else:
+                owner = seg[first]
+                own = np.flatnonzero(changed(owner))
+                over = np.repeat(np.minimum.reduceat(least, own) == NONE, np.diff(np.append(own, len(first))))
             if over.any():
-                over = np.repeat(over, np.diff(np.append(own, len(first))))
-                gone = np.repeat(over, np.diff(np.append(first, len(sym))))
+                gone = np.repeat(over, size)
                 done.append((sym[gone], char[gone], seg[gone]))
-                sym, seg, rank, at, char, block = (x[~gone] for x in (sym, seg, rank, at, char, block))
+                on = ~gone
+                sym, seg, rank, at, char = sym[on], seg[on], rank[on], at[on], char[on]
+                block = seg if single_block else block[on]
                 if not len(sym):
                     break
-                least, owner = least[~over], owner[~over]
-                first = np.flatnonzero(changed(seg, block))
-            size = np.diff(np.append(first, len(sym)))
-            before, after = np.full((2, len(least)), NONE, np.int32)
-            same = owner[1:] == owner[:-1]
-            before[1:][same], after[:-1][same] = least[:-1][same], least[1:][same]
-            single = self.unsafe[np.minimum(least, len(self.unsafe) - 1)]
-            ready = (least < NONE) & (least <= after) & np.where(single, least < before, least <= before)
-            i = np.flatnonzero((rank < NONE) & (rank == np.repeat(least, size)))
-            of = np.repeat(np.arange(len(least)), size)[i]
-            k = np.arange(len(i))
-            begin = np.maximum.accumulate(np.where(np.concatenate([[True], (i[1:] != i[:-1] + 1) | (rank[i[1:]] != rank[i[:-1]])]), k, 0))
-            i = i[((k - begin) % 2 == 0) & ready[of] & ready[of[begin]] & (changed(of) | ~single[of])]
+                least, size = least[~over], size[~over]
+            each = np.repeat(least, size)
+            if single_block:
+                i = np.flatnonzero(rank == each)
+                head = changed(seg[i])
+                run = np.concatenate([[True], (i[1:] != i[:-1] + 1) | head[1:]])
+                k = np.arange(len(i))
+                i = i[((k - np.maximum.accumulate(np.where(run, k, 0))) % 2 == 0) & (head | ~self.unsafe[rank[i]])]
+            else:
+                owner = seg[np.cumsum(size) - size]
+                before, after = np.full((2, len(least)), NONE, np.int32)
+                same = owner[1:] == owner[:-1]
+                before[1:][same], after[:-1][same] = least[:-1][same], least[1:][same]
+                single = self.unsafe[np.minimum(least, len(self.unsafe) - 1)]
+                ready = (least < NONE) & (least <= after) & np.where(single, least < before, least <= before)
+                i = np.flatnonzero((rank < NONE) & (rank == each))
+                of = np.repeat(np.arange(len(least)), size)[i]
+                k = np.arange(len(i))
+                begin = np.maximum.accumulate(np.where(np.concatenate([[True], (i[1:] != i[:-1] + 1) | (rank[i[1:]] != rank[i[:-1]])]), k, 0))
+                i = i[((k - begin) % 2 == 0) & ready[of] & ready[of[begin]] & (changed(of) | ~single[of])]
             sym[i] = self.merged[at[i]]
             keep = np.ones(len(sym), bool)
             keep[i + 1] = False
             new = (np.cumsum(keep) - 1)[i]
-            sym, seg, rank, at, char, block = (x[keep] for x in (sym, seg, rank, at, char, block))
+            sym, seg, rank, at, char = sym[keep], seg[keep], rank[keep], at[keep], char[keep]
+            block = seg if single_block else block[keep]
             for p in (new, new[new > 0] - 1):
                 q = p[p + 1 < len(sym)]
                 r, t = self.lookup(sym[q], sym[q + 1])
@@ -152,8 +169,13 @@ class Pieces:
         own = np.array([get(chr(c), -1) for c in alphabet.tolist()] or [0], np.int32)
         sym = own[codes] if len(flat) else np.zeros(0, np.int32)
         sym = np.where(sym < 0, -1 - codes, sym).astype(np.int32)  # unknown characters, told apart by place in the alphabet
-        seg = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        sym, seg = self.merge(sym, seg)
+        size = np.array([len(t) for t in texts], np.int64)
+        seg = np.repeat(np.arange(len(texts)), size)
+        long_ = np.repeat(size > 2 * self.longest, size)  # apart, as most segments are one block
+        got = [self.merge(sym[x], seg[x]) for x in (~long_, long_)]
+        sym, seg = (np.concatenate(x) for x in zip(*got, strict=True))
+        by = np.argsort(seg, kind="stable")
+        sym, seg = sym[by], seg[by]
         cut = np.searchsorted(seg, np.arange(len(texts) + 1)).tolist()
         flat_syms = sym.tolist()
         known = len(self.surface)
