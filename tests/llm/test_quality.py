@@ -1,7 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
-from vicinal.llm.quality import clean, judge, op2_quality
+from vicinal.llm.quality import MAX_DOCS, MIN_DOCS, MIN_LEFT, MIN_SHARE, clean, judge, op2_quality
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, line string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -11,7 +11,7 @@ def norm(line):
     return re.sub(r"[\x20\x09-\x0D]+", " ", re.sub(r"\d", "0", line.lower())).strip(" ")
 
 
-def brute(rows, min_docs=10, min_share=0.02, min_left=0.5, max_docs=100):
+def brute(rows, min_docs=MIN_DOCS, min_share=MIN_SHARE, min_left=MIN_LEFT, max_docs=MAX_DOCS):
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for each (id, text, source); documents of
     equal text count once."""
     base, lines, of, total = [], [], defaultdict(set), defaultdict(set)
@@ -79,18 +79,18 @@ def test_documents_are_counted(spark):
         total[source].add(text)
         for x in text.split("\n"):
             of[source, norm(x)].add(text)
-    want = {i: sum(len(WORD.findall(x)) for x in text.split("\n") if len(of[source, norm(x)]) > max(10, 0.02 * len(total[source]))) for i, text, source in rows}
+    want = {i: sum(len(WORD.findall(x)) for x in text.split("\n") if len(of[source, norm(x)]) > max(MIN_DOCS, MIN_SHARE * len(total[source]))) for i, text, source in rows}
     verdicts, _ = judge(spark.createDataFrame([(i, t, None, s, None, None) for i, t, s in rows], DOCS))
     got = {r.doc_id: (r.n_frequent_words, r.kept) for r in verdicts.collect()}
     assert got == {i: (n, n == 0) for i, n in want.items()} and want[0] == 300 and want[50] == 0
 
 
 def test_footer_of_a_large_host(spark):
-    """A line in 101 documents goes on a host of 6,000, where it is under the share; one in 100 stays."""
+    """A line in 101 documents goes on a host of 24,000, where it is under the share; one in 100 stays."""
     own = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
     say = lambda i: " ".join(f"u{own(i)}z{k}" for k in range(55))
     foot = lambda i: "\nread by permission" * (i < 101) + "\nsent from a train" * (i < 100)
-    verdicts, often = judge(spark.createDataFrame([(i, say(i) + foot(i), None, "h", None, None) for i in range(6000)], DOCS))
+    verdicts, often = judge(spark.createDataFrame([(i, say(i) + foot(i), None, "h", None, None) for i in range(24000)], DOCS))
     assert often.count() == 1
     assert verdicts.filter("n_frequent_lines = 1 and n_frequent_words = 3 and kept and doc_id < 101").count() == 101
 

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from vicinal.llm.base import row_key, table, words, written
 
 #: A line goes when more documents of its host have it than the first number and this share of the host's documents, or than
-#: the last number. The share takes over from the first number at 500 documents, the largest hosts of the tables up to sf0.1
-#: (none of check_h), and gives way to the last one at 5,000: ten times the first, whatever the size of the host.
-MIN_DOCS, MIN_SHARE, MAX_DOCS = 10, 0.02, 100
+#: the last number. The share decides for hosts of 2,000 to 20,000 documents; below and beyond that a fixed count does.
+MIN_DOCS, MIN_SHARE, MAX_DOCS = 10, 0.005, 100
 #: A document that keeps less than this share of its words once its frequent lines are gone is depleted.
 MIN_LEFT = 0.5
 #: Limits of the base rules.
