@@ -12,6 +12,7 @@ from vicinal.llm.mixing import op6_mixing
 from vicinal.llm.pieces import op7_sentencepiece
 from vicinal.llm.quality import op2_quality
 from vicinal.llm.quotes import op9_quotes
+from vicinal.llm.repair import OP11_SQL, op11_repair
 from vicinal.llm.revisits import OP1_SQL, op1_revisits
 from vicinal.llm.secrets import op10_secrets
 from vicinal.llm.suffixes import op3_suffixes
@@ -28,9 +29,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quotes": op9_quotes,
     "op10_secrets": op10_secrets,
+    "op11_repair": op11_repair,
 }
 
-SQL: dict[str, str] = {"op1_revisits": OP1_SQL}
+SQL: dict[str, str] = {"op1_revisits": OP1_SQL, "op11_repair": OP11_SQL}
 
 SQL["op6_mixing"] = r"""
 WITH d AS (
