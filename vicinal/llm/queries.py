@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vicinal.llm.alignment import op12_alignment
 from vicinal.llm.flatgraph import op4_vectors
 from vicinal.llm.minhash import op5_minhash
 from vicinal.llm.mixing import op6_mixing
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quotes": op9_quotes,
     "op10_secrets": op10_secrets,
     "op11_repair": op11_repair,
+    "op12_alignment": op12_alignment,
 }
 
 SQL: dict[str, str] = {"op1_revisits": OP1_SQL, "op11_repair": OP11_SQL}
