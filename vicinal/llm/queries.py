@@ -11,6 +11,7 @@ from vicinal.llm.flatgraph import op4_vectors
 from vicinal.llm.minhash import op5_minhash
 from vicinal.llm.mixing import op6_mixing
 from vicinal.llm.pieces import op7_sentencepiece
+from vicinal.llm.positive import op13_quality
 from vicinal.llm.quality import op2_quality
 from vicinal.llm.quotes import op9_quotes
 from vicinal.llm.repair import OP11_SQL, op11_repair
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
     "op11_repair": op11_repair,
     "op12_alignment": op12_alignment,
+    "op13_quality": op13_quality,
 }
 
 SQL: dict[str, str] = {"op1_revisits": OP1_SQL, "op11_repair": OP11_SQL}
