@@ -18,9 +18,9 @@ from vicinal.llm.base import dropped, table, written
 #: A pair of ids is one number: A's id << SHIFT | B's.
 SHIFT = 15
 #: Segments that a worker keeps; segments over LONG characters are encoded alone and not kept; others in runs of about RUN characters.
-STORE, LONG, RUN = 300_000, 1_000, 20_000
+STORE, LONG, RUN = 120_000, 1_000, 20_000
 #: Characters of text that a worker aligns at once, a whole text at least.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 19
 #: Pairs of ids, 40 MB as a hash table, up to which their counts are broadcast; beyond it they meet the links in a shuffle, SALT ways.
 BROADCAST, SALT = 1_000_000, 8
 #: A space between other characters: no token of either side reaches over its left end. It begins the next segment, as a space begins a text.
@@ -45,12 +45,10 @@ class Sides:
         import public_tokenizers
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.whole = Tokenizer.from_str(json)
-        self.whole.encode_special_tokens = True
+        self.json, self.whole = json, None
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.a_len = np.zeros(max(table.values()) + 2, np.int64)
         self.a_len[list(table.values())] = [len(x) for x in table]
@@ -91,10 +89,19 @@ class Sides:
                 for s in run:
                     yield from self.ids([s])
             return
-        a = self.fast.encode_ordinary(" " + text) if len(text) <= 2 * RUN else self.whole.encode(" " + text, add_special_tokens=False).ids
+        a = self.fast.encode_ordinary(" " + text) if len(text) <= 2 * RUN else self.slow(" " + text)
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         yield (run, a, b) if self.a_len[a].sum() == self.b_len[b].sum() else (run, None, None)
 
+    def slow(self, text: str) -> list[int]:
+        """The same ids, in time that follows the length of a segment, however long; loaded once it is needed."""
+        from tokenizers import Tokenizer
+
+        if not self.whole:
+            self.whole = Tokenizer.from_str(self.json)
+            self.whole.encode_special_tokens = True
+        return self.whole.encode(text, add_special_tokens=False).ids
+
     def learn(self, segments: list[str]) -> None:
         order, a_all, b_all, ok = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         for run in self.runs(segments):
