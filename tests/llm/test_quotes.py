@@ -1,6 +1,10 @@
+import random
 import re
+import time
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from vicinal.llm.quotes import linked, normal, op9_quotes, ordered, passages, quoting, units
 
 MSG = "conv_id long, turn long, role string, text string, level int"
@@ -121,3 +125,27 @@ def test_whole_table_as_brute_force_and_empty(spark, sf):
     plain = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
     assert all(r.text == plain[r.conv_id, r.turn].strip() for r in ordered(df).collect())
     assert ordered(spark.createDataFrame([], MSG)).count() == 0
+
+
+def test_long_lines_take_time_by_their_length(spark):
+    """Lines, marks, blanks and unbroken texts of up to a million characters: no pattern may look at them again and again."""
+    n = 1_000_000
+    odd = [">" * 100_000, "> " * 100_000 + "hm", "x" * n, "x" * (n // 2) + "." * (n // 2) + "x", "a" + "*" * n + "b", "wrote" + " " * n + "x", "a" + " " * n + "b", "a b " * (n // 4), ":" * n, "\n" * n, "?! " * (n // 3), "x" * n + ". y"]
+    rows = [(i, t, "user", x) for i, x in enumerate(odd) for t in (0, 1, 2, 3)] + [(99, 0, "user", "Plain words stand here."), (99, 1, "user", "> Plain words stand here.\nYes")]
+    began = time.time()
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(8)
+    got = ordered(df).select("conv_id", "turn", "n_quoted", "n_linked", F.length("text").alias("n")).collect()
+    assert len(got) == len(rows) and {r.n_quoted for r in got if r.conv_id == 0} == {1}
+    assert [r.n_linked for r in got if (r.conv_id, r.turn) == (99, 1)] == [1]
+    assert quoting(df).select(F.sum(F.length("text"))).first()[0] > sum(len(x[3]) for x in rows)
+    assert time.time() - began < 120
+
+
+def test_new_patterns_match_as_the_old_ones(spark):
+    """The forms that go back over a text, on short texts."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab .!?\n\t  ") for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    old = df.select(F.regexp_replace("t", r"((?:\S+[ \t]+){7}\S+)[ \t]+", "$1\n").alias("w"), F.regexp_extract("t", r"([^.!?]+[.!?]+\s*)$", 1).alias("s")).collect()
+    new = df.select(F.regexp_replace("t", r"(?<!\S)((?:\S++[ \t]++){7}\S++)[ \t]++", "$1\n").alias("w"), F.regexp_extract("t", r"(?<![^.!?])([^.!?]++[.!?]++\s*+)$", 1).alias("s")).collect()
+    assert old == new

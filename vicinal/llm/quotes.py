@@ -15,20 +15,29 @@ from vicinal.llm.base import dropped, table, written
 from vicinal.llm.flat import parts
 
 #: The marks before a quoted line: one > for each level.
-MARKS = r"^[\x20\t]*(?:>[\x20\t]*)+"
+MARKS = r"^[\x20\t]*>[>\x20\t]*"
 #: A line that says whose quotation follows.
 SAYS = r"(wrote|writes|said|schrieb|escribió|a écrit)\s*:\s*$"
 #: A unit of fewer words is no evidence, unless it is the whole of a message.
 FEW = 3
 
 _MARKS, _SAYS = re.compile(MARKS), re.compile(SAYS)
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
 
+def bare(text: str) -> str:
+    """text without what isn't a letter or digit at its ends, in time that follows its length."""
+    i, j = 0, len(text)
+    while i < j and not text[i].isalnum():
+        i += 1
+    while j > i and not text[j - 1].isalnum():
+        j -= 1
+    return text[i:j]
+
+
 def normal(text: str) -> str:
     """What quoting changes doesn't count: case, white space, so line breaks too, and punctuation at the ends."""
-    return _EDGES.sub("", re.sub(r"\s+", " ", text.lower()))
+    return bare(re.sub(r"\s+", " ", text.lower()))
 
 
 def passages(text: str) -> list[tuple[int, list[str]]]:
@@ -168,7 +177,7 @@ def ordered(messages: DataFrame) -> DataFrame:
     marked = F.transform(F.split("text", "\r?\n", -1), lambda x: F.struct(x.alias("raw"), x.rlike(MARKS).alias("quoted")))
     df = messages.select("conv_id", F.col("turn").alias("_turn"), "role", marked.alias("lines"), *_ids())
     gone = lambda x, i: x["quoted"] | (x["raw"].rlike(r":\s*$") & x["raw"].rlike(SAYS) & F.coalesce(F.get("lines", i + 1)["quoted"], F.lit(False)))
-    text = F.trim(F.regexp_replace(F.array_join(F.transform(F.filter("lines", lambda x, i: ~gone(x, i)), lambda x: x["raw"]), "\n"), r"^\s+|\s+$", ""))
+    text = F.trim(F.array_join(F.transform(F.filter("lines", lambda x, i: ~gone(x, i)), lambda x: x["raw"]), "\n"), F.lit(" \t\n\x0b\x0c\r"))
     df = df.select("conv_id", "_turn", "role", text.alias("text"), F.size(F.filter("lines", lambda x: x["quoted"])).alias("n_quoted"), "c", "turn")
     said = links.join(roots, ["c", "turn"])
     out = df.join(said, ["c", "turn"], "left").join(_places(links, roots), ["c", "turn"], "left")
@@ -184,9 +193,9 @@ def quoting(messages: DataFrame) -> DataFrame:
     one = m.filter("conv_id is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("told"))
     for k in (1, 2):
         m = m.join(one.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("told").alias(f"t{k}")), ["conv_id", "turn"], "left")
-    wrapped = lambda c: F.regexp_replace(c, r"((?:\S+[ \t]+){7}\S+)[ \t]+", "$1\n")
+    wrapped = lambda c: F.regexp_replace(c, r"(?<!\S)((?:\S++[ \t]++){7}\S++)[ \t]++", "$1\n")
     quoted = lambda c, mark: F.regexp_replace(c, r"(?m)^", mark)
-    tail = F.regexp_extract("t2", r"([^.!?]+[.!?]+\s*)$", 1)
+    tail = F.regexp_extract("t2", r"(?<![^.!?])([^.!?]++[.!?]++\s*+)$", 1)
     how = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
     head = F.when((how == 0) & F.col("t1").isNotNull(), quoted(wrapped("t1"), "> ")).when((how == 1) & (tail != ""), F.concat(F.lit("Someone wrote:\n"), quoted(tail, "> "))).when((how == 2) & F.col("t1").isNotNull() & F.col("t2").isNotNull(), F.concat(quoted(wrapped("t2"), "> > "), F.lit("\n"), quoted("t1", "> ")))
     return m.select("conv_id", "turn", "role", F.when(head.isNotNull(), F.concat(head, F.lit("\n\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text")).alias("text"))
