@@ -1,8 +1,10 @@
 import itertools
+import time
 import zlib
 
 import numpy as np
 
+from vicinal.llm import toxicity
 from vicinal.llm.toxicity import SIZE, letter_model, op8_toxicity, readings, scored
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -81,3 +83,12 @@ def test_reruns_and_repeats_agree(spark, sf):
     first = {r.doc_id: r.score for r in scored(docs, labels).collect()}
     again = scored(docs.repartition(7, "text").union(docs.limit(5)).withColumns({"score": docs.n_chars, "toxic": docs.n_chars}), labels.repartition(3)).collect()
     assert len(again) == len(first) + 5 and all(r.score == first[r.doc_id] for r in again)
+
+
+def test_long_runs_of_marks_take_time_by_their_length():
+    channel = toxicity.Channel(np.ones(toxicity.SIZE**3, np.int64))
+    began = time.time()
+    for t in ("a" + "*" * 1_000_000 + "b", "*" * 1_000_000, "a" + "!" * 20_000 + "b", "." * 500_000 + "a$$" + ";" * 500_000, "x" * 1_000_000, "~" * 1_000_000 + "a"):
+        channel.words(t)
+    assert time.time() - began < 60
+    assert toxicity.ends("**a$$**") == "a$$" and toxicity.edge("((idiot!!") == "idiot" and toxicity.edge("a~~") == "a" and toxicity.edge("...") == "" and toxicity.edge("a~") == "a~"

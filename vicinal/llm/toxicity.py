@@ -36,10 +36,10 @@ WORDS = re.compile(r"[^\W\d_]+")
 SINGLE = re.compile(r"[^\W_]|[@$!|+€]")
 THRICE = re.compile(r"([^\W\d_])\1\1")
 LETTER = re.compile(r"[^\W\d_]")
-#: A sign that may stand for a letter or join letters; ENDS can only be dropped at a token's ends, which says nothing.
+#: A sign that may stand for a letter or join letters.
 SIGN = re.compile("[" + re.escape("".join(LEET) + JOINERS) + "]")
-ENDS = re.compile("^[^{0}]+|[^{0}]+$".format(r"\w" + re.escape("".join(LEET))))
-EDGE = re.compile(r"^[\"'(\[{<«#%&*]+|[\"')\]}>».,;:?!#%&*]+$|([^\w\s])\1+$")
+#: Marks that may stand before and behind a word.
+BEFORE, BEHIND = frozenset("\"'([{<«#%&*"), frozenset("\"')]}>».,;:?!#%&*")
 CODE = np.zeros(0x110000, np.uint8)
 CODE[[ord(c) for c in LETTERS]] = range(1, SIZE)
 
@@ -53,6 +53,31 @@ def readings(c: str, before: str) -> list[tuple[str, float]]:
     return out + ([(" ", NUMBER)] if c.isdigit() else [])
 
 
+def ends(t: str) -> str:
+    """t without what can only be dropped at its ends, which says nothing there."""
+    solid = lambda c: c.isalnum() or c == "_" or c in LEET
+    i, j = 0, len(t)
+    while i < j and not solid(t[i]):
+        i += 1
+    while j > i and not solid(t[j - 1]):
+        j -= 1
+    return t[i:j]
+
+
+def edge(t: str) -> str:
+    """t without marks before it, and without marks or one repeated sign behind it."""
+    i, n = 0, len(t)
+    while i < n and t[i] in BEFORE:
+        i += 1
+    j = k = n
+    while j > i and t[j - 1] in BEHIND:
+        j -= 1
+    if n > i and not (t[-1].isalnum() or t[-1] == "_" or t[-1].isspace()):
+        while k > i and t[k - 1] == t[-1]:
+            k -= 1
+    return t[i : min(j, k) if n - k > 1 else j]
+
+
 class Channel:
     """Restores disguised words under a trigram model of letters."""
 
@@ -107,7 +132,7 @@ class Channel:
         odd = {w for w in found if THRICE.search(w)}
         if not t.isalpha():
             # marks at the ends may be letters ("a$$") or marks ("idiot!!"): both ways are read, the costs decide on the rest
-            odd |= {x for x in (ENDS.sub("", t), EDGE.sub("", EDGE.sub("", t))) if THRICE.search(x) or (LETTER.search(x) and SIGN.search(x))}
+            odd |= {x for x in (ends(t), edge(edge(t))) if THRICE.search(x) or (LETTER.search(x) and SIGN.search(x))}
         for x in odd:
             found.update(self.decode(x).split())
         out = tuple(sorted(found))
