@@ -54,6 +54,25 @@ def test_dense_groups_and_odd_rows(spark):
 VEC = "vec_id long, embedding array<double>"
 
 
+def test_links_count_for_both_ends(spark, monkeypatch):
+    """Pairs over the borders of many shards: who has a link counts it, and who has none is alone."""
+    monkeypatch.setattr(flatgraph, "SHARD", 100)
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(1500, 24))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    other = base + rng.normal(size=base.shape) * 0.28 / np.sqrt(24)
+    lone = rng.normal(size=(300, 24))
+    vecs = np.concatenate([base, other, lone]).tolist()
+    got = linked(spark.createDataFrame(list(enumerate(vecs)), VEC)).collect()
+    want = brute(list(range(len(vecs))), vecs)
+    comp = {}
+    for r in got:
+        comp.setdefault(r.component_id, []).append(r)
+    assert all((r.n_links == 0) == (len(rows) == 1) for rows in comp.values() for r in rows)
+    assert all(rows[0].n_links == rows[1].n_links for rows in comp.values() if len(rows) == 2)
+    assert sum(r.n_links for r in got) >= 0.99 * sum(n for n, _ in want.values()) > 1000
+
+
 def test_every_length_is_linked(spark):
     rng = np.random.default_rng(8)
     vecs = [(rng.normal(size=2)).tolist() for _ in range(20)] + [(np.array([1.0, 2, 3]) + rng.normal(size=3) * 0.01).tolist() for _ in range(5)]

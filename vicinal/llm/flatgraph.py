@@ -184,8 +184,9 @@ class _Tally:
     """What a group of queries and members gives: how many vectors each query is linked with, and links that join components, no
     more of them than there are members and queries. No list of all pairs is kept or sent."""
 
-    def __init__(self, ask: np.ndarray, own: np.ndarray, raw_ask: np.ndarray, raw_own: np.ndarray, size: np.ndarray) -> None:
-        self.ask, self.own, self.size = ask, own, size
+    def __init__(self, ask: np.ndarray, own: np.ndarray, raw_ask: np.ndarray, raw_own: np.ndarray, size: np.ndarray, shards: tuple[np.ndarray, np.ndarray, int] | None = None) -> None:
+        """shards: those of each query, those of each member, and the one at hand; a pair of several shards counts in the least."""
+        self.ask, self.own, self.size, self.shards = ask, own, size, shards
         self.x, self.y = scaled(raw_ask), scaled(raw_own)
         self.nx, self.ny = np.sqrt(np.einsum("ij,ij->i", self.x, self.x)), np.sqrt(np.einsum("ij,ij->i", self.y, self.y))
         self.ids = np.unique(np.concatenate([ask, own]))
@@ -204,7 +205,14 @@ class _Tally:
         r, m = r[true], m[true]
         if not len(r):
             return
-        self.n += np.bincount(r, self.size[m], len(self.ask)).astype(np.int64)
+        here = np.ones(len(r), bool)
+        if self.shards:
+            of_ask, of_own, at = self.shards
+            for k in range(0, len(r), 65_536):
+                i, j = of_ask[r[k : k + 65_536]], of_own[m[k : k + 65_536]]
+                both = (i[:, :, None] == j[:, None, :]).any(2)
+                here[k : k + 65_536] = np.where(both, i, np.iinfo(np.int64).max).min(1) == at
+        self.n += np.bincount(r[here], self.size[m[here]], len(self.ask)).astype(np.int64)
         by = np.argsort(r, kind="stable")
         r, m = r[by], m[by]
         head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
@@ -240,7 +248,7 @@ def _sides(members: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def _found(members: pa.Table) -> pa.Table:
-    """One part of a shard and a block of queries at home in it: what the graph search finds."""
+    """One part of a shard and a block of the shard's members as queries: what the graph search finds."""
     own, ask, ids, raw = _sides(members)
     if not len(own) or not len(ask):
         return _ROWS.empty_table()
@@ -257,7 +265,8 @@ def _found(members: pa.Table) -> pa.Table:
     x = unit(raw)
     y = x[own]
     start = medoids(y)
-    tally = _Tally(ids[ask], ids[own], raw[ask], raw[own], members.column("size").to_numpy()[own])
+    shards = matrix(members.column("shards")).astype(np.int64)
+    tally = _Tally(ids[ask], ids[own], raw[ask], raw[own], members.column("size").to_numpy()[own], (shards[ask], shards[own], members.column("shard")[0].as_py()))
     for k in range(0, len(ask), 256):
         r, m = search(y, near, start, x[ask[k : k + 256]], COSINE - 1e-6)
         tally.add(k + r, m)
@@ -278,7 +287,7 @@ def _compared(members: pa.Table) -> pa.Table:
 
 
 def assigned(classes: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
-    """(cid, x, size, shard, home): each class in the shards of its `overlap` nearest centroids; the nearest is its home."""
+    """(cid, x, size, shard, shards): each class in the shards of its `overlap` nearest centroids."""
     m = min(overlap, len(c))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,28 +296,29 @@ def assigned(classes: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
                 part = batch.slice(b, 512)
                 s = unit(matrix(part.column("x"))) @ c.T
                 top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(c) else np.tile(np.arange(m), (len(s), 1))
-                yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("x"), part.column("size"), pa.ListArray.from_arrays(pa.array(np.arange(0, top.size + 1, m, dtype=np.int32)), pa.array(top.reshape(-1).astype(np.int32))), pa.array(s.argmax(1).astype(np.int32))], ["cid", "x", "size", "shards", "near"])
+                yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("x"), part.column("size"), pa.ListArray.from_arrays(pa.array(np.arange(0, top.size + 1, m, dtype=np.int32)), pa.array(top.reshape(-1).astype(np.int32)))], ["cid", "x", "size", "shards"])
 
-    got = classes.select("cid", "x", "size").mapInArrow(assign, "cid long, x array<double>, size long, shards array<int>, near int")
-    return got.withColumn("shard", F.explode("shards")).select("cid", "x", "size", "shard", (F.col("shard") == F.col("near")).alias("home"))
+    got = classes.select("cid", "x", "size").mapInArrow(assign, "cid long, x array<double>, size long, shards array<int>")
+    return got.withColumn("shard", F.explode("shards"))
 
 
 def links(member: DataFrame) -> DataFrame:
-    """(a, b, n) of members (cid, x, size, shard, home): links (a, b) that join components, and (a, null, n) with the number of
-    vectors that class a is linked with. Each class asks in its home only, so no pair is found twice for it.
+    """(a, b, n) of members (cid, x, size, shard, shards): links (a, b) that join components, and (a, null, n) with the number of
+    vectors that class a is linked with. Each class asks in each of its shards; a pair that meets in several counts in the least of
+    them, where each of the two asks for the other, so it counts for both or for neither.
 
     Graphs are built on each shard's parts, and a class's lists of all its shards are united. A shard of over PART members is cut
     into parts, and its queries into blocks; each block asks each part.
     """
     member = start = written(member, "shards")
-    size = member.groupBy("shard").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.greatest(F.lit(1), F.ceil(F.count_if("home") / PART)).cast("int").alias("blocks"))
+    size = member.groupBy("shard").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).withColumn("blocks", F.col("parts"))
     member = member.join(size, "shard").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     graph = member.groupBy("shard", "part").applyInArrow(_adjacent, "cid long, near array<long>").select("cid", F.explode("near").alias("to"))
     union = written(graph.groupBy("cid").agg(F.collect_set("to").alias("near")), "graph")
     none = F.expr("array()").cast("array<bigint>")
     own = member.join(union, "cid", "left").withColumn("near", F.coalesce("near", none)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
-    ask = member.filter("home").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(1)).withColumn("near", none)
-    cols = ["shard", "part", "block", "side", "cid", "x", "size", "near"]
+    ask = member.withColumn("block", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(1)).withColumn("near", none)
+    cols = ["shard", "part", "block", "side", "cid", "x", "size", "shards", "near"]
     out = written(own.select(*cols).unionByName(ask.select(*cols)).groupBy("shard", "part", "block").applyInArrow(_found, ROWS), "found")
     dropped(start, union)
     return out
@@ -340,7 +350,7 @@ def searched(classes: DataFrame, overlap: int) -> DataFrame:
     lengths = classes.groupBy("d").agg(F.count("*").alias("n"))
     many = [(r.d, r.n) for r in lengths.filter(F.col("n") > 2 * SHARD).orderBy("d").collect()]  # an element for 1,600 vectors at most
     few = classes.join(lengths.filter(F.col("n") <= 2 * SHARD).select("d"), "d", "left_semi")
-    out = links(few.select("cid", "x", "size", F.col("d").alias("shard"), F.lit(True).alias("home")))
+    out = links(few.select("cid", "x", "size", F.col("d").alias("shard"), F.array("d").alias("shards")))
     for d, n in many:
         own = classes.filter(F.col("d") == d)
         sample = unit(matrix(own.select("h1", "h2", "x").orderBy(F.xxhash64("h1"), "h1", "h2").limit(SAMPLE).toArrow().column("x")))
@@ -375,11 +385,15 @@ def linked(vectors: DataFrame) -> DataFrame:
             found, hit = written(exact(classes), "exact"), true
             break
         overlap *= 2
+    # a search may see a link from one end only: links that join components count for both
+    two = found.filter("b is not null").select("a", "b")
+    two = two.unionByName(two.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    sure = two.join(classes.select(F.col("cid").alias("b"), "size"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("size").alias("sure"))
     comp = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("id", "cid")
     far = found.filter("n is not null").groupBy("a").agg(F.sum("n").alias("far")).withColumnRenamed("a", "cid")
-    group = classes.select("cid", "d", "h1", "h2", "least", "size").join(far, "cid", "left").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    group = classes.select("cid", "d", "h1", "h2", "least", "size").join(far, "cid", "left").join(sure, "cid", "left").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = group.groupBy("comp").agg(F.min("least").alias("component_id"))
-    group = group.join(least, "comp").select("d", "h1", "h2", "component_id", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("n"))
+    group = group.join(least, "comp").select("d", "h1", "h2", "component_id", (F.col("size") - 1 + F.greatest(F.coalesce("far", F.lit(0)), F.coalesce("sure", F.lit(0)))).alias("n"))
     out = rows.select("vec_id", "d", "h1", "h2", F.col("x").isNotNull().alias("ok")).join(group, ["d", "h1", "h2"], "left")
     own = F.when(F.col("ok"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.when(F.col("ok"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"), F.lit(hit / true if true else 1.0).alias("recall"))
