@@ -51,41 +51,6 @@ def test_best_epoch_is_kept(spark, nodes):
     assert np.isclose(M.macro_f1(y.y.to_numpy(), y.yhat.to_numpy()), max(curve))
 
 
-def test_gradients():
-    """One step of plain descent along the reported gradient lowers the loss as finite differences say."""
-    rng = np.random.default_rng(1)
-    x, y, own = rng.normal(size=(30, 3)), rng.integers(0, 3, 30), np.arange(20)
-    src, dst = rng.integers(0, 30, 60), rng.integers(0, 30, 60)
-    for kind in ("mlp", "gcn", "graphsage"):
-        conf = ModelConfig.of(ModelConfig.default(kind).plain() | {"dropout": 0.0, "hidden": [4] if kind != "mlp" else [4, 5], "batch": 100})
-        op = M.operator(kind, src, dst, 30)
-        net = (M._Layers if op is None else M._Convolutions)(x, y, own, 3, op, np.random.default_rng(2), conf)
-        seen = {}
-        net.opt.step = seen.update
-        net.epoch()
-
-        def loss():
-            p = net.frozen()
-            prob = M.proba(conf, p, x, op)
-            return -np.log(prob[own, y[own]]).mean()
-
-        for name, g in seen.items():
-            at = tuple(rng.integers(0, n) for n in g.shape)
-            was = net.p[name][at]
-            net.p[name][at] = was + 1e-5
-            up = loss()
-            net.p[name][at] = was - 1e-5
-            down = loss()
-            net.p[name][at] = was
-            assert abs((up - down) / 2e-5 - g[at]) < 1e-5, (kind, name)
-
-
-def test_too_large_is_an_error(spark, nodes, monkeypatch):
-    monkeypatch.setattr(M, "MOST", 100)
-    with pytest.raises(ValueError, match="too many"):
-        M.classifier("mlp").fit(nodes)
-
-
 def test_weights_change_a_gcn(spark, nodes):
     e = G.pca_knn(nodes, 5, weighted=True)
     run = lambda g: [r.prob for r in M.sweep(nodes, {"g": g}, [("gcn", "g", 1)], epochs=5).orderBy("node").collect()]

@@ -1,8 +1,7 @@
 """Classifiers behind one surface: fit, predict, predict_proba, save, load.
 
-Logistic regression is Spark ML's. The networks (MLP, GCN, GraphSAGE) are numpy, one run a task: several runs (model, graph, seed)
-go in parallel, and each task holds the features and edges, whose size is checked first. All learn from training nodes, are
-selected by validation macro-F1, and never see labels of test nodes; what a network without a graph is given can't hold edges.
+Logistic regression is Spark ML's; the networks (MLP, GCN, GraphSAGE) are trained by `training`, over partitions. All learn from training
+nodes, are selected by validation macro-F1, and never see labels of test nodes; what a network without a graph is given can't hold edges.
 """
 
 from __future__ import annotations
@@ -15,18 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinal.config import ModelConfig
 from vicinal.functions.arrays import matrix
+from vicinal.operators import training as T
 from vicinal.operators.evaluation import per_class, summary
 
-#: Numbers (features, and three for each edge) that a training task and the driver may hold, 320 MB. A study of 80,000 nodes with 50
-#: features and 2.7 million edges has 12 million. Beyond this a network is an error; logistic regression has no such bound.
-MOST = 40_000_000
-PARTS = ("train", "val", "test")
-Params = dict[str, np.ndarray]
+Params = T.Params
 
 
 def logistic_grid(nodes: DataFrame, cs: tuple[float, ...] = ModelConfig.cs, weights: tuple[str, ...] = ModelConfig.class_weights, iterations: int = ModelConfig.iterations) -> tuple[LogisticRegressionModel, DataFrame]:
@@ -57,243 +53,8 @@ def top1_grid(grid: DataFrame) -> DataFrame:
 
 
 def macro_f1(y: np.ndarray, p: np.ndarray) -> float:
-    seen = np.union1d(y, p)
-    return float(np.mean([2 * ((y == c) & (p == c)).sum() / max(1, (y == c).sum() + (p == c).sum()) for c in seen])) if len(seen) else 0.0
-
-
-def softmax(o: np.ndarray) -> np.ndarray:
-    e = np.exp(o - o.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
-
-
-class _Sparse:
-    """out[dst] = sum of w * x[src]; backward is the same the other way."""
-
-    def __init__(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int) -> None:
-        self.n = n
-        self.there, self.back_ = self._sorted(src, dst, w), self._sorted(dst, src, w)
-
-    @staticmethod
-    def _sorted(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
-        by = np.argsort(b, kind="stable")
-        a, b, w = a[by], b[by], w[by]
-        head = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else b
-        return a, w[:, None], head, b[head]
-
-    def _run(self, x: np.ndarray, a: np.ndarray, w: np.ndarray, head: np.ndarray, to: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.n, x.shape[1]))
-        if len(a):
-            out[to] = np.add.reduceat(x[a] * w, head, axis=0)
-        return out
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return self._run(x, *self.there)
-
-    def back(self, g: np.ndarray) -> np.ndarray:
-        return self._run(g, *self.back_)
-
-
-def operator(kind: str, src: np.ndarray, dst: np.ndarray, n: int, weight: np.ndarray | None = None) -> _Sparse | None:
-    """What a layer multiplies features with: the normalised adjacency with self loops, the mean of sources, or nothing."""
-    if kind == "mlp":
-        return None
-    if kind == "graphsage":
-        deg = np.bincount(dst, minlength=n)
-        return _Sparse(src, dst, 1 / deg[dst], n)
-    w = np.ones(len(src)) if weight is None else weight
-    src, dst, w = np.concatenate([src, np.arange(n)]), np.concatenate([dst, np.arange(n)]), np.concatenate([w, np.ones(n)])
-    deg = np.bincount(dst, w, n)
-    return _Sparse(src, dst, w / np.sqrt(deg[src] * deg[dst]), n)
-
-
-class _AdamW:
-    def __init__(self, p: Params, rate: float, decay: float) -> None:
-        self.p, self.rate, self.decay, self.t = p, rate, decay, 0
-        self.m, self.v = ({a: np.zeros_like(b) for a, b in p.items()} for _ in range(2))
-
-    def step(self, grad: Params) -> None:
-        self.t += 1
-        for c, g in grad.items():
-            self.m[c] = 0.9 * self.m[c] + 0.1 * g
-            self.v[c] = 0.999 * self.v[c] + 0.001 * g * g
-            self.p[c] -= self.rate * (self.m[c] / (1 - 0.9**self.t) / (np.sqrt(self.v[c] / (1 - 0.999**self.t)) + 1e-8) + self.decay * self.p[c])
-
-
-class _Layers:
-    """A network of plain layers, trained in batches."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, own: np.ndarray, k: int, op: None, rng: np.random.Generator, conf: ModelConfig) -> None:
-        self.x, self.y, self.own, self.rng, self.conf = x, y, own, rng, conf
-        sizes = [x.shape[1], *conf.hidden, k]
-        self.p: Params = {}
-        for i, (a, b) in enumerate(zip(sizes, sizes[1:], strict=False)):
-            lim = 1 / np.sqrt(max(1, a))
-            self.p |= {f"w{i}": rng.uniform(-lim, lim, (a, b)), f"b{i}": rng.uniform(-lim, lim, b)}
-        self.opt = _AdamW(self.p, conf.rate, conf.decay)
-
-    def epoch(self) -> None:
-        order = self.rng.permutation(self.own)
-        for b in range(0, len(order), self.conf.batch):
-            rows = order[b : b + self.conf.batch]
-            last = len(self.p) // 2 - 1
-            a, keep = [self.x[rows]], []
-            for i in range(last):
-                h = np.maximum(a[-1] @ self.p[f"w{i}"] + self.p[f"b{i}"], 0)
-                keep.append((self.rng.random(h.shape) >= self.conf.dropout) / (1 - self.conf.dropout))
-                a.append(h * keep[-1])
-            g = softmax(a[-1] @ self.p[f"w{last}"] + self.p[f"b{last}"])
-            g[np.arange(len(rows)), self.y[rows]] -= 1
-            g /= len(rows)
-            grad: Params = {}
-            for i in range(last, -1, -1):
-                grad |= {f"w{i}": a[i].T @ g, f"b{i}": g.sum(0)}
-                if i:
-                    g = (g @ self.p[f"w{i}"].T) * keep[i - 1] * (a[i] > 0)
-            self.opt.step(grad)
-
-    @staticmethod
-    def proba(p: Params, x: np.ndarray, op: None = None) -> np.ndarray:
-        last = len(p) // 2 - 1
-        for i in range(last):
-            x = np.maximum(x @ p[f"w{i}"] + p[f"b{i}"], 0)
-        return softmax(x @ p[f"w{last}"] + p[f"b{last}"])
-
-    def frozen(self) -> Params:
-        return {a: b.copy() for a, b in self.p.items()}
-
-
-class _Convolutions:
-    """Two layers over a graph, all nodes at once: messages, batch norm over training nodes, ReLU, dropout, messages."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, own: np.ndarray, k: int, op: _Sparse, rng: np.random.Generator, conf: ModelConfig) -> None:
-        self.y, self.own, self.op, self.rng, self.conf = y, own, op, rng, conf
-        self.wide = 2 if conf.name == "graphsage" else 1
-        self.width = conf.hidden[0]
-        lim = lambda a, b: rng.uniform(-np.sqrt(6 / (a + b)), np.sqrt(6 / (a + b)), (a, b))
-        self.p: Params = {"w1": lim(x.shape[1] * self.wide, self.width), "b1": np.zeros(self.width), "g": np.ones(self.width), "s": np.zeros(self.width), "w2": lim(self.width * self.wide, k), "b2": np.zeros(k)}
-        self.opt = _AdamW(self.p, conf.rate, conf.decay)
-        self.x1 = self._spread(op, x, self.wide)
-
-    @staticmethod
-    def _spread(op: _Sparse, v: np.ndarray, wide: int) -> np.ndarray:
-        return np.concatenate([v, op(v)], 1) if wide == 2 else op(v)
-
-    def _gather(self, g: np.ndarray) -> np.ndarray:
-        return g[:, : self.width] + self.op.back(g[:, self.width :]) if self.wide == 2 else self.op.back(g)
-
-    def _norm(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return z[self.own].mean(0), np.sqrt(z[self.own].var(0) + 1e-5)
-
-    def epoch(self) -> None:
-        p, own = self.p, self.own
-        z = self.x1 @ p["w1"] + p["b1"]
-        mu, sd = self._norm(z)
-        u = (z - mu) / sd
-        a = np.maximum(u * p["g"] + p["s"], 0)
-        mask = (self.rng.random(a.shape) >= self.conf.dropout) / (1 - self.conf.dropout)
-        h = self._spread(self.op, a * mask, self.wide)
-        prob = softmax(h @ p["w2"] + p["b2"])
-        g = np.zeros_like(prob)
-        g[own] = prob[own]
-        g[own, self.y[own]] -= 1
-        g /= max(1, len(own))
-        grad = {"w2": h.T @ g, "b2": g.sum(0)}
-        ga = self._gather(g @ p["w2"].T) * mask * (a > 0)
-        grad["g"], grad["s"] = (ga * u).sum(0), ga.sum(0)
-        gu = ga * p["g"]
-        # statistics are of training nodes: their part of the gradient goes there
-        gz = gu / sd
-        gz[own] -= (gu.sum(0) + u[own] * (gu * u).sum(0)) / (max(1, len(own)) * sd)
-        grad["w1"], grad["b1"] = self.x1.T @ gz, gz.sum(0)
-        self.opt.step(grad)
-
-    @classmethod
-    def proba(cls, p: Params, x: np.ndarray, op: _Sparse) -> np.ndarray:
-        wide = p["w1"].shape[0] // x.shape[1]
-        return cls._after(p, cls._spread(op, x, wide), op, wide)
-
-    @classmethod
-    def _after(cls, p: Params, x1: np.ndarray, op: _Sparse, wide: int) -> np.ndarray:
-        a = np.maximum((x1 @ p["w1"] + p["b1"] - p["mu"]) / p["sd"] * p["g"] + p["s"], 0)
-        return softmax(cls._spread(op, a, wide) @ p["w2"] + p["b2"])
-
-    def frozen(self) -> Params:
-        mu, sd = self._norm(self.x1 @ self.p["w1"] + self.p["b1"])
-        return {a: b.copy() for a, b in self.p.items()} | {"mu": mu, "sd": sd}
-
-
-def train(conf: ModelConfig, x: np.ndarray, y: np.ndarray, part: np.ndarray, op: _Sparse | None, seed: int) -> tuple[Params, list[float]]:
-    """(weights of the first epoch of best validation macro-F1, that score by epoch). part: 0 training, 1 validation, 2 test.
-
-    Without validation nodes the last epoch counts. `patience` epochs without a better score end the run.
-    """
-    own, val = np.flatnonzero(part == 0), np.flatnonzero(part == 1)
-    kind = _Layers if op is None else _Convolutions
-    net = kind(x, y, own, int(y[part < 2].max()) + 1 if (part < 2).any() else 1, op, np.random.default_rng(seed), conf)
-    best, kept, since, curve = -1.0, net.frozen(), 0, []
-    for _ in range(conf.epochs):
-        net.epoch()
-        now = net.frozen()
-        if not len(val):
-            kept = now
-            continue
-        prob = kind.proba(now, x[val]) if op is None else kind._after(now, net.x1, op, net.wide)[val]
-        curve.append(macro_f1(y[val], prob.argmax(1)))
-        if curve[-1] > best:
-            best, kept, since = curve[-1], now, 0
-        else:
-            since += 1
-            if since >= conf.patience:
-                break
-    return kept, curve
-
-
-def proba(conf: ModelConfig, p: Params, x: np.ndarray, op: _Sparse | None) -> np.ndarray:
-    return _Layers.proba(p, x) if op is None else _Convolutions.proba(p, x, op)
-
-
-def _checked(nodes: DataFrame, graphs: dict[str, DataFrame]) -> None:
-    size = nodes.agg(F.sum(F.size("x")).alias("n")).first().n or 0
-    edges = sum(e.count() for e in graphs.values())
-    if size + 3 * edges > MOST:
-        raise ValueError(f"{size} features and {edges} edges are too many for a training task (at most {MOST} numbers)")
-
-
-def _held(nodes: DataFrame, graphs: dict[str, DataFrame]) -> tuple[pa.Table, np.ndarray, dict[str, tuple[np.ndarray, ...]]]:
-    """Node table without features, features, and (src, dst, weight) of each graph as row numbers; checked, as Arrow."""
-    _checked(nodes, graphs)
-    t = nodes.orderBy("node").toArrow()
-    ids = t.column("node").to_numpy()
-    ends = {}
-    for name, e in graphs.items():
-        g = e.select("src", "dst", F.col("weight") if "weight" in e.columns else F.lit(1.0).alias("weight")).orderBy("dst", "src").toArrow()
-        ends[name] = (np.searchsorted(ids, g.column("src").to_numpy()), np.searchsorted(ids, g.column("dst").to_numpy()), g.column("weight").to_numpy().astype(float))
-    return t.drop_columns(["x"]), matrix(t.column("x")), ends
-
-
-NONE = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-
-
-def _run(nodes: DataFrame, graphs: dict[str, DataFrame], grid: list[tuple[str, str, int]], confs: dict[str, ModelConfig], schema: str, give: Any) -> DataFrame:  # noqa: ANN401
-    """Trains each (model, graph, seed) of the grid in a task of its own; give(key, meta, x, op, params, curve) makes its rows."""
-    spark = nodes.sparkSession
-    meta, x, ends = _held(nodes, graphs)
-    part = np.array([PARTS.index(p) for p in meta.column("part").to_pylist()])
-    y = np.where(part < 2, meta.column("y").to_numpy(), 0)  # test labels don't get into a training task
-    shared = spark.sparkContext.broadcast((x, y, part, meta, ends))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y, part, meta, ends = shared.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                src, dst, w = ends.get(row["graph"], NONE)
-                conf = confs[row["model"]]
-                op = operator(row["model"], src, dst, len(x), w)
-                params, curve = train(conf, x, y, part, op, row["seed"])
-                yield from give(row, meta, x, op, conf, params, curve).to_batches()
-
-    todo = spark.createDataFrame(grid, "model string, graph string, seed int").repartition(max(1, len(grid)))
-    return todo.mapInArrow(run, schema)
+    k = int(max(y.max(initial=0), p.max(initial=0))) + 1
+    return T.f1_of(T.confusion_of(y, p, k))
 
 
 def _config(kind: str, rules: dict[str, Any]) -> ModelConfig:
@@ -301,22 +62,30 @@ def _config(kind: str, rules: dict[str, Any]) -> ModelConfig:
 
 
 def sweep(nodes: DataFrame, graphs: dict[str, DataFrame], grid: list[tuple[str, str, int]], **rules: Any) -> DataFrame:  # noqa: ANN401
-    """(model, graph, seed, node, y, yhat, prob, part, donor, site, epochs) of every (model, graph, seed), trained in parallel.
+    """(model, graph, seed, node, y, yhat, prob, part, donor, site, epochs) of every (model, graph, seed): all seeds of a model and graph
+    are trained in the same passes, each with its own early stop, and predict in one.
 
-    Settings are those of ModelConfig, `rules` replaces some. Edges with a column `weight` are weighted in a GCN. Features, labels
-    and edges go to all tasks once; their size is checked first: beyond MOST numbers this is an error.
+    Settings are those of ModelConfig, `rules` replaces some. Edges with a column `weight` are weighted in a GCN.
     """
+    typed = nodes.select(F.col("node").cast("long").alias("node"), "x", F.col("y").cast("int").alias("y"), "part", F.col("donor").cast("long").alias("donor"), F.col("site").cast("string").alias("site"))
+    k, out = T.classes_of(typed), None
+    for model, graph in dict.fromkeys((m, g) for m, g, _ in grid):
+        conf, seeds = _config(model, rules), [s for m, g, s in grid if (m, g) == (model, graph)]
+        if model == "mlp":
+            runs = T.fit_layers(typed, conf, seeds, k)
+            prob = T.layers_probas(typed, [r.kept for r in runs])
+        else:
+            runs = T.fit_graph(typed, graphs[graph], conf, seeds, k)
+            prob = T.graph_proba(typed.drop("y", "part"), graphs[graph], model, [r.kept for r in runs])
+        each = F.explode(F.array(*(F.struct(F.lit(r.seed).alias("seed"), F.slice("prob", 1 + i * k, k).alias("prob"), F.lit(len(r.curve)).alias("epochs")) for i, r in enumerate(runs))))
+        rows = prob.select("node", each.alias("run")).join(typed.drop("x"), "node")
+        rows = rows.select(F.lit(model).alias("model"), F.lit(graph).alias("graph"), F.col("run.seed").alias("seed"), "node", "y", _best("run.prob").alias("yhat"), F.col("run.prob").alias("prob"), "part", "donor", "site", F.col("run.epochs").alias("epochs"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
-    def give(row: dict, meta: pa.Table, x: np.ndarray, op: _Sparse | None, conf: ModelConfig, p: Params, curve: list[float]) -> pa.Table:
-        prob = proba(conf, p, x, op)
-        n = len(x)
-        cols = {k: pa.array([row[k]] * n, t) for k, t in (("model", pa.string()), ("graph", pa.string()), ("seed", pa.int32()))}
-        cols |= {"node": meta.column("node"), "y": meta.column("y").cast(pa.int32()), "yhat": pa.array(prob.argmax(1).astype(np.int32)), "prob": pa.FixedSizeListArray.from_arrays(pa.array(prob.reshape(-1)), prob.shape[1]).cast(pa.list_(pa.float64()))}
-        return pa.table(cols | {k: meta.column(k) for k in ("part", "donor", "site")} | {"epochs": pa.array([len(curve)] * n, pa.int32())})
 
-    confs = {k: _config(k, rules) for k in {m for m, _, _ in grid}}
-    typed = nodes.select(F.col("node").cast("long").alias("node"), "x", "y", "part", F.col("donor").cast("long").alias("donor"), F.col("site").cast("string").alias("site"))
-    return _run(typed, graphs, grid, confs, "model string, graph string, seed int, node long, y int, yhat int, prob array<double>, part string, donor long, site string, epochs int", give)
+def _best(prob: str) -> Column:
+    return F.array_position(prob, F.array_max(prob)).cast("int") - 1
 
 
 class Classifier:
@@ -351,14 +120,10 @@ class Classifier:
         return {"g": edges} if edges is not None else {}
 
     def fit(self, nodes: DataFrame, edges: DataFrame | None = None) -> Classifier:
-        def give(row: dict, meta: pa.Table, x: np.ndarray, op: _Sparse | None, conf: ModelConfig, p: Params, curve: list[float]) -> pa.Table:
-            p = p | {"curve": np.array(curve)}
-            return pa.table({"name": list(p), "shape": [list(v.shape) for v in p.values()], "data": [v.reshape(-1) for v in p.values()]}, schema=pa.schema([("name", pa.string()), ("shape", pa.list_(pa.int32())), ("data", pa.list_(pa.float64()))]))
-
+        graphs = self._allowed(edges)
         # a graph is fitted on the graph of the given nodes: what is sent out to other parts doesn't come back, as those send nothing
-        used = nodes if self.graph else nodes.filter(F.col("part").isin("train", "val"))
-        got = _run(used.select("node", "x", "y", "part"), self._allowed(edges), [(self.conf.name, "g", self.seed)], {self.conf.name: self.conf}, WEIGHTS, give)
-        self._take(got)
+        run = (T.fit_graph(nodes, graphs["g"], self.conf, [self.seed]) if graphs else T.fit_layers(nodes, self.conf, [self.seed]))[0]
+        self.params, self.curve = run.kept, run.curve
         return self
 
     def _take(self, rows: DataFrame) -> None:
@@ -371,24 +136,11 @@ class Classifier:
         return self.params
 
     def predict_proba(self, nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-        p, conf = self._fitted(), self.conf
-        graphs = self._allowed(edges)
-        if self.graph:
-            meta, x, ends = _held(nodes.select("node", "x"), graphs)
-            src, dst, w = ends["g"]
-            prob = proba(conf, p, x, operator(conf.name, src, dst, len(x), w))
-            return nodes.sparkSession.createDataFrame(pa.table({"node": meta.column("node"), "prob": list(prob)}))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(proba(conf, p, matrix(batch.column("x")), None)))], ["node", "prob"])
-
-        return nodes.select("node", "x").mapInArrow(run, "node long, prob array<double>")
+        p, graphs = self._fitted(), self._allowed(edges)
+        return T.graph_proba(nodes.select("node", "x"), graphs["g"], self.conf.name, [p]) if graphs else T.layers_probas(nodes, [p])
 
     def predict(self, nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-        best = F.array_position("prob", F.array_max("prob")).cast("int") - 1
-        return self.predict_proba(nodes, edges).select("node", best.alias("yhat"))
+        return self.predict_proba(nodes, edges).select("node", _best("prob").alias("yhat"))
 
     def save(self, spark: SparkSession, path: str) -> None:
         p = self._fitted() | {"curve": np.array(self.curve)}
