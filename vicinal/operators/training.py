@@ -1,7 +1,7 @@
 """Networks trained where their nodes are.
 
-No task and no driver holds a table: a step is a Spark job that sums gradients over partitions; weights go out with it and sums come
-back. Several runs (seeds) share each pass. Whatever is random follows from seed, epoch and node by hash, so results don't depend on how
+A step is a Spark job that sums gradients over partitions; weights go out with it and sums come back, so no task and no driver holds a
+table. Only a table of bounded size, checked first, goes through all steps in a task, by the same functions and with the same results. Several runs (seeds) share each pass. Whatever is random follows from seed, epoch and node by hash, so results don't depend on how
 rows are dealt, and a task that is run again gives the same. Weights of the first epoch of best validation macro-F1 are kept; validation
 rows are judged in the pass that the next epoch makes anyway.
 """
@@ -26,8 +26,10 @@ from vicinal.session import dropped, written
 SLICES = 8
 #: Rows of sums that the driver adds up itself; more are added up by tasks first.
 FAN = 32
-#: Bytes of features and edges up to which a graph is one partition; beyond it, it has as many as shuffles have.
-SMALL = 16 << 20
+#: Bytes of features up to which layers are trained in a task a seed.
+ONE = 16 << 20
+#: Nodes of a block on average, and edges of a block's part.
+BLOCK, EDGES = 4_096, 1 << 18
 EPS = 1e-5
 Params = dict[str, np.ndarray]
 
@@ -179,10 +181,11 @@ def fit_layers(nodes: DataFrame, conf: ModelConfig, seeds: list[int], k: int | N
     """A run for each seed; nodes (node, x, y, part) of parts train and val, others are ignored.
 
     Rows are written once, by slice. A step sums the gradients of its batch, mean over the rows that the batch has; runs share the
-    step's pass. Empty batches make no step; without training rows weights stay as they began.
+    step's pass. A table of ONE bytes at most goes through all its steps in one task a seed, by the same functions. Empty batches make
+    no step; without training rows weights stay as they began.
     """
     used = nodes.filter(F.col("part").isin("train", "val")).select(F.col("node").cast("long").alias("node"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("int").alias("y"), (F.col("part") == "val").alias("val"))
-    size = used.agg(F.sum(F.when(F.col("val"), 0).otherwise(1)).alias("n"), F.max(F.size("x")).alias("d"), F.max("y").alias("y")).first()
+    size = used.agg(F.sum(F.when(F.col("val"), 0).otherwise(1)).alias("n"), F.count("*").alias("rows"), F.max(F.size("x")).alias("d"), F.max("y").alias("y")).first()
     k = k or int(size.y or 0) + 1
     runs = [layers(conf, int(size.d or 0), k, s) for s in seeds]
     if not size.n:
@@ -192,38 +195,47 @@ def fit_layers(nodes: DataFrame, conf: ModelConfig, seeds: list[int], k: int | N
     rows = written(used.withColumn("slot", F.when(F.col("val"), -1).otherwise(slot)).repartitionByRange("slot", "node").sortWithinPartitions("slot"), "batches")
     tasks = len(rows.inputFiles())
     shapes = {a: b.shape for a, b in runs[0].p.items()} | {"n": (1,), "confusion": (k, k)}
+    total = sum(int(np.prod(s)) for s in shapes.values())
+
+    def sums(b: pa.RecordBatch | pa.Table, weights: dict[int, Params], epoch: int, picks: dict[int, np.ndarray], judge: bool) -> np.ndarray:
+        x, y, node, at = matrix(b.column("x")), b.column("y").to_numpy(), b.column("node").to_numpy(), b.column("slot").to_numpy()
+        val, out = at < 0, []
+        for seed, p in weights.items():
+            own = np.isin(at, picks[seed])
+            grad = layers_gradient(p, x[own], y[own], node[own], conf.dropout, seed, epoch)
+            said = layers_proba(p, x[val]).argmax(1) if judge and val.any() else np.zeros(0, int)
+            out += [*(g.ravel() for g in grad.values()), [own.sum()], confusion_of(y[val][: len(said)], said, k).ravel()]
+        return np.concatenate(out)
 
-    def step(epoch: int, picks: dict[int, np.ndarray], judge: bool) -> dict[int, Params]:
-        weights = {r.seed: r.p for r in runs if r.seed in picks}
-
-        def of(b: pa.RecordBatch) -> np.ndarray:
-            x, y, node, at = matrix(b.column("x")), b.column("y").to_numpy(), b.column("node").to_numpy(), b.column("slot").to_numpy()
-            val, out = at < 0, []
-            for seed, p in weights.items():
-                own = np.isin(at, picks[seed])
-                grad = layers_gradient(p, x[own], y[own], node[own], conf.dropout, seed, epoch)
-                said = layers_proba(p, x[val]).argmax(1) if judge and val.any() else np.zeros(0, int)
-                out += [*(g.ravel() for g in grad.values()), [own.sum()], confusion_of(y[val][: len(said)], said, k).ravel()]
-            return np.concatenate(out)
-
+    def trained(runs: list[Run], step: Callable[[dict[int, Params], int, dict[int, np.ndarray], bool], np.ndarray]) -> None:
+        for epoch in range(1, conf.epochs + 2):
+            for j in range(number if epoch <= conf.epochs else 1):
+                on = [r for r in runs if not r.done]
+                if not on:
+                    return
+                picks = {r.seed: batches_of(r.seed, epoch, number)[j] if epoch <= conf.epochs else np.zeros(0, int) for r in on}
+                judge = j == 0 and epoch > 1
+                got = step({r.seed: r.p for r in on}, epoch, picks, judge)
+                for run, flat in zip(on, got.reshape(len(on), -1) if len(got) > 1 else [np.zeros(total)] * len(on), strict=True):
+                    x = apart(flat, shapes)
+                    if judge:
+                        run.judged(x["confusion"])
+                    if not run.done and x["n"][0]:
+                        run.opt.step({a: x[a] / x["n"][0] for a in run.p})
+
+    def shared(weights: dict[int, Params], epoch: int, picks: dict[int, np.ndarray], judge: bool) -> np.ndarray:
         wanted = sorted({int(s) for x in picks.values() for s in x} | ({-1} if judge else set()))
-        got = added(rows.filter(F.col("slot").isin(wanted)).mapInArrow(totalled(of), "x array<double>"), tasks)
-        each = got.reshape(len(weights), -1) if len(got) > 1 else np.zeros((len(weights), sum(int(np.prod(s)) for s in shapes.values())))
-        return {s: apart(x, shapes) for s, x in zip(weights, each, strict=True)}
+        return added(rows.filter(F.col("slot").isin(wanted)).mapInArrow(totalled(lambda b: sums(b, weights, epoch, picks, judge)), "x array<double>"), tasks)
 
-    for epoch in range(1, conf.epochs + 2):
-        for j in range(number if epoch <= conf.epochs else 1):
-            on = [r for r in runs if not r.done]
-            if not on:
-                break
-            picks = {r.seed: batches_of(r.seed, epoch, number)[j] if epoch <= conf.epochs else np.zeros(0, int) for r in on}
-            judge = j == 0 and epoch > 1
-            for seed, got in step(epoch, picks, judge).items():
-                run = next(r for r in runs if r.seed == seed)
-                if judge:
-                    run.judged(got["confusion"])
-                if not run.done and got["n"][0]:
-                    run.opt.step({a: got[a] / got["n"][0] for a in run.p})
+    def whole(t: pa.Table) -> pa.Table:
+        own = [r for r in runs if r.seed == t.column("run")[0].as_py()]
+        trained(own, lambda *x: sums(t, *x))
+        return _given(own)
+
+    if size.rows * (size.d or 0) * 8 <= ONE:
+        _back(_each(rows, seeds).applyInArrow(whole, _GIVEN), runs)
+    else:
+        trained(runs, shared)
     dropped(rows)
     return runs
 
@@ -238,44 +250,134 @@ def adjacency(kind: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
         e = edges.select("src", "dst")
         return e.join(e.groupBy("dst").agg((1 / F.count("*")).alias("w")), "dst").select("src", "dst", "w")
     e = edges.select("src", "dst", (F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)).alias("w")).unionByName(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("w")))
-    deg = e.groupBy("dst").agg(F.sum("w").alias("deg"))
+    deg = e.groupBy("dst").agg(F.sum(F.col("w").cast("decimal(38,18)")).cast("double").alias("deg"))  # exact, in whatever order
     e = e.join(deg, "dst").join(deg.select(F.col("dst").alias("src"), F.col("deg").alias("from")), "src")
     return e.select("src", "dst", (F.col("w") / F.sqrt(F.col("deg") * F.col("from"))).alias("w"))
 
 
-def product(edges: DataFrame, values: DataFrame, width: int, at: str, to: str) -> DataFrame:
-    """(node, v): for each node the sum over its edges of w times the other end's v. Sums are combined before they are dealt out by
-    node, so a hub's edges meet as one row a task."""
-    v = values.select(F.col("node").alias(at), "v")
-    got = edges.join(v.hint("shuffle_hash"), at).groupBy(to).agg(*(F.sum(F.col("w") * F.col("v")[i]).alias(f"v{i}") for i in range(width)))
-    return got.select(F.col(to).alias("node"), F.array(*(f"v{i}" for i in range(width))).alias("v"))
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))
+
+
+def _cols(t: pa.Table, *names: str) -> list[np.ndarray]:
+    return [t.column(c).to_numpy() for c in names]
+
+
+def combined(node: np.ndarray, v: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct nodes, ascending, and the sums of their rows of v; rows of a node go by `order`, so that sums don't depend on how rows
+    arrived."""
+    if not len(node):
+        return node, v
+    by = np.lexsort((v[:, 0] if order is None else order, node))
+    node, v = node[by], v[by]
+    head = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    return node[head], np.add.reduceat(v, head, axis=0)
+
+
+def carried(at: np.ndarray, to: np.ndarray, block: np.ndarray, w: np.ndarray, node: np.ndarray, v: np.ndarray, kind: int = 0) -> pa.Table:
+    """What a part's edges bring: for each end `to` (in block `block`) the sum of w times the row of v of the node `at`."""
+    by = np.argsort(node)
+    k = np.minimum(np.searchsorted(node[by], at), max(0, len(node) - 1))
+    there = node[by][k] == at if len(node) else np.zeros(len(at), bool)
+    found, sums = combined(to[there], v[by[k[there]]] * w[there][:, None], at[there])
+    order = np.argsort(to, kind="stable")
+    own = block[order][np.searchsorted(to[order], found)] if len(found) else np.zeros(0, np.int32)
+    return pa.table([pa.array(own.astype(np.int32)), pa.array(found.astype(np.int64)), pa.array(np.full(len(found), kind, np.int32)), _lists(sums.reshape(len(found), v.shape[1]))], schema=_CAME)
+
+
+def arrived(came: pa.Table, kind: int, node: np.ndarray, width: int) -> np.ndarray:
+    """The sums that came for each node; nothing is zero."""
+    out = np.zeros((len(node), width))
+    mine = came.filter(pa.array(came.column("kind").to_numpy() == kind)) if came.num_rows else came
+    if mine.num_rows:
+        ids, v = combined(mine.column("node").to_numpy(), matrix(mine.column("v")))
+        by = np.argsort(node, kind="stable")
+        lo = np.searchsorted(ids, node[by])
+        some = lo < len(ids)
+        some[some] = ids[lo[some]] == node[by][some]
+        out[by[some]] = v[lo[some]]
+    return out
+
+
+_CAME = pa.schema([("block", pa.int32()), ("node", pa.int64()), ("kind", pa.int32()), ("v", pa.list_(pa.float64()))])
+CAME = "block int, node long, kind int, v array<double>"
 
 
 class Prepared:
-    """A graph's nodes with their first products, and its edges by either end, each dealt out once: no pass deals out edges again."""
+    """A graph's nodes with their first products, and its edges by either end, in blocks that are dealt out once.
+
+    A block has BLOCK nodes on average, by hash of the id, and its edges; edges of a block beyond EDGES, as a hub's, are dealt to parts,
+    and each part has the block's nodes. A product sends, from each part, a row for each node that its edges lead to, so a hub gets
+    a row from each part at most. No pass deals out edges or features again.
+    """
 
     def __init__(self, kind: str, nodes: DataFrame, edges: DataFrame) -> None:
         spark = nodes.sparkSession
-        self.kind = kind
-        given = nodes.withColumn("node", F.col("node").cast("long")).withColumn("x", F.col("x").cast("array<double>"))
-        size = given.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
-        self.d = int(size.d or 0)
-        e = written(adjacency(kind, given, edges), "adjacency")
-        large = size.n * self.d * 8 * (2 if kind == "graphsage" else 1) + e.count() * 24 > SMALL
-        self.parts = int(spark.conf.get("spark.sql.shuffle.partitions")) if large else 1
-        v = product(e, given.select("node", F.col("x").alias("v")), self.d, "src", "dst") if self.d else given.select("node", F.col("x").alias("v"))
-        zero = F.array_repeat(F.lit(0.0), self.d)
-        both = F.coalesce("v", zero)
-        x1 = given.join(v, "node", "left").withColumn("x1", F.concat("x", both) if kind == "graphsage" else both)
+        self.kind, self.tables = kind, []
         part = F.coalesce("part", F.lit("")) if "part" in nodes.columns else F.lit("")
         y = F.when(part.isin("train", "val"), F.col("y").cast("int")).otherwise(0) if "y" in nodes.columns else F.lit(0)
-        table = written(x1.select("node", "x1", y.alias("y"), F.when(part == "train", 0).when(part == "val", 1).otherwise(2).alias("part")), "first-layer")
-        self.tables = [e, table]
+        given = nodes.select(F.col("node").cast("long").alias("node"), F.col("x").cast("array<double>").alias("x"), y.alias("y"), F.when(part == "train", 0).when(part == "val", 1).otherwise(2).alias("part"))
+        size = given.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
+        self.d = int(size.d or 0)
         self.wide = self.d * (2 if kind == "graphsage" else 1)
-        self.x, self.by_src, self.by_dst = (self._dealt(t, c) for t, c in ((table, "node"), (e, "src"), (e, "dst")))
+        self.blocks = max(1, -(-size.n // BLOCK))
+        at = lambda c: F.pmod(F.xxhash64(c), F.lit(self.blocks)).cast("int")
+        e = self._written(adjacency(kind, given, edges).select("src", "dst", "w", at("src").alias("sb"), at("dst").alias("db")), "adjacency")
+        #: Partitions: one for a graph that one block holds, else as many as shuffles have, at most one a block.
+        self.parts = min(self.blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = self._written(given.withColumn("block", at("node")), "nodes")
+        out, self.out_parts = self._edges(e, "src", "sb")
+        back, self.back_parts = self._edges(e, "dst", "db")
+        self.single = self.blocks == 1 and not self.out_parts.limit(1).count()
+        first = self._with_edges(rows.withColumnRenamed("x", "x1"), out, self.out_parts)
+
+        def bring(t: pa.Table) -> pa.Table:
+            node, w_rows = _split(t)
+            return carried(*_cols(w_rows, "src", "dst", "db", "w"), node.column("node").to_numpy(), matrix(node.column("x1"))) if node.num_rows and self_d else _CAME.empty_table()
+
+        self_d, wide = self.d, kind == "graphsage"
+
+        def take(t: pa.Table, came: pa.Table) -> pa.Table:
+            node = t.column("node").to_numpy()
+            x = matrix(t.column("x")) if t.num_rows and self_d else np.zeros((t.num_rows, self_d))
+            got = arrived(came, 0, node, self_d)
+            return t.drop_columns(["x"]).append_column("x1", _lists(np.concatenate([x, got], 1) if wide else got))
+
+        kinds = "node long, y int, part int, block int, x1 array<double>"
+        came = first.groupBy("key").applyInArrow(bring, CAME)
+        table = self._written(rows.groupBy("block").cogroup(came.groupBy("block")).applyInArrow(take, kinds), "first-layer")
+        self.x = self._dealt(table, "block")
+        self.by_src = self._dealt(self._with_edges(table, out, self.out_parts), "key")
+        self.by_dst = self._dealt(self._with_edges(table, back, self.back_parts), "key")
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        self.tables.append(out)
+        return out
+
+    def _edges(self, e: DataFrame, end: str, block: str) -> tuple[DataFrame, DataFrame]:
+        """Edges with the key of their part, and the number of parts of each block with more than one."""
+        many = e.groupBy(block).agg(F.ceil(F.count("*") / EDGES).cast("int").alias("parts")).filter("parts > 1").withColumnRenamed(block, "block")
+        many = self._written(many, "parts")
+        part = F.pmod(F.xxhash64("src", "dst"), F.coalesce("parts", F.lit(1))).cast("int")
+        return e.join(many.withColumnRenamed("block", block), block, "left").withColumn("key", F.col(block) + self.blocks * part).drop("parts"), many
+
+    def _with_edges(self, nodes: DataFrame, edges: DataFrame, many: DataFrame) -> DataFrame:
+        """Nodes in every part of their block (`first` says in which they are counted), and the parts' edges."""
+        each = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("p")
+        copies = nodes.join(many, "block", "left").select(*nodes.columns, each).withColumn("key", F.col("block") + self.blocks * F.col("p")).withColumn("first", F.col("p") == 0).drop("p")
+        return copies.unionByName(edges, allowMissingColumns=True)
 
     def _dealt(self, df: DataFrame, by: str) -> DataFrame:
-        return (df.coalesce(1) if self.parts == 1 else df.repartition(self.parts, by)).persist(StorageLevel.MEMORY_AND_DISK)
+        df = df.coalesce(1) if self.parts == 1 else df.repartition(self.parts, by)
+        return df.sortWithinPartitions(by, "node", *(c for c in ("src", "dst") if c in df.columns)).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fanned(self, came: DataFrame, many: DataFrame) -> DataFrame:
+        """What came for a block, for each of its parts."""
+        if self.single:
+            return came.withColumn("key", F.col("block"))
+        each = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("p")
+        return came.join(many, "block", "left").select(*came.columns, each).withColumn("key", F.col("block") + self.blocks * F.col("p")).drop("p")
 
     def moments(self) -> tuple[float, np.ndarray, np.ndarray]:
         """Number, mean and covariance of the first products of training nodes: batch statistics of a layer follow for any weights."""
@@ -302,6 +404,12 @@ class Prepared:
         dropped(*self.tables)
 
 
+def _split(t: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """Nodes and edges of a part."""
+    node = np.asarray(t.column("src").combine_chunks().is_null())
+    return t.filter(pa.array(node)), t.filter(pa.array(~node))
+
+
 def convolutions(conf: ModelConfig, wide: int, k: int, seed: int) -> Run:
     rng = np.random.default_rng(seed)
     width = conf.hidden[0]
@@ -335,58 +443,52 @@ def _kept(nodes: np.ndarray, width: int, conf: ModelConfig, seed: int, epoch: in
     return (uniform(nodes, width, seed, epoch) >= conf.dropout) / (1 - conf.dropout)
 
 
-def _lists(x: np.ndarray) -> pa.Array:
-    return pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))
-
-
-def _values(col: pa.Array, n: int, width: int) -> np.ndarray:
-    """A column of lists that may be null: null is all zeros."""
-    some = np.asarray(col.is_valid())
-    out = np.zeros((n, width))
-    if some.any():
-        out[some] = matrix(col.drop_null())
-    return out
-
-
-def epoch_sums(graph: Prepared, runs: list[Run], epoch: int, k: int, n: float, mean: np.ndarray, cov: np.ndarray) -> tuple[dict[int, Params], dict[int, np.ndarray]]:
-    """(gradients, counts of validation nodes by truth and prediction) of each run, in one job.
+def passes(weights: dict[int, Params], conf: ModelConfig, epoch: int, k: int, n: float) -> tuple[Callable, Callable, Callable]:
+    """What an epoch does with a part's nodes and out-edges, with a part's nodes and in-edges, and with a block's nodes.
 
     The second layer's small product is taken before its messages go out, so what edges carry is a number a class and run: forward
     with and without dropout, and the loss's gradient back. The first layer needs no messages: its products don't change.
     """
-    weights = {r.seed: normed(r.p, mean, cov) for r in runs}
-    conf, width, m = runs[0].conf, runs[0].conf.hidden[0], len(runs)
-
-    def out_going(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node, x1 = b.column("node").to_numpy(), matrix(b.column("x1"))
-            found = []
-            for seed, p in weights.items():
-                _, a = hidden(p, x1)
-                _, w2 = halves(p)
-                found += [(a * _kept(node, width, conf, seed, epoch)) @ w2, a @ w2]
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("node"), _lists(np.concatenate(found, 1))], ["node", "v"])
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            node, x1, y, part = b.column("node").to_numpy(), matrix(b.column("x1")), b.column("y").to_numpy(), b.column("part").to_numpy()
-            came = _values(b.column("v"), len(node), 2 * m * k).reshape(len(node), m, 2, k)
-            found, said = np.zeros((len(node), m, k)), np.zeros((len(node), m), np.int32)
-            for i, (seed, p) in enumerate(weights.items()):
-                _, a = hidden(p, x1)
-                g = softmax(came[:, i, 0] + own_part(p, a * _kept(node, width, conf, seed, epoch)))
-                g[np.arange(len(y)), y] -= 1
-                found[:, i] = np.where((part == 0)[:, None], g / max(1, n), 0)
-                said[:, i] = (came[:, i, 1] + own_part(p, a)).argmax(1)
-            yield pa.RecordBatch.from_arrays([b.column("node"), _lists(found.reshape(len(node), -1)), pa.FixedSizeListArray.from_arrays(pa.array(said.reshape(-1)), m).cast(pa.list_(pa.int32()))], ["node", "v", "said"])
-
-    def of(b: pa.RecordBatch) -> np.ndarray:
-        node, x1, y, part = b.column("node").to_numpy(), matrix(b.column("x1")), b.column("y").to_numpy(), b.column("part").to_numpy()
-        g_all, r_all = (_values(b.column(c), len(node), m * k).reshape(len(node), m, k) for c in ("g", "r"))
-        said, val, out = matrix(b.column("said")).astype(int), part == 1, []
+    width, m = conf.hidden[0], len(weights)
+
+    def out_going(t: pa.Table) -> pa.Table:
+        nodes, edges = _split(t)
+        if not nodes.num_rows:
+            return _CAME.empty_table()
+        node, x1, found = nodes.column("node").to_numpy(), matrix(nodes.column("x1")), []
+        for seed, p in weights.items():
+            _, a = hidden(p, x1)
+            _, w2 = halves(p)
+            found += [(a * _kept(node, width, conf, seed, epoch)) @ w2, a @ w2]
+        return carried(*_cols(edges, "src", "dst", "db", "w"), node, np.concatenate(found, 1))
+
+    def judged(t: pa.Table, came: pa.Table) -> pa.Table:
+        """The loss's gradient at each node, what a part's edges carry back of it (kind 0), itself (1) and counts of validation (2)."""
+        nodes, edges = _split(t)
+        if not nodes.num_rows:
+            return _CAME.empty_table()
+        node, y, part, block, first = _cols(nodes, "node", "y", "part", "block", "first")
+        x1, got = matrix(nodes.column("x1")), arrived(came, 0, node, 2 * m * k).reshape(len(node), m, 2, k)
+        found, val, counts = np.zeros((len(node), m, k)), part == 1, []
+        for i, (seed, p) in enumerate(weights.items()):
+            _, a = hidden(p, x1)
+            g = softmax(got[:, i, 0] + own_part(p, a * _kept(node, width, conf, seed, epoch)))
+            g[np.arange(len(y)), y] -= 1
+            found[:, i] = np.where((part == 0)[:, None], g / max(1, n), 0)
+            counts.append(confusion_of(y[val], (got[val, i, 1] + own_part(p, a[val])).argmax(1), k).ravel())
+        found = found.reshape(len(node), m * k)
+        out = [carried(*_cols(edges, "dst", "src", "sb", "w"), node, found)]
+        if first[0]:
+            out.append(pa.table([pa.array(block), pa.array(node), pa.array(np.ones(len(node), np.int32)), _lists(found)], schema=_CAME))
+            out.append(pa.table([pa.array(block[:1]), pa.array([-1]), pa.array([2], pa.int32()), pa.array([np.concatenate(counts)], pa.list_(pa.float64()))], schema=_CAME))
+        return pa.concat_tables(out)
+
+    def of(nodes: pa.Table, came: pa.Table) -> pa.Table:
+        if not nodes.num_rows:
+            return pa.table({"x": pa.array([], pa.list_(pa.float64()))})
+        node, x1 = nodes.column("node").to_numpy(), matrix(nodes.column("x1"))
+        r_all, g_all = (arrived(came, kind, node, m * k).reshape(len(node), m, k) for kind in (0, 1))
+        counts, out = arrived(came, 2, np.array([-1]), m * k * k).reshape(m, k * k), []
         for i, (seed, p) in enumerate(weights.items()):
             g, r = g_all[:, i], r_all[:, i]
             u, a = hidden(p, x1)
@@ -400,19 +502,18 @@ def epoch_sums(graph: Prepared, runs: list[Run], epoch: int, k: int, n: float, m
                 grad2 = np.concatenate([sent.T @ g, grad2])
             ga = ga * keep * (a > 0)
             gu = ga * p["g"]
-            out += [grad2.ravel(), g.sum(0), (ga * u).sum(0), ga.sum(0), (x1.T @ (gu / p["sd"])).ravel(), gu.sum(0), (gu * u).sum(0), confusion_of(y[val], said[val, i], k).ravel()]
-        return np.concatenate(out)
+            out += [grad2.ravel(), g.sum(0), (ga * u).sum(0), ga.sum(0), (x1.T @ (gu / p["sd"])).ravel(), gu.sum(0), (gu * u).sum(0), counts[i]]
+        return pa.table({"x": pa.array([np.concatenate(out)], pa.list_(pa.float64()))})
+
+    return out_going, judged, of
 
-    sent = graph.x.select("node", "x1").mapInArrow(out_going, "node long, v array<double>")
-    came = product(graph.by_src, sent, 2 * m * k, "src", "dst")
-    at = graph.x.join(came.hint("shuffle_hash"), "node", "left").mapInArrow(judged, "node long, v array<double>, said array<int>")
-    back = product(graph.by_dst, at, m * k, "dst", "src")
-    rows = graph.x.join(back.withColumnRenamed("v", "r").hint("shuffle_hash"), "node", "left").join(at.withColumnRenamed("v", "g").hint("shuffle_hash"), "node")
-    got = added(rows.mapInArrow(totalled(of), "x array<double>"), graph.parts)
-    shapes = {"w2": runs[0].p["w2"].shape, "b2": (k,), "g": (width,), "s": (width,), "w1": (graph.wide, width), "gu": (width,), "guu": (width,), "confusion": (k, k)}
+
+def gradients(flat: np.ndarray, weights: dict[int, Params], k: int, mean: np.ndarray, cov: np.ndarray) -> tuple[dict[int, Params], dict[int, np.ndarray]]:
+    """(gradients, counts of validation nodes by truth and prediction) of each run, from the sums over all blocks."""
     grads, confusions = {}, {}
-    for (seed, p), flat in zip(weights.items(), got.reshape(m, -1), strict=True):
-        x = apart(flat, shapes)
+    for (seed, p), own in zip(weights.items(), flat.reshape(len(weights), -1), strict=True):
+        width = p["w1"].shape[1]
+        x = apart(own, {"w2": p["w2"].shape, "b2": (k,), "g": (width,), "s": (width,), "w1": p["w1"].shape, "gu": (width,), "guu": (width,), "confusion": (k, k)})
         # the part of the batch statistics, which follow from all training nodes
         x["w1"] = x["w1"] - (np.outer(mean, x.pop("gu")) + (cov @ p["w1"] / p["sd"]) * x.pop("guu")) / p["sd"]
         confusions[seed] = x.pop("confusion")
@@ -420,26 +521,82 @@ def epoch_sums(graph: Prepared, runs: list[Run], epoch: int, k: int, n: float, m
     return grads, confusions
 
 
-def fit_graph(nodes: DataFrame, edges: DataFrame, conf: ModelConfig, seeds: list[int], k: int | None = None) -> list[Run]:
-    """A run for each seed on all nodes at once; kept weights hold the batch statistics (mu, sd) that go with them.
+def epoch_sums(graph: Prepared, runs: list[Run], epoch: int, k: int, n: float, mean: np.ndarray, cov: np.ndarray) -> tuple[dict[int, Params], dict[int, np.ndarray]]:
+    """An epoch's gradients and counts, in one job for all runs."""
+    weights = {r.seed: normed(r.p, mean, cov) for r in runs}
+    out_going, judged, of = passes(weights, runs[0].conf, epoch, k, n)
+    came = graph.by_src.groupBy("key").applyInArrow(out_going, CAME)
+    back = graph.by_dst.groupBy("key").cogroup(graph.fanned(came, graph.back_parts).groupBy("key")).applyInArrow(judged, CAME)
+    sums = graph.x.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(of, "x array<double>")
+    return gradients(added(sums, graph.blocks), weights, k, mean, cov)
 
-    An epoch is one job for all seeds. Labels of parts other than train and val aren't read; a node without edges gets zeros from its
-    neighbours; without training nodes weights stay as they began.
-    """
-    k = k or classes_of(nodes)
-    graph = Prepared(conf.name, nodes, edges)
-    runs = [convolutions(conf, graph.wide, k, s) for s in seeds]
-    n, mean, cov = graph.moments()
+
+def epochs_done(runs: list[Run], conf: ModelConfig, sums: Callable[[list[Run], int], tuple[dict[int, Params], dict[int, np.ndarray]]]) -> None:
+    """Trains runs to their ends: each epoch's pass judges the weights of the epoch before and gives the next step."""
     for epoch in range(1, conf.epochs + 2):
         on = [r for r in runs if not r.done]
-        if not on or not n:
+        if not on:
             break
-        grads, confusions = epoch_sums(graph, on, epoch, k, n, mean, cov)
+        grads, confusions = sums(on, epoch)
         for run in on:
             if epoch > 1:
                 run.judged(confusions[run.seed])
             if not run.done and epoch <= conf.epochs:
                 run.opt.step(grads[run.seed])
+
+
+def _given(runs: list[Run]) -> pa.Table:
+    """Kept weights and curves of runs as rows."""
+    rows = [(r.seed, name, list(v.shape), v.ravel().tolist()) for r in runs for name, v in (r.kept | {"curve": np.array(r.curve)}).items()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64())), strict=True)], names=["run", "name", "shape", "data"])
+
+
+_GIVEN = "run int, name string, shape array<int>, data array<double>"
+
+
+def _back(rows: DataFrame, runs: list[Run]) -> None:
+    by = {r.seed: r for r in runs}
+    for r in rows.collect():  # weights
+        v = np.array(r.data).reshape(r["shape"])
+        if r.name == "curve":
+            by[r.run].curve = v.tolist()
+        else:
+            by[r.run].kept = by[r.run].kept | {r.name: v}
+
+
+def _each(df: DataFrame, seeds: list[int]) -> DataFrame:
+    """A bounded table once for each seed, in partitions of their own."""
+    return df.withColumn("run", F.explode(F.array(*map(F.lit, seeds)))).repartition(len(seeds), "run").groupBy("run")
+
+
+def fit_graph(nodes: DataFrame, edges: DataFrame, conf: ModelConfig, seeds: list[int], k: int | None = None) -> list[Run]:
+    """A run for each seed on all nodes at once; kept weights hold the batch statistics (mu, sd) that go with them.
+
+    An epoch is one job for all seeds; a graph of a single block, whose size is bounded, goes through all its epochs in one task a seed
+    by the same functions. Labels of parts other than train and val aren't read; a node without edges gets zeros from its
+    neighbours; without training nodes weights stay as they began.
+    """
+    k = k or classes_of(nodes)
+    graph = Prepared(conf.name, nodes, edges)
+    runs = [convolutions(conf, graph.wide, k, s) for s in seeds]
+    n, mean, cov = graph.moments()
+    if n and graph.single:
+
+        def whole(t: pa.Table) -> pa.Table:
+            own = [r for r in runs if r.seed == t.column("run")[0].as_py()]
+            nodes = _split(t)[0]
+
+            def sums(on: list[Run], epoch: int) -> tuple[dict[int, Params], dict[int, np.ndarray]]:
+                weights = {r.seed: normed(r.p, mean, cov) for r in on}
+                out_going, judged, of = passes(weights, conf, epoch, k, n)
+                return gradients(matrix(of(nodes, judged(t, out_going(t))).column("x"))[0], weights, k, mean, cov)
+
+            epochs_done(own, conf, sums)
+            return _given(own)
+
+        _back(_each(graph.by_src, seeds).applyInArrow(whole, _GIVEN), runs)
+    elif n:
+        epochs_done(runs, conf, lambda on, epoch: epoch_sums(graph, on, epoch, k, n, mean, cov))
     graph.close()
     for run in runs:
         run.kept = normed(run.kept, mean, cov)
@@ -448,26 +605,26 @@ def fit_graph(nodes: DataFrame, edges: DataFrame, conf: ModelConfig, seeds: list
 
 def graph_proba(nodes: DataFrame, edges: DataFrame, kind: str, weights: list[Params]) -> DataFrame:
     """(node, prob): for each node each run's probabilities, one after another. Layer by layer: the first products are a table, the
-    second layer's messages another join, and no task holds more than its partition."""
+    second layer's messages another join, and no task holds more than a block and its edges."""
     graph = Prepared(kind, nodes, edges)
     k = len(weights[0]["b2"])
 
-    def out_going(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x1 = matrix(b.column("x1"))
-                yield pa.RecordBatch.from_arrays([b.column("node"), _lists(np.concatenate([hidden(p, x1)[1] @ halves(p)[1] for p in weights], 1))], ["node", "v"])
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x1 = matrix(b.column("x1"))
-                came = _values(b.column("v"), len(x1), len(weights) * k).reshape(len(x1), len(weights), k)
-                yield pa.RecordBatch.from_arrays([b.column("node"), _lists(np.concatenate([softmax(came[:, i] + own_part(p, hidden(p, x1)[1])) for i, p in enumerate(weights)], 1))], ["node", "prob"])
-
-    sent = graph.x.select("node", "x1").mapInArrow(out_going, "node long, v array<double>")
-    came = product(graph.by_src, sent, len(weights) * k, "src", "dst")
-    out = written(graph.x.join(came.hint("shuffle_hash"), "node", "left").select("node", "x1", "v").mapInArrow(judged, "node long, prob array<double>"), "proba")
+    def out_going(t: pa.Table) -> pa.Table:
+        part, edges = _split(t)
+        if not part.num_rows:
+            return _CAME.empty_table()
+        x1 = matrix(part.column("x1"))
+        return carried(*_cols(edges, "src", "dst", "db", "w"), part.column("node").to_numpy(), np.concatenate([hidden(p, x1)[1] @ halves(p)[1] for p in weights], 1))
+
+    def judged(block: pa.Table, came: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return pa.table({"node": pa.array([], pa.int64()), "prob": pa.array([], pa.list_(pa.float64()))})
+        node, x1 = block.column("node").to_numpy(), matrix(block.column("x1"))
+        got = arrived(came, 0, node, len(weights) * k).reshape(len(node), len(weights), k)
+        return pa.table({"node": block.column("node"), "prob": _lists(np.concatenate([softmax(got[:, i] + own_part(p, hidden(p, x1)[1])) for i, p in enumerate(weights)], 1))})
+
+    came = graph.by_src.groupBy("key").applyInArrow(out_going, CAME)
+    out = written(graph.x.groupBy("block").cogroup(came.groupBy("block")).applyInArrow(judged, "node long, prob array<double>"), "proba")
     graph.close()
     return out
 
