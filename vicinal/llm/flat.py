@@ -84,12 +84,26 @@ def _powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[base, "up"], _POWERS[base, "down"]
 
 
+#: Bytes of a word whose numbers are looked up; those of later bytes are computed.
+_NEAR = 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_NUMBER = mix64(_LETTER[None, :] + (np.arange(_NEAR, dtype=np.uint64) * _STEP)[:, None]).ravel()
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, lower-cased (A-Z), from one running sum over all bytes."""
-    up, down = _powers(len(buf))
-    run = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_LETTER[buf] * down[: len(buf)], out=run[1:])
-    return mix64((run[ends] - run[starts]) * up[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of the words, lower-cased (A-Z); none may be empty. Each byte gives a scrambled number of its own for each place
+    in a word, so no pattern of letters, however regular, makes sums agree; length and sum are scrambled once more."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    first = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(first, size)
+    letter = buf[place + np.repeat(starts, size)]
+    x = _NUMBER[np.minimum(place, _NEAR - 1) * 256 + letter]
+    late = np.flatnonzero(place >= _NEAR)
+    if len(late):
+        x[late] = mix64(_LETTER[letter[late]] + place[late].astype(np.uint64) * _STEP)
+    return mix64(np.add.reduceat(x, first) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingles(buf: np.ndarray, at: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
