@@ -9,6 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vicinal.functions.ranks import median
 from vicinal.functions.scalars import share
 from vicinal.session import dropped, written
 
@@ -123,7 +124,9 @@ def entropy_summary(bits: DataFrame) -> DataFrame:
 
 
 def weight_summary(edges: DataFrame) -> DataFrame:
-    return edges.agg(F.min("weight").alias("least"), F.max("weight").alias("most"), F.avg("weight").alias("mean"), F.median("weight").alias("median"), F.stddev_pop("weight").alias("sd"))
+    held = written(edges.select("weight"), "weights")
+    middle = F.lit(median(held, "weight")).cast("double")
+    return held.agg(F.min("weight").alias("least"), F.max("weight").alias("most"), F.avg("weight").alias("mean"), middle.alias("median"), F.stddev_pop("weight").alias("sd"))
 
 
 def flattened(row: DataFrame, prefix: str) -> DataFrame:
@@ -134,7 +137,7 @@ def flattened(row: DataFrame, prefix: str) -> DataFrame:
 
 def report(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """All of the above as (metric_name, value)."""
-    ends = attributed(edges, nodes)
+    ends = written(attributed(edges, nodes), "ends")
     purity = node_purity(ends)
     deg = degrees(edges, nodes)
     parts = [flattened(density(edges, nodes), "density"), flattened(isolated(deg), "isolated"), flattened(component_summary(components(edges, nodes)), "components"), flattened(edge_homophily(ends), "edge_homophily"), flattened(node_homophily(purity), "node_homophily"), flattened(expected(nodes), "expected"), flattened(mixing(ends), "mixing")]

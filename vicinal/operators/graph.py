@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from vicinal.functions.arrays import matrix
+from vicinal.functions.ranks import median
 from vicinal.functions.scalars import content_hash
 from vicinal.session import dropped, written
 
@@ -126,7 +127,8 @@ def symmetrised(edges: DataFrame) -> DataFrame:
 
 def sigma(train_knn: DataFrame, k: int) -> DataFrame:
     """One row: the median distance of training nodes to their k-th neighbour."""
-    return train_knn.filter(F.col("rank") == k).agg(F.median("dist").alias("sigma"))
+    middle = median(train_knn.filter(F.col("rank") == k), "dist")
+    return train_knn.sparkSession.range(1).select(F.lit(middle).cast("double").alias("sigma"))
 
 
 def rbf(edges: DataFrame, width: DataFrame) -> DataFrame:

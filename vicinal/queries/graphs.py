@@ -112,7 +112,7 @@ def sort_edges(spark: S, d: str) -> DataFrame:
 _MUTUAL = "mut AS (SELECT a.src, a.dst, (a.dist + b.dist) / 2 AS dist FROM knn a JOIN knn b ON a.src = b.dst AND a.dst = b.src AND a.dpart = 'train' AND b.dpart = 'train')"
 
 
-@query("join_mutual", with_(NODES, knn(20), _MUTUAL) + "SELECT src, dst, round(dist, 6) AS dist FROM mut")
+@query("join_mutual", with_(NODES.replace("AS (", "AS MATERIALIZED (", 1), knn(20).replace("AS (", "AS MATERIALIZED (", 1), _MUTUAL) + "SELECT src, dst, round(dist, 6) AS dist FROM mut")
 def join_mutual(spark: S, d: str) -> DataFrame:
     return rounded(G.mutual(X.train_knn(spark, d)))
 
@@ -182,9 +182,9 @@ def prj_concat_parts(spark: S, d: str) -> DataFrame:
     return out.groupBy("part").agg(F.count("*").alias("n"), F.max(F.size("x")).cast("bigint").alias("width"))
 
 
-@query("graph_variants", with_(NODES, knn(20), _MUTUAL, *(x for n, k, g in (("k10", 10, ""), ("k20", 20, ""), ("k24", 24, ""), ("k50", 50, ""), ("bb2", 2, "donor")) for x in (knn(k, g, f"k_{n}"), edges(f"k_{n}", f"e_{n}"))), "e_mutual20 AS (SELECT * FROM mut UNION ALL SELECT src, dst, dist FROM knn WHERE dpart <> 'train')") + " UNION ALL ".join(f"SELECT '{n}' AS graph, count(*) AS edges, round(avg(dist), 6) AS dist FROM e_{n}" for n in ("k10", "k20", "k24", "k50", "mutual20", "bb2")))
+@query("graph_variants", with_(NODES, knn(20), _MUTUAL, *(x for n, k, g in (("k10", 10, ""), ("k20", 20, ""), ("k24", 24, ""), ("k50", 50, ""), ("bb2", 2, "donor")) for x in (knn(k, g, f"k_{n}"), edges(f"k_{n}", f"e_{n}"))), "e_mutual20 AS (SELECT * FROM mut UNION ALL SELECT src, dst, dist FROM knn WHERE dpart <> 'train')") + " UNION ALL ".join(f"SELECT '{n}' AS graph, count(*) AS edges, round(avg(dist), 6) AS dist, 1.0::DOUBLE AS weight FROM e_{n}" for n in ("k10", "k20", "k24", "k50", "mutual20", "bb2")) + " UNION ALL SELECT 'k20_rbf', count(*), round(avg(dist), 6), round(avg(exp(-dist * dist / (2 * s * s))), 6) FROM e_k20, (SELECT median(dist) AS s FROM knn WHERE r = 20 AND dpart = 'train')")
 def graph_variants(spark: S, d: str) -> DataFrame:
-    """Edges and mean distance of each graph of the sweep. The k-NN of the largest k is found once; smaller ones are its first ranks."""
+    """Edges, mean distance and mean weight of each graph of the sweep; the rewired one is `graph_rewired`. The k-NN of the largest k is found once; smaller ones are its first ranks."""
     n = written(X.nodes(spark, d), "nodes")
     train, ask = written(G.knn_train(n, 50), "knn"), written(G.knn_query(n, 50), "knn")
 
@@ -193,9 +193,11 @@ def graph_variants(spark: S, d: str) -> DataFrame:
 
     mutual = G.mutual(train.filter("rank <= 20")).unionByName(ask.filter("rank <= 20").select("src", "dst", "dist"))
     graphs = {f"k{k}": plain(k) for k in (10, 20, 24, 50)} | {"mutual20": mutual, "bb2": G.bbknn(n, 2)}
+    graphs["k20_rbf"] = G.rbf(graphs["k20"], G.sigma(train, 20))
     out = None
     for name, e in graphs.items():
-        one = e.agg(F.lit(name).alias("graph"), F.count("*").alias("edges"), r6(F.avg("dist")).alias("dist"))
+        weight = F.avg("weight") if "weight" in e.columns else F.lit(1.0)
+        one = e.agg(F.lit(name).alias("graph"), F.count("*").alias("edges"), r6(F.avg("dist")).alias("dist"), r6(weight).alias("weight"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -234,10 +236,9 @@ def diag_density(spark: S, d: str) -> DataFrame:
 
 
 
-@query("diag_components", "WITH RECURSIVE " + ",\n".join([NODES, knn(2), "e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM knn)", "e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e)", "walk AS (SELECT node, node AS comp FROM nodes UNION SELECT b, comp FROM walk JOIN e2 ON a = node WHERE comp < b)"]) + "\n, lab AS (SELECT node, min(comp) AS comp FROM walk GROUP BY 1), sz AS (SELECT comp, count(*) AS n FROM lab GROUP BY 1) SELECT count(*) AS components, max(n) AS largest, round(max(n) / sum(n), 6) AS fraction FROM sz")
+@query("diag_components", "WITH RECURSIVE " + ",\n".join([NODES, knn(20).replace("AS (", "AS MATERIALIZED (", 1), "e AS MATERIALIZED (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM knn)", "e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e)", "walk AS (SELECT node, node AS comp FROM nodes UNION SELECT b, comp FROM walk JOIN e2 ON a = node WHERE comp < b)"]) + "\n, lab AS (SELECT node, min(comp) AS comp FROM walk GROUP BY 1), sz AS (SELECT comp, count(*) AS n FROM lab GROUP BY 1) SELECT count(*) AS components, max(n) AS largest, round(max(n) / sum(n), 6) AS fraction FROM sz")
 def diag_components(spark: S, d: str) -> DataFrame:
-    n = X.nodes(spark, d)
-    return rounded(D.component_summary(D.components(G.nearest(n, n.filter("part = 'train'"), 2), n)))
+    return rounded(D.component_summary(D.components(graph(spark, d), X.nodes(spark, d))))
 
 
 @query("diag_edge_homophily", with_(*ALL) + "SELECT round(avg(CAST(s_y = d_y AS INT)), 6) AS overall, round(avg(CAST(s_y = d_y AS INT)) FILTER (s_part = 'train' AND d_part = 'train'), 6) AS train FROM ends")
@@ -302,18 +303,28 @@ def diag_entropy(spark: S, d: str) -> DataFrame:
     return rounded(D.entropy_summary(D.entropy(ends(spark, d), X.nodes(spark, d), "donor")))
 
 
-_FLAT = with_(*ALL, PURITY, _EXPECTED) + """, m AS (
+_COMPONENTS = """e1 AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM edges), e2 AS MATERIALIZED (SELECT a, b FROM e1 UNION SELECT b, a FROM e1),
+walk AS (SELECT node, node AS comp FROM nodes UNION SELECT b, comp FROM walk JOIN e2 ON a = node WHERE comp < b),
+sz AS (SELECT comp, count(*) AS n FROM (SELECT node, min(comp) AS comp FROM walk GROUP BY 1) GROUP BY 1)"""
+_FLAT = with_(*ALL, PURITY, _EXPECTED, _DEG, _COMPONENTS).replace("WITH", "WITH RECURSIVE", 1) + """, mx AS (SELECT avg(CAST(s_donor = d_donor AS INT)) FILTER (d_part = 'train') AS a, avg(CAST(s_site = d_site AS INT)) FILTER (d_part = 'train') AS b,
+  avg(CAST(s_site = d_site AS INT)) FILTER (d_part = 'val') AS c, avg(CAST(s_site = d_site AS INT)) FILTER (d_part = 'test') AS d FROM ends),
+m AS (
 SELECT 'edge_homophily.overall' AS metric_name, avg(CAST(s_y = d_y AS INT)) AS value FROM ends
+UNION ALL SELECT 'edge_homophily.train', avg(CAST(s_y = d_y AS INT)) FROM ends WHERE s_part = 'train' AND d_part = 'train'
 UNION ALL SELECT 'node_homophily.' || coalesce(part, 'overall'), avg(purity) FROM purity GROUP BY GROUPING SETS ((part), ())
 UNION ALL SELECT 'expected.overall', overall FROM ex UNION ALL SELECT 'expected.train', train FROM ex UNION ALL SELECT 'expected.val', val FROM ex UNION ALL SELECT 'expected.test', test FROM ex
-UNION ALL SELECT 'mixing.intra_donor', avg(CAST(s_donor = d_donor AS INT)) FROM ends WHERE d_part = 'train')
+UNION ALL SELECT 'isolated.isolated', count(*) FILTER (n_in + n_out = 0) FROM deg UNION ALL SELECT 'isolated.fraction', count(*) FILTER (n_in + n_out = 0) / count(*) FROM deg
+UNION ALL SELECT 'density.e', count(*) FROM edges UNION ALL SELECT 'density.n', count(*) FROM nodes
+UNION ALL SELECT 'density.density', (SELECT count(*) FROM edges) / (count(*) * (count(*) - 1)) FROM nodes
+UNION ALL SELECT 'components.components', count(*) FROM sz UNION ALL SELECT 'components.largest', max(n) FROM sz UNION ALL SELECT 'components.fraction', max(n) / sum(n) FROM sz
+UNION ALL SELECT 'mixing.intra_donor', a FROM mx UNION ALL SELECT 'mixing.intra_site', b FROM mx UNION ALL SELECT 'mixing.val_site_match', c FROM mx UNION ALL SELECT 'mixing.test_site_match', d FROM mx)
 SELECT metric_name, round(value, 6) AS value FROM m"""
-_SOME = ["edge_homophily.overall", "mixing.intra_donor", *(f"{a}.{b}" for a in ("node_homophily", "expected") for b in ("overall", "train", "val", "test"))]
 
 
 @query("diag_report", _FLAT)
 def diag_report(spark: S, d: str) -> DataFrame:
-    return rounded(D.report(written(graph(spark, d), "edges"), X.nodes(spark, d)).filter(F.col("metric_name").isin(_SOME)))
+    """Every metric of the study graph, components among them."""
+    return rounded(D.report(written(graph(spark, d), "edges"), X.nodes(spark, d)))
 
 
 @query("diag_flatten", with_(*K20, _DEG) + "SELECT 'isolated.isolated' AS metric_name, CAST(count(*) FILTER (n_in + n_out = 0) AS DOUBLE) AS value FROM deg UNION ALL SELECT 'isolated.fraction', round(count(*) FILTER (n_in + n_out = 0) / count(*), 6) FROM deg")
