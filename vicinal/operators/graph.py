@@ -16,6 +16,7 @@ from pyspark.sql.window import Window as W
 from vicinal.functions.arrays import matrix
 from vicinal.functions.ranks import median
 from vicinal.functions.scalars import content_hash
+from vicinal.operators.pivots import nearest_in_cells
 from vicinal.session import dropped, written
 
 #: Vectors of this many bytes at most go to every task whole; more of them are compared in blocks.
@@ -56,8 +57,8 @@ def _nearest(q: np.ndarray, qid: np.ndarray, qg: np.ndarray | None, x: np.ndarra
 def nearest(queries: DataFrame, base: DataFrame, k: int, group: str | None = None) -> DataFrame:
     """(src, dst, dist, rank, grp): the k base rows nearest to each query, never itself; with `group`, k of each group of base.
 
-    Base vectors go to every task if they are small, which is checked; else base and queries are dealt into blocks, each pair
-    of blocks gives k a query, and ranks are taken over those.
+    Base vectors go to every task if they are small, which is checked; else the base is dealt into cells around pivots, and a query goes
+    to those cells only that can hold a neighbour (`pivots`); ranks are taken over what these give. Both ways are exact.
     """
     spark = queries.sparkSession
     b = base.select("node", "x", (F.col(group).cast("string") if group else F.lit("")).alias("grp"))
@@ -85,12 +86,6 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, group: str | None = Non
         tasks = max(spark.sparkContext.defaultParallelism, 1)
         out = queries.select("node", "x").repartition(tasks, "node").mapInArrow(run, kind)
     else:
-        nb = -(-size.n // BLOCK)
-        nq = max(1, -(-queries.count() // BLOCK))
-        deal = lambda df, own, n, other, m, side: df.withColumn(own, F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("side", F.lit(side))
-        left = deal(b.select("node", "x", "grp"), "bb", nb, "qb", nq, 0).select("bb", "qb", "side", "node", "x", "grp")
-        right = deal(queries.select("node", "x", F.lit("").alias("grp")), "qb", nq, "bb", nb, 1).select("bb", "qb", "side", "node", "x", "grp")
-
         def pair(rows: pa.Table) -> pa.Table:
             side = rows.column("side").to_numpy()
             own, ask = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -100,7 +95,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, group: str | None = Non
             found = _nearest(x[ask], ids[ask], None, x[own], ids[own], xg, k) if len(own) and len(ask) else (ids[:0], ids[:0], np.zeros(0))
             return pa.table(table(*found, ids[own], xg, code.dictionary), ["src", "dst", "dist", "grp"])
 
-        out = left.union(right).groupBy("bb", "qb").applyInArrow(pair, kind)
+        out = nearest_in_cells(queries, b, size.n or 0, size.d or 0, k, BLOCK, pair)
     by = ["dst", "grp"] if group else ["dst"]
     return out.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("dist", "src"))).filter(F.col("rank") <= k)
 
