@@ -55,3 +55,14 @@ def test_planted(spark, monkeypatch):
     assert measured(docs.limit(0)).count() == 0
     same = spark.createDataFrame([(1, "w" * 150 + "v" * 150, None, None, None, 7)] * 2, DOCS)
     assert [r.n_removed for r in measured(same).collect()] == [300, 300]
+
+
+def test_regular_contexts_aren_t_equal(spark):
+    """Texts of two letters in the order of Thue and Morse share long strings, and sums of powers agree for those that differ."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word[:1024], other[:1024], word[100:700], "x" * 300 + word[:256], "y" * 300 + other[:256]]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, 0) for i, t in enumerate(texts)], DOCS)
+    check(measured(df).collect(), range(len(texts)), texts)

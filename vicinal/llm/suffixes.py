@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinal.llm.base import row_key, table, written
-from vicinal.llm.flat import _BASE, _powers, mix64, numbers, parts, text_bytes
+from vicinal.llm.flat import _powers, mix64, numbers, parts, text_bytes
 
 #: Strings of this many bytes that start anywhere else too are removed.
 LENGTH = 200
@@ -19,19 +20,18 @@ LENGTH = 200
 GRAM = 64
 #: Bytes that a shard holds about, and contexts of one anchor in a shard: a commoner anchor is dealt to several shards.
 SHARD, PIECE = 4 << 20, 1_000
-#: Two hashes of strings, each with its own base and its own number for each byte.
-_BYTE = [numbers(256, 31), numbers(256, 32)]
-_BASES = [_BASE, 0xD1342543DE82EF95]
+#: A number for each byte, for the hash of grams. It only groups: grams that it takes for one share a shard, where bytes decide.
+_BYTE = numbers(256, 31)
 
 
-def rolled(buf: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+def rolled(buf: np.ndarray, size: int) -> np.ndarray:
     """Hash of the `size` bytes from each place on."""
     n = len(buf) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(buf), _BASES[which])
+    up, down = _powers(len(buf))
     run = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[which][buf] * down[: len(buf)], out=run[1:])
+    np.cumsum(_BYTE[buf] * down[: len(buf)], out=run[1:])
     return mix64((run[size:] - run[:-size]) * up[:n])
 
 
@@ -172,7 +172,8 @@ def _shard(rows: pa.Table) -> pa.Table:
     rep = order[~joined]
     rep = rep[valid[rep] & dealt[of[rep]]]
     if len(rep):
-        fp = [rolled(flat, LENGTH, k)[rep].view(np.int64) for k in (0, 1)]
+        data = flat.tobytes()
+        fp = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[r : r + LENGTH]) for r in rep.tolist()), np.int64).reshape(-1, 2).T
         out.append((hash_[take][of[rep]], d[take][of[rep]], rep - start[of[rep]], np.where(marked[rep], -2, -1), *fp, piece[take][of[rep]], pieces[take][of[rep]]))
     return pa.table([pa.array(np.concatenate(c).astype(t.to_pandas_dtype())) for c, t in zip(zip(*out, strict=True), _MARKS.types, strict=True)], schema=_MARKS)
 
@@ -224,12 +225,9 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.minimum(np.searchsorted(both, ask), max(len(both) - 1, 0))
             hit = both[place] == ask if len(both) else np.zeros(len(h), bool)
             text, h, start, n, many = text[hit], h[hit], start[hit], n[hit], pflat[place[hit]] if len(both) else np.zeros(0, np.int64)
-            run = np.zeros(len(buf) + 1, np.uint64)
-            up, down = _powers(len(buf), _BASES[1])
-            np.cumsum(_BYTE[1][buf] * down[: len(buf)], out=run[1:])
             stop = start + n + LENGTH - 1
-            d = mix64((run[stop] - run[start]) * up[start] + n.astype(np.uint64)).view(np.int64)
             raw = buf.tobytes()
+            d = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)], np.uint64).view(np.int64)
             ctx: list[bytes | None] = []
             again = np.zeros(len(h), bool)
             for k, (x, y, a, b) in enumerate(zip(h.tolist(), d.tolist(), start.tolist(), stop.tolist(), strict=True)):
@@ -264,9 +262,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     3. An anchor with more than PIECE occurrences is dealt to several shards. What these found once is searched for in the
        others' sorted fingerprints (128 bits), dealt by fingerprint.
 
-    Contexts count as equal if their anchor's hash and their own agree, strings of two shards if both hashes do: 128 bits either
-    way, of unrelated bases, so of 10 ** 12 contexts a wrong match is expected with probability 10 ** -15. Bytes aren't compared
-    again, as a context's bytes are sent once. Within a shard bytes decide.
+    Contexts count as equal if their anchor's hash and a 64-bit hash of all their bytes agree, strings of two shards if 128-bit hashes
+    of their bytes do. Neither is a sum of powers, so no regular text makes them agree. Bytes aren't compared again, as a context's
+    bytes are sent once. Within a shard bytes decide.
     """
     rows = docs.select(*row_key(), "text")
     found = written(rows.mapInArrow(_anchored, "k1 long, k2 long, hashes array<long>"), "anchors")
