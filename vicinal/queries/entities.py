@@ -12,8 +12,9 @@ from vicinal.operators import graph as G
 from vicinal.operators.splitting import donor_split, random_split
 from vicinal.plans import fixtures as X
 from vicinal.queries.registry import CELLS, COUNTS, MANIFEST, NODES, RUNS, SPLIT, content_sql, edges, knn, query, with_
-from vicinal.session import written
+from vicinal.session import fresh, written
 from vicinal.sources import artifacts, files
+from vicinal.sources.run_store import registered
 
 S = SparkSession
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -43,14 +44,33 @@ def src_split(spark: S, d: str) -> DataFrame:
     return files.read_split(spark, files.write_split(split(spark, d)))
 
 
+@query("src_run_store", with_(RUNS) + "SELECT run_id, model, graph, seed, feature_hash, macro_f1, balanced_accuracy FROM runs WHERE run_id IN ('run03', 'run04', 'run05', 'run09')")
+def src_run_store(spark: S, d: str) -> DataFrame:
+    """Runs written to a run store and some of them read back: the filter reaches the store."""
+    entries = lambda *names: F.create_map(*(x for n in names for x in (F.lit(n), F.col(n).cast("string"))))
+    root = fresh(registered(spark), "runs")
+    scores = F.create_map(*(x for n in ("macro_f1", "balanced_accuracy") for x in (F.lit(n), F.col(n))))
+    X.runs(spark, d).select("run_id", "status", entries("model", "graph", "seed").alias("params"), scores.alias("metrics"), entries("feature_hash").alias("tags")).write.format("runs").mode("append").save(root)
+    some = spark.read.format("runs").load(root).filter(F.col("run_id").isin("run03", "run04", "run05", "run09") & (F.col("status") == "success"))
+    of = lambda c, n: F.col(c)[n].alias(n)
+    return some.select("run_id", of("params", "model"), of("params", "graph"), F.col("params")["seed"].cast("int").alias("seed"), of("tags", "feature_hash"), of("metrics", "macro_f1"), of("metrics", "balanced_accuracy"))
+
+
 @query("src_runs", with_(RUNS) + "SELECT run_id, model, graph, seed, macro_f1 FROM runs")
 def src_runs(spark: S, d: str) -> DataFrame:
     return files.read_runs(spark, files.write_runs(X.runs(spark, d))).select("run_id", "model", "graph", "seed", "macro_f1")
 
 
-@query("src_synth")
+_SYNTH = """, gene AS (SELECT unnest(range(60)) AS g),
+raw AS (SELECT cell_id, donor_id, cell_type, g, CAST('0x' || substr(md5('42:' || cell_id || ':' || g), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE + 0.5::DOUBLE / 4294967296.0::DOUBLE AS u,
+  CASE WHEN g % 5 = CAST('0x' || substr(md5(cell_type), 1, 4) AS BIGINT) % 5 THEN 3.2::DOUBLE ELSE 0.8::DOUBLE END AS rate FROM cells, gene),
+made AS (SELECT cell_id, donor_id, cell_type, 'gene_' || g AS gene_id, CAST(floor(-ln(u) * rate) AS BIGINT) AS n FROM raw)
+SELECT * FROM made WHERE n > 0"""
+
+
+@query("src_synth", with_(CELLS) + _SYNTH)
 def src_synth(spark: S, d: str) -> DataFrame:
-    return files.synthetic(spark)
+    return files.synthetic_counts(X.cells(spark, d))
 
 
 @query("flt_donor_included", with_(CELLS, MANIFEST) + "SELECT cell_id, donor_id FROM cells SEMI JOIN (SELECT * FROM manifest WHERE inclusion_status = 'included') USING (donor_id)")

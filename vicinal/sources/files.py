@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,20 +94,22 @@ def write_table(df: DataFrame, kind: str, path: str | None = None) -> str:
     return path
 
 
+def synthetic_counts(cells: DataFrame, genes: int = 60, classes: int = 5, seed: int = 42) -> DataFrame:
+    """(cell_id, donor_id, cell_type, gene_id, n): seeded counts for each of the given cells (cell_id, donor_id, cell_type), with marker
+    genes of each type. A count follows from MD5 of seed, cell and gene, so rows grow with the cells and are the same anywhere."""
+    code = lambda text, digits: F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("bigint")
+    each = cells.select("cell_id", "donor_id", "cell_type", F.explode(F.sequence(F.lit(0), F.lit(genes - 1))).alias("g"))
+    u = code(F.concat_ws(":", F.lit(str(seed)), F.col("cell_id").cast("string"), F.col("g").cast("string")), 8) / F.lit(2.0**32) + F.lit(2.0**-33)
+    rate = F.when(F.pmod("g", F.lit(classes)) == F.pmod(code(F.col("cell_type"), 4), F.lit(classes)), 3.2).otherwise(0.8)
+    rows = each.select("cell_id", "donor_id", "cell_type", F.concat(F.lit("gene_"), F.col("g").cast("string")).alias("gene_id"), F.floor(-F.log(u) * rate).cast("bigint").alias("n"))
+    return rows.filter("n > 0")
+
+
 def synthetic(spark: SparkSession, cells: int = 200, genes: int = 60, donors: int = 6, classes: int = 4, seed: int = 42) -> DataFrame:
-    """(cell_id, donor_id, cell_type, gene_id, n): seeded counts with marker genes of each class; a table for tests."""
-    rng = random.Random(seed)
-    rows = []
-    for c in range(cells):
-        kind = rng.randrange(classes)
-        for g in range(genes):
-            rate = rng.gammavariate(0.5, 2.0) + (3.0 if g % classes == kind else 0.0)
-            n, p = 0, rng.expovariate(1.0)
-            while p < rate:
-                n, p = n + 1, p + rng.expovariate(1.0)
-            if n:
-                rows.append((c, c % donors, f"type_{kind}", f"gene_{g}", n))
-    return spark.createDataFrame(rows, "cell_id bigint, donor_id int, cell_type string, gene_id string, n bigint")
+    """The same for cells numbered from 0, dealt to donors in turn and to types by hash; a table for tests."""
+    kind = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:type:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("bigint"), F.lit(classes))
+    made = spark.range(cells).select(F.col("id").alias("cell_id"), F.pmod("id", F.lit(donors)).cast("int").alias("donor_id"), F.concat(F.lit("type_"), kind.cast("string")).alias("cell_type"))
+    return synthetic_counts(made, genes, classes, seed)
 
 
 SOURCES: dict[str, object] = {}
