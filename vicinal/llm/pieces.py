@@ -288,7 +288,7 @@ def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
         pieces = loaded(model)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for whole in batches:
-            for batch in parts(whole):
+            for batch in parts(whole, limit=1 << 19):
                 rows = [(n, sha(ids.encode()), sha(decoded)) for n, ids, decoded in pieces.encoded([t or "" for t in batch.column("text").to_pylist()])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in zip(*rows, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
