@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vicinal.config import ModelConfig
 from vicinal.operators import diagnostics as D
 from vicinal.operators import graph as G
 from vicinal.operators import models as M
