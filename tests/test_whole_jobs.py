@@ -72,3 +72,20 @@ def test_all_genes_and_components(spark, sf):
     got = QUERIES["pre_pca_fit"](spark, sf)
     genes, components = (got.select(c).distinct().count() for c in ("gene", "component"))
     assert genes > 50 and components == 50
+
+
+def test_totals_without_dense_rows(spark, sf):
+    from pyspark.sql import functions as F
+
+    from vicinal.operators import preprocessing as P
+    from vicinal.plans import fixtures as X
+    from vicinal.session import written
+
+    cells = X.cells(spark, sf)
+    v = written(P.log_normalised(X.counts(spark, sf)).select("cell_id", "gene_id", "v"), "values")
+    stats = written(P.gene_moments(v, cells.filter("donor_id < 12").select("cell_id")), "stats")
+    for clip in (10.0, 0.5, None):
+        dense = {r.cell_id: sum(r.x) for r in P.feature_rows(v, cells, stats, clip).collect()}
+        got = P.scaled_totals(v, cells, stats, clip).collect()
+        assert len(got) == len(dense) and all(abs(r.total - dense[r.cell_id]) < 1e-6 * (1 + abs(r.total)) for r in got)
+    assert P.scaled_totals(v, cells, stats.limit(0)).agg(F.sum("genes")).first()[0] == 0

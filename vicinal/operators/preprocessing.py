@@ -90,6 +90,16 @@ def feature_rows(values: DataFrame, cells: DataFrame, stats: DataFrame, clip: fl
     return rows.mapInArrow(dense, f"cell_id {dict(cells.dtypes)['cell_id']}, x array<double>")
 
 
+def scaled_totals(values: DataFrame, cells: DataFrame, stats: DataFrame, clip: float | None = 10.0) -> DataFrame:
+    """(cell_id, total, genes): each cell's sum of scaled values over all genes of stats. Absent values are the same in every cell: their
+    sum is one number, from which a cell's own values depart, so no row is made dense."""
+    held = (lambda z: z) if clip is None else (lambda z: F.greatest(F.lit(-clip), F.least(F.lit(clip), z)))
+    known = stats.select("gene_id", "mean", "sd", held(-F.col("mean") / F.col("sd")).alias("none"))
+    own = values.join(known, "gene_id").groupBy("cell_id").agg(F.sum(held((F.col("v") - F.col("mean")) / F.col("sd")) - F.col("none")).alias("own"))
+    base = known.agg(F.sum("none").alias("base"), F.count("*").alias("genes"))
+    return cells.select("cell_id").join(own, "cell_id", "left").crossJoin(F.broadcast(base)).select("cell_id", (F.coalesce("own", F.lit(0.0)) + F.coalesce("base", F.lit(0.0))).alias("total"), "genes")  # one row
+
+
 def scaled(values: DataFrame, cells: DataFrame, stats: DataFrame, clip: float | None = 10.0) -> DataFrame:
     """(cell_id, gene_id, z): the long form of feature_rows, every cell by every selected gene; nothing else here needs it."""
     genes = stats.agg(F.array_sort(F.collect_list("gene_id")).alias("genes"))

@@ -50,8 +50,8 @@ def pre_scale_fit(spark: S, d: str) -> DataFrame:
 @query("pre_scale_apply", with_(CELLS, COUNTS, VALUES, SPLIT, TRAIN, STATS) + "SELECT c.cell_id, round(sum(greatest(-10, least(10, (coalesce(v, 0) - mean) / sd))), 4) AS total, count(*) AS genes FROM cells c CROSS JOIN st LEFT JOIN vals ON vals.cell_id = c.cell_id AND vals.gene_id = st.gene_id GROUP BY 1")
 def pre_scale_apply(spark: S, d: str) -> DataFrame:
     v = values(spark, d)
-    rows = P.feature_rows(v, X.cells(spark, d), written(P.gene_moments(v, train(spark, d)), "stats"))
-    return rows.select("cell_id", F.round(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 4).alias("total"), F.size("x").cast("bigint").alias("genes"))
+    rows = P.scaled_totals(v, X.cells(spark, d), written(P.gene_moments(v, train(spark, d)), "stats"))
+    return rows.select("cell_id", F.round("total", 4).alias("total"), "genes")
 
 
 @query("pre_hvg", with_(CELLS, COUNTS, VALUES, SPLIT, TRAIN, STATS, HVG) + "SELECT gene_id, bin, round(score, 6) AS score FROM hvg")
