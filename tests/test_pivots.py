@@ -1,5 +1,7 @@
 """Neighbours by cells against all pairs, and how many pairs they compare."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -57,3 +59,18 @@ def test_empty(spark, monkeypatch):
     df = spark.createDataFrame([(1, [0.0], 0, "train"), (2, [1.0], 0, "train")], NODES)
     assert G.nearest(df, df.limit(0), 3).count() == 0 and G.nearest(df.limit(0), df, 3).count() == 0
     assert {(r.src, r.dst) for r in G.nearest(df, df, 3).collect()} == {(1, 2), (2, 1)}
+
+
+def test_distances_held_at_once(monkeypatch):
+    """A task's memory doesn't grow with queries times members, and few at a time give the same as all."""
+    rng = np.random.default_rng(8)
+    x, ids = rng.normal(size=(100_000, 2)), rng.permutation(100_000)
+    tracemalloc.start()
+    G._nearest(x[:400], ids[:400], None, x, ids, np.zeros(len(x), int), 5)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    x, ids, group = x[:300].round(1), ids[:300], rng.integers(0, 3, 300)
+    want = G._nearest(x, ids, None, x, ids, group, 4)
+    monkeypatch.setattr(G, "AT_ONCE", 700)
+    got = G._nearest(x, ids, None, x, ids, group, 4)
+    assert len(want[0]) == 300 * 3 * 4 and sorted(zip(*want, strict=True)) == sorted(zip(*got, strict=True))
