@@ -75,8 +75,10 @@ def sweep(nodes: DataFrame, graphs: dict[str, DataFrame], grid: list[tuple[str,
             runs = T.fit_layers(typed, conf, seeds, k)
             prob = T.layers_probas(typed, [r.kept for r in runs])
         else:
-            runs = T.fit_graph(typed, graphs[graph], conf, seeds, k)
-            prob = T.graph_proba(typed.drop("y", "part"), graphs[graph], model, [r.kept for r in runs])
+            prepared = T.Prepared(model, typed, graphs[graph])
+            runs = T.fit_graph(typed, graphs[graph], conf, seeds, k, prepared)
+            prob = T.graph_proba(typed, graphs[graph], model, [r.kept for r in runs], prepared)
+            prepared.close()
         each = F.explode(F.array(*(F.struct(F.lit(r.seed).alias("seed"), F.slice("prob", 1 + i * k, k).alias("prob"), F.lit(len(r.curve)).alias("epochs")) for i, r in enumerate(runs))))
         rows = prob.select("node", each.alias("run")).join(typed.drop("x"), "node")
         rows = rows.select(F.lit(model).alias("model"), F.lit(graph).alias("graph"), F.col("run.seed").alias("seed"), "node", "y", _best("run.prob").alias("yhat"), F.col("run.prob").alias("prob"), "part", "donor", "site", F.col("run.epochs").alias("epochs"))
