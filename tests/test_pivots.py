@@ -74,3 +74,28 @@ def test_distances_held_at_once(monkeypatch):
     monkeypatch.setattr(G, "AT_ONCE", 700)
     got = G._nearest(x, ids, None, x, ids, group, 4)
     assert len(want[0]) == 300 * 3 * 4 and sorted(zip(*want, strict=True)) == sorted(zip(*got, strict=True))
+
+
+@pytest.mark.parametrize("group", [None, "donor"])
+def test_where_cells_rule_nothing_out_queries_go_once_a_block(spark, monkeypatch, group):
+    """Without clusters a query's vector was sent once a cell: over 615,384 vectors that was 49 million vectors."""
+    monkeypatch.setattr(G, "RESIDENT", 0)
+    monkeypatch.setattr(G, "BLOCK", 90)
+    monkeypatch.setattr(P, "PER", 10)
+    monkeypatch.setattr(P, "LARGE", 100 * 6 * 8)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=6).tolist(), int(rng.integers(0, 3)), "train") for i in range(300)]
+    df = spark.createDataFrame(rows, NODES)
+    sent, real = [], P.compared
+    monkeypatch.setattr(P, "compared", lambda asked, *x: sent.append(asked.count()) or real(asked, *x))
+    got = {(r.src, r.dst, round(r.dist, 9)) for r in G.nearest(df, df, 5, group).collect()}
+    assert got == brute(rows, rows, 5, group) and sent[1] == 300
+
+
+def test_single_precision_only_where_it_tells_vectors_apart():
+    rng = np.random.default_rng(10)
+    for x in (rng.normal(size=(200, 5)) * 1e-3 + 1e4, rng.normal(size=(200, 5)) * 1e-20, rng.normal(size=(200, 5)) * 1e20, np.repeat(rng.normal(size=(10, 5)), 20, 0)):
+        got = G._nearest(x, np.arange(200), None, x, np.arange(200), np.zeros(200, int), 4)
+        dist = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+        np.fill_diagonal(dist, np.inf)
+        assert sorted(zip(*(c.tolist() for c in got[:2]), strict=True)) == sorted((i, int(j)) for i in range(200) for j in np.lexsort((np.arange(200), dist[i]))[:4])
