@@ -99,3 +99,33 @@ def test_single_precision_only_where_it_tells_vectors_apart():
         dist = np.sqrt(((x[:, None] - x) ** 2).sum(2))
         np.fill_diagonal(dist, np.inf)
         assert sorted(zip(*(c.tolist() for c in got[:2]), strict=True)) == sorted((i, int(j)) for i in range(200) for j in np.lexsort((np.arange(200), dist[i]))[:4])
+
+
+def test_a_tile_of_distances_is_held():
+    """A query's distances to all members were held at once, in several copies: over 20 MB for these."""
+    rng = np.random.default_rng(11)
+    x, ids = rng.normal(size=(100_000, 2)), np.arange(100_000)
+    own = G._itself(ids, ids[:256])
+    v, low, norm = (-2 * x[:256]).astype(np.float32), x.astype(np.float32), np.einsum("ij,ij->i", x, x).astype(np.float32)
+    tracemalloc.start()
+    i, j = G._close(v, low, norm, own, 5, 1e-5)
+    assert tracemalloc.get_traced_memory()[1] < 12 << 20 and len(i) <= 8 * 5 * 256
+    tracemalloc.stop()
+    dist = ((x[:20, None] - x) ** 2).sum(2)
+    dist[np.arange(20), np.arange(20)] = np.inf
+    pairs = set(zip(i.tolist(), j.tolist(), strict=True))
+    assert {(q, int(m)) for q in range(20) for m in np.argsort(dist[q])[:5]} <= pairs and not any(q == m for q, m in pairs)
+
+
+@pytest.mark.parametrize("size", [3, 40, 2_047, 2_049, 6_000])
+@pytest.mark.parametrize("k", [1, 6, 50])
+def test_neighbours_wherever_they_stand(size, k):
+    """Nearest members side by side, a run apart, at the ends of tiles, or all alike."""
+    base = np.arange(size, dtype=float)
+    for order in (base, base[::-1], (base * 7919) % size, base % G.RUN, base // G.COLUMNS, base * 0):
+        x, ids = np.stack([order, order * 0.5], 1), np.arange(size)
+        got = G._nearest(x[:9], ids[:9], None, x, ids, ids * 0, k)
+        dist = np.sqrt(((x[:9, None] - x) ** 2).sum(2))
+        dist[np.arange(min(9, size)), np.arange(min(9, size))] = np.inf
+        want = [(i, int(j)) for i in range(min(9, size)) for j in np.lexsort((ids, dist[i]))[: min(k, size - 1)]]
+        assert list(zip(*(c.tolist() for c in got[:2]), strict=True)) == want
