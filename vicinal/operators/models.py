@@ -94,7 +94,8 @@ class Classifier:
     """What every model offers.
 
     fit(nodes, edges=None): nodes (node, x, y, part) of parts train and val; others are ignored. predict_proba(nodes, edges=None):
-    (node, prob); predict: (node, yhat). Before fit both are an error. A model without a graph refuses edges. save(path) writes
+    (node, prob); predict: (node, yhat). A graph that is asked for again may be given as `training.Prepared` of the same nodes and edges.
+    Before fit both are an error. A model without a graph refuses edges. save(path) writes
     settings and weights, through Spark, to any folder that it reaches; load(spark, path) gives the model back.
     """
 
@@ -116,15 +117,17 @@ class Classifier:
     def history(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(i + 1, v) for i, v in enumerate(self.curve)], "epoch int, val_macro_f1 double")
 
-    def _allowed(self, edges: DataFrame | None) -> dict[str, DataFrame]:
+    def _allowed(self, edges: DataFrame | T.Prepared | None) -> dict[str, Any]:
         if (edges is not None) != self.graph:
             raise ValueError(f"{self.conf.name} {'needs' if self.graph else 'takes no'} edges")
-        return {"g": edges} if edges is not None else {}
+        if isinstance(edges, T.Prepared) and edges.kind != self.conf.name:
+            raise ValueError(f"a graph prepared for {edges.kind} isn't one for {self.conf.name}")
+        return {"edges": None, "prepared": edges} if isinstance(edges, T.Prepared) else {"edges": edges} if edges is not None else {}
 
-    def fit(self, nodes: DataFrame, edges: DataFrame | None = None) -> Classifier:
+    def fit(self, nodes: DataFrame, edges: DataFrame | T.Prepared | None = None) -> Classifier:
         graphs = self._allowed(edges)
         # a graph is fitted on the graph of the given nodes: what is sent out to other parts doesn't come back, as those send nothing
-        run = (T.fit_graph(nodes, graphs["g"], self.conf, [self.seed]) if graphs else T.fit_layers(nodes, self.conf, [self.seed]))[0]
+        run = (T.fit_graph(nodes, conf=self.conf, seeds=[self.seed], **graphs) if graphs else T.fit_layers(nodes, self.conf, [self.seed]))[0]
         self.params, self.curve = run.kept, run.curve
         return self
 
@@ -137,11 +140,11 @@ class Classifier:
             raise RuntimeError("the model isn't fitted: call fit first")
         return self.params
 
-    def predict_proba(self, nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    def predict_proba(self, nodes: DataFrame, edges: DataFrame | T.Prepared | None = None) -> DataFrame:
         p, graphs = self._fitted(), self._allowed(edges)
-        return T.graph_proba(nodes.select("node", "x"), graphs["g"], self.conf.name, [p]) if graphs else T.layers_probas(nodes, [p])
+        return T.graph_proba(nodes.select("node", "x"), kind=self.conf.name, weights=[p], **graphs) if graphs else T.layers_probas(nodes, [p])
 
-    def predict(self, nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    def predict(self, nodes: DataFrame, edges: DataFrame | T.Prepared | None = None) -> DataFrame:
         return self.predict_proba(nodes, edges).select("node", _best("prob").alias("yhat"))
 
     def save(self, spark: SparkSession, path: str) -> None:

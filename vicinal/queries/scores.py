@@ -12,6 +12,7 @@ from vicinal.operators import models as M
 from vicinal.operators import tracking as T
 from vicinal.operators.graph import bbknn, edge_hash, pca_knn
 from vicinal.operators.splitting import donor_split
+from vicinal.operators.training import Prepared
 from vicinal.plans import fixtures as X
 from vicinal.queries.graphs import rounded
 from vicinal.queries.registry import CELLS, CENTROID, LIFTS, NODES, RUNS, SPLIT, VOTE, content_sql, edges, knn, query, with_
@@ -287,13 +288,15 @@ def model_api(spark: S, d: str) -> DataFrame:
     out = None
     for name in sorted(M.MODELS):
         model = M.classifier(name)
-        edges = e if model.graph else None
+        edges = Prepared(name, n, e) if model.graph else None
         path = fresh(spark, f"model-{name}")
         model.fit(n, edges).save(spark, path)
         again = M.load(spark, path)
         one = again.predict(n, edges).join(again.predict_proba(n, edges), "node").join(model.predict(n, edges).withColumnRenamed("yhat", "was"), "node")
         one = one.select(F.lit(name).alias("model"), "node", "yhat", "prob", (F.col("was") == F.col("yhat")).alias("saved"))
         out = one if out is None else out.unionByName(one)
+        if edges:
+            edges.close()  # what a graph gives is written
     return out
 
 
